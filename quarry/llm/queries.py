@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm import bpe, chat, token_counts
+from quarry.llm.binpack import packed_digest, write_packed
+from quarry.llm.common import stage
 from quarry.llm.dedup_exact import exact_duplicates
 from quarry.llm.jaccard import jaccard_classes
+from quarry.llm.packing import pack
+from quarry.llm.quality import quality_verdicts
+from quarry.llm.sharding import place
+from quarry.llm.url_filter import url_verdicts
+
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(_documents(spark, sf_dir)))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(_documents(spark, sf_dir), SHARDS)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -20,11 +39,58 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_documents(spark, sf_dir), width=3, num=90, den=100)
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_ngram_jaccard": op4_ngram_jaccard}
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digest(stage(chat.format_windows(rows.unionByName(more))))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(_documents(spark, sf_dir))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_documents(spark, sf_dir))
+
+
+def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(write_packed(_documents(spark, sf_dir)))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_chat_format": op5_chat_format,
+    "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
+    "op10_binary_output": op10_binary_output,
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    # Pages hold no canonical links or refreshes here; the alias rule is tested against brute force. SQL keeps aliases of one address.
+    "op8_url_filter": """
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+        rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+        SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, coalesce(arg_max(v, length(rh || rp)), 'allow') AS verdict
+        FROM h LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+        GROUP BY page_id, host, path""",
 }
