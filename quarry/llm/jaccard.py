@@ -1,13 +1,11 @@
 """Exact n-gram Jaccard join by T-occurrence search over inverted lists, grouped into linked classes.
 
 Two sets that reach the similarity share at least T shingles, so they share one of the |x|-T+1 shortest
-inverted lists of either. All documents put these short lists, in one global order from rare to frequent, into a
-shuffle; lists of two or more documents tie their documents into blocks, and no linked pair lies across blocks. Each block gets its
-own inverted index and runs the search: short lists are merged with a heap, the longest ones are left out as
-DivideSkip decides and only probed, by binary search, for candidates that can still reach T.
-
-The global order comes from a sketch of fixed size over all shingles. It only decides which lists count as short:
-any order gives the same links.
+inverted lists of either, in any one global order. The order is by how many texts have a shingle, counted over all texts: blocks of texts
+ask for the frequencies of their distinct shingles, compressed and dealt by leading bits, and get them back as one byte each.
+Documents whose short lists hold another document tie into groups, and no linked pair lies across groups. Each group gets its own inverted
+index and runs the search: short lists are merged with a heap, the longest ones are left out as DivideSkip decides and
+only probed, by binary search, for candidates that can still reach T.
 """
 
 from __future__ import annotations
@@ -23,43 +21,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import columns, connected_components, join_groups, small, stage
+from quarry.llm.textblock import M1, cut, mix, read_table, shingle_sets, squeeze, table_bytes, unsqueeze
 
-SKETCH_BITS = 20
-SLICE = 1 << 14
+#: Bytes of text in a block.
+BLOCK_BYTES = 12 << 20
+#: Bytes of text whose shingles make one bucket of the frequency count, about.
+BUCKET_BYTES = 16 << 20
 #: A block is searched in parts of about so many documents and shingles; each pair of parts is one task's work.
 PART_DOCS, PART_SHINGLES = 512, 400_000
 #: DivideSkip's weight of a probe against a step of the merge.
 MU = 0.05
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
-
-
-class Hasher:
-    """Sets of 64-bit shingle hashes of texts. Words are hashed once and remembered up to a bound."""
-
-    def __init__(self, width: int, most: int = 300_000):
-        import xxhash
 
-        self.width, self.most, self.hash, self.known = width, most, xxhash.xxh3_64_intdigest, {}
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of the runs of ``width`` words; fewer words are one shingle, none are none."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and splits at \x20\x09-\x0D
-        if not words:
-            return np.empty(0, np.uint64)
-        known, hash = self.known, self.hash
-        if len(known) > self.most:
-            known.clear()
-        h = np.fromiter([known.get(w) or known.setdefault(w, hash(w)) for w in words], np.uint64, len(words))
-        k = min(self.width, len(h))
-        out = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            out = mix(out * MIX[0] + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX[1]
-    return (x ^ (x >> np.uint64(29))) * MIX[2]
+def node_of(s: np.ndarray) -> np.int64:
+    """A set's number among blocks; sets that share one by chance only meet in a block."""
+    return mix(s).sum(dtype=np.uint64).astype(np.int64)
 
 
 def need(size: int, num: int, den: int) -> int:
@@ -71,64 +47,97 @@ def linked(overlap: int, a: int, b: int, num: int, den: int) -> bool:
     return den * overlap >= num * (a + b - overlap)
 
 
-def set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher(width)
-    for batch in batches:
-        sets = [hasher.shingles(t) for t in batch.column("text").to_pylist()]
-        a = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-        b = [int(mix(s + MIX[0]).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n_shingles", "node", "check"])
-
-
-def sketch_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    hasher, counts = Hasher(width), np.zeros(1 << SKETCH_BITS, np.uint32)
-    shift = np.uint64(64 - SKETCH_BITS)
-    for batch in batches:
-        got = [hasher.shingles(t) >> shift for t in batch.column("text").to_pylist()]
-        if got:
-            counts += np.bincount(np.concatenate(got).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-    yield slices({i: x for i, x in enumerate(counts.reshape(-1, SLICE)) if x.any()})
-
-
-def slices(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts.values()], pa.binary())], ["slice", "counts"])
-
-
-def add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, x in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            x = np.frombuffer(x, np.uint32).astype(np.uint64)
-            total[i] = total[i] + x if i in total else x
-    yield slices({i: np.minimum(x, 2**32 - 1) for i, x in total.items()})
-
-
-def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of all shingles by the leading bits of their hashes: 2**SKETCH_BITS numbers, whatever the input."""
-    rows = docs.select("text").mapInArrow(lambda it: sketch_rows(it, width), "slice int, counts binary")
-    summed = rows.repartition(16, "slice").mapInArrow(add_slices, "slice int, counts binary")
-    counts = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, np.uint32).reshape(-1, SLICE)
-    for r in summed.collect():  # of fixed size: 4 MB
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
-    return counts.reshape(-1)
-
-
-def short_lists(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, order) -> Iterator[pa.RecordBatch]:
-    """(shingle, node) for the |x|-T+1 rarest shingles of each text."""
-    hasher, counts = Hasher(width), order.value
-    for batch in batches:
-        keys, nodes = [], []
-        for text in batch.column("text").to_pylist():
-            s = hasher.shingles(text)
-            if not len(s):
-                continue
-            k = len(s) - need(len(s), num, den) + 1
-            c = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            by = np.lexsort((s, c))[:k] if k < len(s) else slice(None)
-            keys.append(s[by].view(np.int64))
-            nodes.append(np.full(k, mix(s).sum(dtype=np.uint64).astype(np.int64)))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["shingle", "node"])
+def block_rows(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """For each block of texts: the texts, what to know of each, and the shingles whose frequency the block asks for.
+
+    A request holds one bucket's shingles, by their leading bits, as ascending 32-bit numbers, and in how many of the block's texts each is."""
+    for block, table in cut(batches, BLOCK_BYTES):
+        sets = list(shingle_sets(table.column("text"), width))
+        known = np.array([(len(s), node_of(s), mix(s + M1).sum(dtype=np.uint64).astype(np.int64)) for s in sets], np.int64).reshape(-1, 3)
+        keys, counts = np.unique(keys_of(np.concatenate(sets), bits), return_counts=True)
+        edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+        asked = []
+        for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if j > i:
+                asked.append({"bucket": b, "n": j - i, "keys": squeeze(planes(keys[i:j])), "counts": squeeze(np.minimum(counts[i:j], 255).astype(np.uint8).tobytes())})
+        fields = [table.column("doc_id").to_pylist(), *known.T.tolist()]
+        rows = [dict(zip(("doc_id", "n_shingles", "node", "check"), r)) for r in zip(*fields)]
+        yield pa.RecordBatch.from_pylist([{"block": block, "texts": table_bytes(table), "sets": rows, "asked": asked}], BLOCK_TYPE)
+
+
+BLOCK_TYPE = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("texts", pa.binary()),
+        ("sets", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("check", pa.int64())]))),
+        ("asked", pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))),
+    ]
+)
+BLOCKS = "block long, texts binary, sets array<struct<doc_id:long,n_shingles:long,node:long,check:long>>, asked array<struct<bucket:int,n:long,keys:binary,counts:binary>>"
+
+
+def keys_of(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """A shingle's bucket and 32 bits more: enough to order by, shared by chance now and then."""
+    return shingles >> np.uint64(32 - bits)
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Steps between ascending keys, byte by byte, so that they compress."""
+    steps = np.diff(keys.astype(np.uint32), prepend=np.uint32(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, n).T).view(np.uint32).reshape(-1)
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def answer_bucket(key, table):
+    """How frequent each shingle of a bucket is over all blocks, on a scale of logarithms: 0 if one text has it."""
+    sizes = table.column("n").to_pylist()
+    keys = np.concatenate([from_planes(unsqueeze(k, 4 * n), n) for k, n in zip(table.column("keys").to_pylist(), sizes)])
+    counts = np.concatenate([np.frombuffer(unsqueeze(c, n), np.uint8) for c, n in zip(table.column("counts").to_pylist(), sizes)])
+    distinct, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, counts, len(distinct))
+    ranks = np.minimum(np.floor(8 * np.log2(total)), 255).astype(np.uint8)[at]
+    parts = np.split(ranks, np.cumsum(sizes)[:-1])
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "ranks": pa.array([squeeze(p.tobytes()) for p in parts], pa.binary())})
+
+
+def short_lists(width: int, num: int, den: int, bits: int):
+    """(shingle, node): of the |x|-T+1 rarest shingles of each text those that another text has too."""
+
+    def run(blocks, answers):
+        ranks = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(unsqueeze(r["ranks"], r["n"]), np.uint8) for r in sorted(answers.to_pylist(), key=lambda r: r["bucket"]))])
+        shingles, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for blob in blocks.column("texts").to_pylist():
+            sets = list(shingle_sets(read_table(blob).column("text"), width))
+            keys, at = np.unique(keys_of(np.concatenate(sets), bits), return_inverse=True)
+            if len(keys) != len(ranks):
+                raise ValueError("a block's shingles are not those that it asked for")
+            rank, first = ranks[at], 0
+            for s in sets:
+                own = rank[first : first + len(s)]
+                first += len(s)
+                if not len(s) or not own.any():
+                    continue
+                by = np.argsort(own, kind="stable")[: len(s) - need(len(s), num, den) + 1]
+                by = by[own[by] > 0]
+                shingles.append(s[by])
+                nodes.append(np.full(len(by), node_of(s)))
+        return pa.table({"shingle": np.concatenate(shingles).view(np.int64), "node": np.concatenate(nodes)})
+
+    return run
+
+
+def tied(blocks: DataFrame, width: int, num: int, den: int, bits: int) -> DataFrame:
+    """(node, component): sets that share a short list with another, and what they hang together with."""
+    asked = blocks.select("block", F.inline("asked"))
+    answers = asked.groupBy("bucket").applyInArrow(answer_bucket, "block long, bucket int, n long, ranks binary")
+    texts = blocks.select("block", "texts")
+    lists = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(short_lists(width, num, den, bits), "shingle long, node long").distinct()
+    heads = F.min("node").over(Window.partitionBy("shingle"))
+    return connected_components(lists.select(F.col("node").alias("a"), heads.alias("b")).filter("a != b"))
 
 
 def long_lists(lengths: list[int], t: int) -> int:
@@ -189,9 +198,8 @@ def search(queries: list[int], indexed: list[int], sets: list[np.ndarray], num:
 
 def search_part(width: int, num: int, den: int):
     def run(key, table):
-        hasher = Hasher(width)
         ids, sides = table.column("doc_id").to_pylist(), table.column("part").to_pylist()
-        sets = [hasher.shingles(t) for t in table.column("text").to_pylist()]
+        sets = list(shingle_sets(table.column("text"), width))
         i, j = key[1].as_py(), key[2].as_py()
         order = sorted(range(len(ids)), key=lambda k: ids[k])
         a, b = [k for k in order if sides[k] == i], [k for k in order if sides[k] == j]
@@ -208,28 +216,26 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     words, the whole sequence where there are fewer, and nothing for null, empty or blank texts, which link with nothing. Two documents link when
     den * intersection >= num * union. Rows with a null doc_id link with nothing. Repeated rows and equal texts get the same component. Further columns are ignored.
     """
-    docs = columns(docs, "doc_id", "text")
-    spark = docs.sparkSession
-    rows = stage(docs.mapInArrow(lambda it: set_rows(it, width), "doc_id long, n_shingles long, node long, check long"))
+    docs = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, min(30, math.ceil(math.log2(max(1, size) / BUCKET_BYTES))))
+    blocks = stage(docs.mapInArrow(lambda it: block_rows(it, width, bits), BLOCKS))
+    rows = stage(blocks.select(F.inline("sets")))
     total = rows.count()
     key = ["node", "check", "n_shingles"]
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
 
-    # Blocks: classes that share a short list, tied through the list's least node.
-    order = spark.sparkContext.broadcast(sketch(docs, width))
-    lists = docs.filter("doc_id is not null").mapInArrow(lambda it: short_lists(it, width, num, den, order), "shingle long, node long").distinct()
-    heads = F.min("node").over(Window.partitionBy("shingle"))
-    blocks = stage(connected_components(lists.select(F.col("node").alias("a"), heads.alias("b")).filter("a != b")))
-
-    # One text of each class in a block, dealt in parts.
-    inside = stage(classes.join(small(blocks, blocks.count()), "node").select("rep", "n_shingles", F.col("component").alias("block")))
-    n_inside = inside.count()
-    parts = inside.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_DOCS), F.ceil(F.sum("n_shingles") / PART_SHINGLES)).alias("parts"), F.count(F.lit(1)).alias("size"))
-    dealt = join_groups(inside, parts, ["block"], "size", n_inside).select(F.col("rep").alias("doc_id"), "block", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
-    texts = docs.join(small(dealt, n_inside), "doc_id").dropDuplicates(["doc_id"])
+    # Sets that share a short list hang together; no linked pair lies across such groups. One text of each set goes on.
+    groups = stage(tied(blocks, width, num, den, bits))
+    inside = stage(classes.join(small(groups, groups.count()), "node").select(F.col("rep").alias("doc_id"), "n_shingles", F.col("component").alias("block")))
+    texts = docs.join(small(inside, inside.count()), "doc_id").dropDuplicates(["doc_id"])
+
+    # Groups are dealt in parts, and each pair of a group's parts is searched for itself.
+    sizes = inside.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_DOCS), F.ceil(F.sum("n_shingles") / PART_SHINGLES)).alias("parts"), F.count(F.lit(1)).alias("size"))
+    dealt = join_groups(texts, stage(sizes), ["block"], "size", inside.count()).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    work = texts.select("doc_id", "text", "block", "part", other).select("doc_id", "text", "block", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    work = dealt.select("doc_id", "text", "block", "part", other).select("doc_id", "text", "block", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     links = work.groupBy("block", "i", "j").applyInArrow(search_part(width, num, den), "a long, b long")
 
     joined = connected_components(links)

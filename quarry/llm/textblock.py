@@ -120,19 +120,19 @@ def shingle_sets(texts, width: int) -> Iterator[np.ndarray]:
             yield s
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(block, rows): a partition's rows in blocks that end once they hold BLOCK_BYTES."""
+def cut(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
+    """(block, rows): a partition's rows in blocks that end once they hold ``most`` bytes."""
     block, some, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
         text = batch.column("text")
         ends, first = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)), 0
         while first < batch.num_rows:
-            k = int(np.searchsorted(ends, BLOCK_BYTES - size + (ends[first - 1] if first else 0), "left")) + 1
+            k = int(np.searchsorted(ends, most - size + (ends[first - 1] if first else 0), "left")) + 1
             part = batch.slice(first, k - first)
             some.append(part)
             size += part.column("text").nbytes
             first += part.num_rows
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 yield block, pa.Table.from_batches(some)
                 block, some, size = block + 1, [], 0
     if some:
