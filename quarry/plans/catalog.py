@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import graph, relational  # noqa: F401
+from quarry.plans import graph, relational, retrieval, text  # noqa: F401
 from quarry.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return QUERIES["op_x11_hybrid_rrf"](spark, sf_dir)
