@@ -96,3 +96,27 @@ def classify(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
     for name, pattern in reversed(rules):
         out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
     return out
+
+
+def repair_inner_case(c: Column) -> Column:
+    """A capital inside a lower-cased word is lowered (P03): its letters after the first, where a lower-case one comes before it."""
+    words = F.split(c, " ")
+    odd = lambda w: w.rlike(r"^\p{L}*\p{Ll}\p{Lu}\p{L}*$")
+    return F.array_join(F.transform(words, lambda w: F.when(odd(w), F.concat(F.substring(w, 1, 1), F.lower(w.substr(F.lit(2), F.length(w))))).otherwise(w)), " ")
+
+
+def unwrap_tables(c: Column) -> Column:
+    """Table rows become lines of their cells, rulers go."""
+    lines = F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^\s*\|?[\s:|+-]*[-=]{3,}[\s:|+=-]*$"))
+    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"^\s*\|.*\|\s*$"), F.trim(F.regexp_replace(F.trim(x), r"\s*\|\s*", " "))).otherwise(x)), "\n")
+
+
+def repair_json(c: Column) -> Column:
+    """The first JSON object of a text, without code fences and trailing commas (P37); null if there is none."""
+    body = F.regexp_extract(F.regexp_replace(c, r"```(?:json)?", ""), r"(?s)(\{.*\})", 1)
+    return F.when(body != "", F.regexp_replace(body, r",\s*([}\]])", "$1"))
+
+
+def valid_span(c: Column, generic: list[str]) -> Column:
+    """Whether a candidate name can be an entity (F14): 2 to 80 characters, 8 words at most, no digit first, no brackets, not a generic word."""
+    return F.length(c).between(2, 80) & (F.size(F.split(c, r"\s+")) <= 8) & ~c.rlike(r"^\d") & ~c.rlike(r"[\[\](){}<>]") & ~F.lower(c).isin(generic)
