@@ -193,14 +193,15 @@ def drop_overlapped(spans: DataFrame, higher: DataFrame) -> DataFrame:
     return spans.join(h, (spans["doc_id"] == h["doc_id"]) & (F.greatest("start", "_s") < F.least("end", "_e")), "left_anti")
 
 
-def near_spans(spans: DataFrame, docs: DataFrame, left: str, right: str, most: int = 120) -> DataFrame:
+def near_spans(spans: DataFrame, docs: DataFrame, left: str, right: str, most: int = 120, keep_gap: bool = False) -> DataFrame:
     """Pairs of spans of two kinds at most ``most`` characters apart with no sentence end between (J15): joined by document and by cells of ``most`` characters, so that only neighbours meet."""
     a = spans.filter(F.col("kind") == left).select("doc_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("name").alias("a"))
     a = a.withColumn("cell", F.explode(F.expr(f"array(a_end div {most}, a_end div {most} + 1)")))
     b = spans.filter(F.col("kind") == right).select("doc_id", F.col("start").alias("b_start"), F.col("name").alias("b"), F.expr(f"start div {most}").alias("cell"))
     near = a.join(b, ["doc_id", "cell"]).filter((F.col("b_start") >= F.col("a_end")) & (F.col("b_start") - F.col("a_end") <= most))
     gap = F.expr("substring(text, a_end + 1, b_start - a_end)")
-    return near.join(docs.select("doc_id", "text"), "doc_id").filter(~gap.rlike(r"[.\n]")).select("doc_id", "a", "b", "a_start", "b_start")
+    near = near.join(docs.select("doc_id", "text"), "doc_id").filter(~gap.rlike(r"[.\n]"))
+    return near.select("doc_id", "a", "b", "a_start", "b_start", *(["a_end", "text"] if keep_gap else []))
 
 
 def extract_years(c: Column) -> Column:
@@ -218,3 +219,59 @@ def extract_claims(answers: DataFrame) -> DataFrame:
     """Claims of an answer (V01): its sentences without bullets, of 12 characters or more."""
     s = answers.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "claim"))
     return s.withColumn("claim", F.regexp_replace("claim", r"^\s*(?:[-*•]|\d+[.)])\s*", "")).filter(F.length("claim") >= 12)
+
+
+# -- repair and rules
+def unwrap_lines(docs: DataFrame, narrow: int = 40) -> DataFrame:
+    """Soft-wrapped lines joined (P02): a line goes on in the next unless it is blank, shorter than ``narrow``, ends a sentence or is a heading or list item, or the next one is."""
+
+    def unwrap(text: str | None) -> str | None:
+        if text is None:
+            return None
+        special = lambda s: not s or re.match(r"(#|[-*•|]|\d+[.)]\s)", s)
+        out: list[str] = []
+        for line in text.split("\n"):
+            s = line.strip()
+            if out and len(out[-1]) >= narrow and not special(out[-1].rsplit("\n", 1)[-1]) and not special(s) and out[-1][-1] not in ".!?:;":
+                out[-1] += " " + s
+            else:
+                out.append(s)
+        return "\n".join(out)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(unwrap)
+
+    return docs.withColumn("text", run("text"))
+
+
+def heal_syllables(docs: DataFrame, lexicon: list[str]) -> DataFrame:
+    """Words torn apart put together (P06): greedily, three tokens or two whose joint is a word of the lexicon while not all of them are. The lexicon is fixed and goes with the task."""
+    known = frozenset(lexicon)
+
+    def heal(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out, words, i = [], text.split(" "), 0
+        while i < len(words):
+            n = next((n for n in (3, 2) if i + n <= len(words) and (j := "".join(words[i : i + n])).lower() in known and not all(w.lower() in known for w in words[i : i + n])), 1)
+            out.append("".join(words[i : i + n]))
+            i += n
+        return " ".join(out)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(heal)
+
+    return docs.withColumn("text", run("text"))
+
+
+def rule_triples(spans: DataFrame, docs: DataFrame, rules: list[tuple[str, str, str, str, int]]) -> DataFrame:
+    """Rule-based triples (P38, J15): for each rule (left kind, right kind, relation, pattern of the gap, most characters) the pairs of neighbouring spans whose gap has the pattern; of one pair the first rule wins."""
+    out = None
+    for k, (left, right, relation, pattern, most) in enumerate(rules):
+        gap = F.expr("substring(text, a_end + 1, b_start - a_end)")
+        near = near_spans(spans, docs, left, right, most, keep_gap=True).filter(gap.rlike(pattern))
+        near = near.select("doc_id", F.col("a").alias("src"), F.lit(relation).alias("rel"), F.col("b").alias("tgt"), F.lit(k).alias("rule"), "a_start", "b_start")
+        out = near if out is None else out.unionByName(near)
+    return keep_first(out, ["doc_id", "a_start", "b_start"], [F.col("rule")]).drop("rule")

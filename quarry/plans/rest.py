@@ -116,3 +116,20 @@ def _(spark, d):
     w = W.partitionBy("dynasty")
     r = chunks(spark, d).select("dynasty", "chunk_id", F.row_number().over(w.orderBy("chunk_id")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
     return r.filter("rn <= ceil(n / 4.0)").select("dynasty", "chunk_id")
+
+
+@query("op_p02_soft_wraps")
+def _(spark, d):
+    return O.unwrap_lines(_docs(spark, d).select("doc_id", "text")).select("doc_id", _md5(F.col("text")))
+
+
+@query("op_p06_syllable_healing")
+def _(spark, d):
+    return O.heal_syllables(_docs(spark, d).select("doc_id", "text"), ["inthe", "ofthe", "unddie"]).select("doc_id", _md5(F.col("text")))
+
+
+@query("op_p38_rule_triples")
+def _(spark, d):
+    docs = _docs(spark, d)
+    spans = O.gazetteer_spans(docs, ["the", "of", "und", "der", "de", "la"]).withColumn("kind", F.when(F.col("name").isin("the", "und", "de"), "a").otherwise("b"))
+    return O.rule_triples(spans, docs, [("a", "b", "NEXT_TO", r"^ $", 10), ("a", "b", "NEAR", r"^ \w+ $", 40)])
