@@ -13,7 +13,7 @@ from pyspark import TaskContext
 #: Texts are handled in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 #: A partition's documents travel in blocks of so many bytes of text.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 R = np.uint64(0x9E3779B97F4A7C15)
 R_INVERSE = np.uint64(pow(int(R), -1, 1 << 64))
 M1, M2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -141,7 +141,7 @@ def cut(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[
 
 def table_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
         out.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -151,7 +151,7 @@ def read_table(data: bytes) -> pa.Table:
 
 
 def squeeze(data: bytes) -> bytes:
-    return pa.Codec("zstd").compress(data, asbytes=True)
+    return pa.Codec("zstd", 5).compress(data, asbytes=True)
 
 
 def unsqueeze(data: bytes, size: int) -> bytes:
