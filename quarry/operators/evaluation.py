@@ -102,3 +102,19 @@ def bootstrap(df: DataFrame, key: str, value: str, seed: int = 42, rounds: int =
 
     kind = dict(df.dtypes)[key]
     return df.select(key, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, low double, high double")
+
+
+def triple_scores(predicted: DataFrame, gold: DataFrame, closure) -> DataFrame:
+    """Triple scores against gold (M09): exact matches, matches of what follows from gold by ``closure``, pairs of ends in the wrong direction, and the rest, which count as hallucinated.
+
+    One row: predicted, exact, implied, reversed, hallucinated, precision, recall, f1."""
+    t = ["src", "rel", "tgt"]
+    p, g = predicted.select(*t).distinct(), gold.select(*t).distinct()
+    flag = lambda df, name: df.select(*t).distinct().withColumn(name, F.lit(True))
+    turned = g.select(F.col("tgt").alias("src"), "rel", F.col("src").alias("tgt"))
+    j = p.join(flag(g, "e"), t, "left").join(flag(closure(g), "i"), t, "left").join(flag(turned, "r"), t, "left")
+    e, i, r = F.col("e").isNotNull(), F.col("i").isNotNull(), F.col("r").isNotNull()
+    c = j.agg(F.count(F.lit(1)).alias("predicted"), F.count_if(e).alias("exact"), F.count_if(~e & i).alias("implied"), F.count_if(~e & ~i & r).alias("reversed"), F.count_if(~e & ~i & ~r).alias("hallucinated"))
+    n = c.crossJoin(g.agg(F.count(F.lit(1)).alias("n_gold")))  # one row each
+    pr, re = (F.col("exact") + F.col("implied")) / F.col("predicted"), F.col("exact") / F.col("n_gold")
+    return n.select("predicted", "exact", "implied", "reversed", "hallucinated", F.round(pr, 6).alias("precision"), F.round(re, 6).alias("recall"), F.round(2 * pr * re / (pr + re), 6).alias("f1"))

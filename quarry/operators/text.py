@@ -275,3 +275,65 @@ def rule_triples(spans: DataFrame, docs: DataFrame, rules: list[tuple[str, str,
         near = near.select("doc_id", F.col("a").alias("src"), F.lit(relation).alias("rel"), F.col("b").alias("tgt"), F.lit(k).alias("rule"), "a_start", "b_start")
         out = near if out is None else out.unionByName(near)
     return keep_first(out, ["doc_id", "a_start", "b_start"], [F.col("rule")]).drop("rule")
+
+
+def composed(docs: DataFrame) -> DataFrame:
+    """Text in composed form without control characters, no-break spaces as spaces, full-width punctuation as ASCII."""
+    import unicodedata
+
+    wide = str.maketrans({0xFF01 + k: 0x21 + k for k in range(94)} | {0xA0: " ", 0x3000: " "})
+    drop = {k: None for k in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]}
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).translate(wide).translate(drop))
+
+    return docs.withColumn("text", run("text"))
+
+
+def small_vectors(docs: DataFrame, dim: int = 64) -> DataFrame:
+    """Deterministic vectors of words (1, x31 hash) and word pairs (1.5, x33 hash), of length 1."""
+
+    def h(text: str, factor: int) -> int:
+        n = 0
+        for c in text:
+            n = (n * factor + ord(c)) & 0xFFFFFFFF
+        return n
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        def vector(text: str | None) -> np.ndarray:
+            v, words = np.zeros(dim), re.findall(r"\w+", (text or "").lower())
+            for w in words:
+                v[h(w, 31) % dim] += 1.0
+            for a, b in zip(words, words[1:]):
+                v[h(f"{a} {b}", 33) % dim] += 1.5
+            return v / (math.sqrt(float(v @ v)) or 1.0)
+
+        return s.map(vector)
+
+    return docs.select("doc_id", run("text").alias("embedding"))
+
+
+def alias_hits(queries: DataFrame, aliases: DataFrame, most: int = 4) -> DataFrame:
+    """Aliases in queries by n-grams of 4 words down to 1 (P19): query, alias, canonical; an equi-join on the n-gram, longer ones first."""
+    w = queries.select("query", words_of(F.col("text")).alias("w"))
+    grams = F.explode(F.expr(f"flatten(transform(sequence(1, {most}), n -> if(size(w) >= n, transform(sequence(1, size(w) - n + 1), i -> struct(array_join(slice(w, i, n), ' ') as alias, n as n)), array())))")).alias("g")
+    return w.select("query", grams).select("query", "g.alias", "g.n").distinct().join(aliases, "alias").select("query", "alias", "canonical", "n")
+
+
+def enrich(docs: DataFrame, chronology: DataFrame) -> DataFrame:
+    """Year bounds of a text and the epoch of its first year (P15): doc_id, first_year, last_year, epoch_id, dynasty_id; null without years."""
+    from quarry.operators.relational import epoch_of_year
+
+    y = docs.select("doc_id", extract_years(F.col("text")).alias("years"))
+    y = y.select("doc_id", F.array_min("years").alias("first_year"), F.array_max("years").alias("last_year"))
+    dated = epoch_of_year(y.filter("first_year is not null"), chronology, "first_year").select(*y.columns, "epoch_id", "dynasty_id")
+    return dated.unionByName(y.filter("first_year is null"), allowMissingColumns=True)
+
+
+def parenthetical_pairs(docs: DataFrame) -> DataFrame:
+    """Capitalised names followed by another in brackets (P39): doc_id, name, other."""
+    pattern = r"(\p{Lu}[\p{L}]+(?: \p{Lu}[\p{L}]+)*) \((\p{Lu}[\p{L}]+(?: \p{Lu}[\p{L}]+)*)\)"
+    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("other"))
+    return docs.select("doc_id", F.explode(both).alias("p")).select("doc_id", F.col("p.name").alias("name"), F.col("p.other").alias("other"))

@@ -133,3 +133,77 @@ def _(spark, d):
     docs = _docs(spark, d)
     spans = O.gazetteer_spans(docs, ["the", "of", "und", "der", "de", "la"]).withColumn("kind", F.when(F.col("name").isin("the", "und", "de"), "a").otherwise("b"))
     return O.rule_triples(spans, docs, [("a", "b", "NEXT_TO", r"^ $", 10), ("a", "b", "NEAR", r"^ \w+ $", 40)])
+
+
+@query("op_p01_composed_text", "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents")
+def _(spark, d):
+    return O.composed(_docs(spark, d).select("doc_id", "text")).select("doc_id", _md5(F.col("text")))
+
+
+@query("op_x04_small_vectors")
+def _(spark, d):
+    return O.small_vectors(_docs(spark, d))
+
+
+@query("op_p19_alias_ngrams", f"WITH {CHUNKS_SQL}, w AS (SELECT chunk_id AS query, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM chunks WHERE chunk_id % 100 = 0), g AS (SELECT DISTINCT query, alias FROM (SELECT query, unnest(w) AS alias FROM w)), a AS (SELECT DISTINCT lower(lang) AS alias, lang AS canonical FROM documents) SELECT query, g.alias, canonical, 1 AS n FROM g JOIN a ON g.alias = a.alias")
+def _(spark, d):
+    q = chunks(spark, d).filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query"), F.col("content").alias("text"))
+    a = _docs(spark, d).select(F.lower("lang").alias("alias"), F.col("lang").alias("canonical")).distinct()
+    return O.alias_hits(q, a)
+
+
+@query("op_p15_metadata_enrichment")
+def _(spark, d):
+    return O.enrich(_docs(spark, d), dims.chronology(spark))
+
+
+@query("op_p39_parentheticals", r"SELECT doc_id, unnest(regexp_extract_all(t, '(\p{Lu}[\p{L}]+(?: \p{Lu}[\p{L}]+)*) \((\p{Lu}[\p{L}]+(?: \p{Lu}[\p{L}]+)*)\)', 1)) AS name, unnest(regexp_extract_all(t, '(\p{Lu}[\p{L}]+(?: \p{Lu}[\p{L}]+)*) \((\p{Lu}[\p{L}]+(?: \p{Lu}[\p{L}]+)*)\)', 2)) AS other FROM (SELECT doc_id, 'Anna Bo (Carl) ' || text AS t FROM documents)")
+def _(spark, d):
+    return O.parenthetical_pairs(_docs(spark, d).select("doc_id", F.concat(F.lit("Anna Bo (Carl) "), "text").alias("text")))
+
+
+@query("op_m07_bootstrap")
+def _(spark, d):
+    from quarry.operators.evaluation import bootstrap
+
+    hits = dense(spark, d, 10).groupBy("query").agg(F.avg("similarity").alias("v")).withColumn("run", F.lit("dense"))
+    return bootstrap(hits, "run", "v", rounds=2000)
+
+
+@query("op_m09_triple_scores", f"WITH RECURSIVE {EDGES_SQL}, rules(r1, r2, r3) AS (VALUES ('PART_OF', 'PART_OF', 'PART_OF'), ('LED_BY', 'PART_OF', 'HAPPENED_AT'), ('HAPPENED_AT', 'PART_OF', 'HAPPENED_AT')), g AS (SELECT DISTINCT src, rel, tgt FROM edges WHERE rel <> 'MENTIONED_IN' AND confidence >= 0.4), c AS (SELECT src, rel, tgt FROM g UNION SELECT c.src, r3, g.tgt FROM c JOIN rules ON c.rel = r1 JOIN g ON g.src = c.tgt AND g.rel = r2 WHERE c.src <> g.tgt), p AS (SELECT DISTINCT src, rel, tgt FROM edges WHERE rel <> 'MENTIONED_IN' UNION SELECT 'person_' || c_custkey, 'PART_OF', 'dynasty_' || c_custkey % 5 FROM customer), j AS (SELECT EXISTS (SELECT 1 FROM g WHERE g.src = p.src AND g.rel = p.rel AND g.tgt = p.tgt) AS e, EXISTS (SELECT 1 FROM c WHERE c.src = p.src AND c.rel = p.rel AND c.tgt = p.tgt) AS i, EXISTS (SELECT 1 FROM g WHERE g.src = p.tgt AND g.rel = p.rel AND g.tgt = p.src) AS r FROM p), n AS (SELECT count(*) AS predicted, count(*) FILTER (e) AS exact, count(*) FILTER (NOT e AND i) AS implied, count(*) FILTER (NOT e AND NOT i AND r) AS reversed, count(*) FILTER (NOT e AND NOT i AND NOT r) AS hallucinated, (SELECT count(*) FROM g) AS n_gold FROM j), s AS (SELECT *, (exact + implied) / predicted AS a, exact / n_gold AS b FROM n) SELECT predicted, exact, implied, reversed, hallucinated, round(a, 6) AS precision, round(b, 6) AS recall, round(2 * a * b / (a + b), 6) AS f1 FROM s")
+def _(spark, d):
+    from quarry.operators.evaluation import triple_scores
+
+    e = edges(spark, d).filter("rel <> 'MENTIONED_IN'")
+    wild = table(spark, d, "customer").selectExpr("concat('person_', c_custkey) AS src", "'PART_OF' AS rel", "concat('dynasty_', c_custkey % 5) AS tgt")
+    return triple_scores(e.select("src", "rel", "tgt").unionByName(wild), e.filter("confidence >= 0.4"), G.transitive_closure)
+
+
+@query("op_m11_chunk_quality", f"WITH {CHUNKS_SQL} SELECT dynasty, count(*) AS n, round(avg(len(string_split(content, ' '))), 4) AS words, round(avg(CASE WHEN len(string_split(content, ' ')) BETWEEN 280 AND 520 THEN 1.0 ELSE 0.0 END), 6) AS in_bounds FROM chunks GROUP BY dynasty")
+def _(spark, d):
+    words = F.size(F.split("content", " "))
+    return chunks(spark, d).groupBy("dynasty").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(words), 4).alias("words"), F.round(F.avg(words.between(280, 520).cast("double")), 6).alias("in_bounds"))
+
+
+@query("op_o03_facet_queries", "SELECT p_partkey, unnest([p_brand || ' history', p_brand || ' ' || lower(p_type), p_name]) AS facet FROM part")
+def _(spark, d):
+    facets = F.array(F.concat("p_brand", F.lit(" history")), F.concat("p_brand", F.lit(" "), F.lower("p_type")), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.explode(facets).alias("facet"))
+
+
+@query("op_o08_stage_metrics", "SELECT conv_id, count(*) AS scenes, round(avg(len(string_split(text, ' '))), 4) AS words, count(*) FILTER (len(string_split(text, ' ')) NOT BETWEEN 14 AND 52) AS out_of_bounds FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    words = F.size(F.split("text", " "))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("scenes"), F.round(F.avg(words), 4).alias("words"), F.count_if(~words.between(14, 52)).alias("out_of_bounds"))
+
+
+@query("op_o13_message_history", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations")
+def _(spark, d):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("op_r06_channel_validation", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 50, false) AS accepted FROM events")
+def _(spark, d):
+    m = F.from_json("props", "k long")
+    return table(spark, d, "events").select("event_id", m["k"].alias("k"), F.coalesce(m["k"].between(0, 50), F.lit(False)).alias("accepted"))

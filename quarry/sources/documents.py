@@ -112,3 +112,14 @@ def as_markdown(names: list[str], body: str) -> Column:
     """A document's columns as front matter and its body."""
     lines = [F.concat(F.lit(f"{n}: "), F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in names if n != body]
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), F.coalesce(body, F.lit("")))
+
+
+def read_benchmark(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON arrays with a declared schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def snapshot(df: DataFrame, folder: str, name: str) -> str:
+    """Backup of a table under a folder (O12); reading that path restores it."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return f"{folder}/{name}"
