@@ -119,7 +119,7 @@ def _(spark, d):
     return V.residual_merge([e.filter("confidence >= 0.8"), e.filter("confidence >= 0.6"), late], [False, False, True]).groupBy("stage", "rel").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("op_x08_boosted_lexical", f"WITH {LEXICAL_SQL} SELECT query, chunk_id, round(score * CASE WHEN tier = 'LEVEL_1' THEN 1.35 ELSE 1.0 END * CASE WHEN parent_id IS NOT NULL THEN 1.15 ELSE 1.0 END, 6) AS score FROM hits JOIN chunks USING (chunk_id)")
+@query("op_x08_boosted_lexical", f"WITH {LEXICAL_SQL} SELECT query, chunk_id, round(score * CASE WHEN tier = 'LEVEL_1' THEN 1.35 ELSE 1.0 END * CASE WHEN parent_id IS NOT NULL THEN 1.15 ELSE 1.0 END, 6)::DOUBLE AS score FROM hits JOIN chunks USING (chunk_id)")
 def _(spark, d):
     s = X.lexical_scores(_terms(spark, d), postings(chunks(spark, d))).join(chunks(spark, d), "chunk_id")
     boost = F.when(F.col("tier") == "LEVEL_1", X.TIER_BOOST).otherwise(1.0) * F.when(F.col("parent_id").isNotNull(), X.CHILD_BOOST).otherwise(1.0)

@@ -76,7 +76,7 @@ def _(spark, d):
     return lexical(spark, d, 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("op_x10_adaptive_weights", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^0-9A-Za-z_])\d{3,4}([^0-9A-Za-z_]|$)') THEN 0.3 ELSE 0.5 END AS dense FROM documents")
+@query("op_x10_adaptive_weights", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^0-9A-Za-z_])\d{3,4}([^0-9A-Za-z_]|$)') THEN 0.3 ELSE 0.5 END::DOUBLE AS dense FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.weights(F.col("text"))["dense"].alias("dense"))
 
@@ -118,7 +118,7 @@ def _(spark, d):
     return X.co_retrieved(dense(spark, d, 20).select("query", "chunk_id", "score"), _graph(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("op_x18_rerank_fallback", f"WITH {HYBRID_SQL} SELECT query, chunk_id, round(greatest(0.40, 0.85 - 0.03 * (rank - 1)), 6) AS score FROM hybrid WHERE rank <= 10")
+@query("op_x18_rerank_fallback", f"WITH {HYBRID_SQL} SELECT query, chunk_id, round(greatest(0.40, 0.85 - 0.03 * (rank - 1)), 6)::DOUBLE AS score FROM hybrid WHERE rank <= 10")
 def _(spark, d):
     return hybrid(spark, d, 10).select("query", "chunk_id", F.round(X.rerank_fallback(), 6).alias("score"))
 
@@ -136,12 +136,12 @@ def final_scores(spark, d) -> DataFrame:
     return h.select("query", "chunk_id", "title", "content", "rank", F.round(X.bayesian(X.rerank_fallback(), F.col("tier"), t, F.col("chunk_id") % 2 == 0), 9).alias("score"))
 
 
-@query("op_x19_bayesian_fusion", f"WITH {HYBRID_SQL}, {FINAL_SQL} SELECT query, chunk_id, round(score, 6) AS score FROM final")
+@query("op_x19_bayesian_fusion", f"WITH {HYBRID_SQL}, {FINAL_SQL} SELECT query, chunk_id, round(score, 6)::DOUBLE AS score FROM final")
 def _(spark, d):
     return final_scores(spark, d).select("query", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("op_x20_temporal_multiplier", f"WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN time_start IS NULL THEN 1.0 ELSE (SELECT CASE WHEN g <= 2 THEN 1.1 WHEN g <= 30 THEN 1.0 WHEN g <= 100 THEN 0.85 WHEN g <= 500 THEN 0.7 WHEN g <= 1000 THEN 0.05 ELSE 0.001 END FROM (SELECT least(CASE WHEN 40 BETWEEN time_start AND time_end THEN 0 ELSE least(abs(40 - time_start), abs(40 - time_end)) END, CASE WHEN 1288 BETWEEN time_start AND time_end THEN 0 ELSE least(abs(1288 - time_start), abs(1288 - time_end)) END) AS g)) END AS factor FROM chunks")
+@query("op_x20_temporal_multiplier", f"WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN time_start IS NULL THEN 1.0 ELSE (SELECT CASE WHEN g <= 2 THEN 1.1 WHEN g <= 30 THEN 1.0 WHEN g <= 100 THEN 0.85 WHEN g <= 500 THEN 0.7 WHEN g <= 1000 THEN 0.05 ELSE 0.001 END FROM (SELECT least(CASE WHEN 40 BETWEEN time_start AND time_end THEN 0 ELSE least(abs(40 - time_start), abs(40 - time_end)) END, CASE WHEN 1288 BETWEEN time_start AND time_end THEN 0 ELSE least(abs(1288 - time_start), abs(1288 - time_end)) END) AS g)) END::DOUBLE AS factor FROM chunks")
 def _(spark, d):
     c = chunks(spark, d).withColumn("years", F.array(F.lit(40), F.lit(1288)))
     return c.select("chunk_id", X.temporal_multiplier("years", F.col("time_start"), F.col("time_end")).alias("factor"))
