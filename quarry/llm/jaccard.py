@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
 #: A block is searched in parts of about so many documents and shingles; each pair of parts is one task's work.
 PART_DOCS, PART_SHINGLES = 512, 400_000
-#: DivideSkip's weight of a probe against a step of the merge.
-MU = 0.05
+#: DivideSkip's weight of a probe against a step of the merge: small, as pairs that are joined already are not probed.
+MU = 0.005
 
 
 def node_of(s: np.ndarray) -> np.int64:
@@ -140,9 +139,9 @@ def tied(blocks: DataFrame, width: int, num: int, den: int, bits: int) -> DataFr
     return connected_components(lists.select(F.col("node").alias("a"), heads.alias("b")).filter("a != b"))
 
 
-def long_lists(lengths: list[int], t: int) -> int:
-    """How many of the longest lists DivideSkip leaves to probing."""
-    return min(t - 1, int(t / (MU * math.log2(max(lengths, default=2) + 1) + 1)), len(lengths))
+def long_lists(longest: int, t: int) -> int:
+    """How many of the longest lists DivideSkip leaves to probing: none but fewer than t may be left out of the merge."""
+    return min(t - 1, int(t / (MU * math.log2(longest + 1) + 1)))
 
 
 def merge(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
@@ -164,32 +163,42 @@ def find(parent: list[int], x: int) -> int:
     return x
 
 
+def inverted(docs: list[int], indexed: list[int], sets: list[np.ndarray]) -> tuple[dict[int, np.ndarray], list[list[int]]]:
+    """The shingles of each document that another one of ``docs`` has too, by number, and each number's ascending list of ``indexed`` documents."""
+    every, at = np.unique(np.concatenate([sets[d] for d in docs]), return_inverse=True)
+    shared = (np.bincount(at, minlength=len(every)) > 1)[at]
+    ends = np.cumsum([len(sets[d]) for d in docs])
+    own = {d: part[keep] for d, part, keep in zip(docs, np.split(at, ends[:-1]), np.split(shared, ends[:-1]))}
+    lists: list[list[int]] = [[] for _ in range(len(every))]
+    for d in sorted(indexed):
+        for s in own[d].tolist():
+            lists[s].append(d)
+    return own, lists
+
+
 def search(queries: list[int], indexed: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links between ``queries`` and ``indexed`` (positions in ``sets``) enough to join every linked pair; pairs that
     are joined already are not looked at again."""
-    index: dict[int, list[int]] = {}
-    for d in indexed:
-        for s in sets[d].tolist():
-            index.setdefault(s, []).append(d)
-    for x in index.values():
-        x.sort()
+    docs = sorted({*queries, *indexed})
+    if len(docs) < 2:
+        return []
+    own, index = inverted(docs, indexed, sets)
     parent, found = list(range(len(sets))), []
     for q in queries:
         size = len(sets[q])
         t = need(size, num, den)
-        lists = sorted((x for s in sets[q].tolist() if (x := index.get(s)) and (len(x) > 1 or x[0] != q)), key=len)
+        if len(own[q]) < t:
+            continue
+        lists = sorted((s for s in own[q].tolist() if index[s]), key=lambda s: len(index[s]))
         if len(lists) < t:
             continue
-        skip = long_lists([len(lists[-1])], t)
-        short, long = lists[: len(lists) - skip], lists[len(lists) - skip :][::-1]
-        for d, n in merge(short):
+        skip = long_lists(len(index[lists[-1]]), t)
+        long = np.array(lists[len(lists) - skip :], np.int64)
+        for d, n in merge([index[s] for s in lists[: len(lists) - skip]]):
             if n < t - skip or d == q or not (size * num <= len(sets[d]) * den and len(sets[d]) * num <= size * den) or find(parent, d) == find(parent, q):
                 continue
-            for left, x in zip(range(skip, 0, -1), long):
-                if n + left < t:
-                    break
-                i = bisect_left(x, d)
-                n += i < len(x) and x[i] == d
+            # Binary probes: is the candidate in the long lists, that is, are their shingles among its own, which are in order?
+            n += int((own[d][np.minimum(np.searchsorted(own[d], long), len(own[d]) - 1)] == long).sum())
             if linked(n, size, len(sets[d]), num, den):
                 parent[find(parent, d)] = find(parent, q)
                 found.append((q, d))
@@ -236,7 +245,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     dealt = join_groups(texts, stage(sizes), ["block"], "size", inside.count()).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     work = dealt.select("doc_id", "text", "block", "part", other).select("doc_id", "text", "block", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    links = work.groupBy("block", "i", "j").applyInArrow(search_part(width, num, den), "a long, b long")
+    # A row costs far more to search than to move: as many tasks as the session shuffles to, not as few as its bytes would make.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = work.repartition(tasks, "block", "i", "j").groupBy("block", "i", "j").applyInArrow(search_part(width, num, den), "a long, b long")
 
     joined = connected_components(links)
     named = stage(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"), "size"))
