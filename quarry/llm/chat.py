@@ -26,6 +26,15 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<" + ESCAPE + "|"), F.lit("<|")), F.lit(ESCAPE + "e"), F.lit(ESCAPE))
 
 
+def escape_role(c: Column) -> Column:
+    """As ``escape``, and on one line: the line end closes a role."""
+    return F.replace(escape(c), F.lit("\n"), F.lit(ESCAPE + "n"))
+
+
+def unescape_role(c: Column) -> Column:
+    return unescape(F.replace(c, F.lit(ESCAPE + "n"), F.lit("\n")))
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, seq (0, 1, ... by turn, role, text), role, text (null: empty) and what the turn costs."""
     rows = columns(conversations, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -47,7 +56,7 @@ def spans(rows: DataFrame, budget: int, history: int) -> DataFrame:
 
 
 def piece(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(START), escape(role), F.lit("\n"), escape(text), F.lit(END + "\n"))
+    return F.concat(F.lit(START), escape_role(role), F.lit("\n"), escape(text), F.lit(END + "\n"))
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -69,7 +78,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     back = o.join(s, F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("o.window") == F.col("s.window")))
     back = back.filter((F.col("o.seq") < F.col("s.first")) & (F.col("o.upto") - F.col("o.cost") >= F.col("s.before") - history)).select("o.conv_id", "o.window", "o.seq", "o.role", "o.text", F.lit(True).alias("repeated"))
     every = own.unionByName(again).unionByName(back)
-    part = F.struct("seq", piece(F.col("role"), F.col("text")).alias("piece"), F.length(escape(F.col("role"))).alias("role_length"), F.length(escape(F.col("text"))).alias("length"), ((F.col("role") == "assistant") & ~F.col("repeated")).alias("learn"), "repeated")
+    part = F.struct("seq", piece(F.col("role"), F.col("text")).alias("piece"), F.length(escape_role(F.col("role"))).alias("role_length"), F.length(escape(F.col("text"))).alias("length"), ((F.col("role") == "assistant") & ~F.col("repeated")).alias("learn"), "repeated")
     grouped = every.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     folded = F.expr(
         f"""aggregate(parts, named_struct('at', 0, 'spans', cast(array() as array<struct<seq:int,from:int,length:int,learn:boolean,repeated:boolean>>)),
@@ -85,7 +94,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     raw = F.col("formatted").substr(F.col("s.from") + 1, F.col("s.length"))
     # Marks cannot occur inside escaped texts: the k-th start mark is the k-th turn's.
     role = F.substring_index(F.split(F.col("formatted"), r"<\|im_start\|>")[F.col("k") + 1], "\n", 1)
-    return t.filter("not s.repeated").select("conv_id", "s.seq", unescape(role).alias("role"), unescape(raw).alias("text"), "s.learn")
+    return t.filter("not s.repeated").select("conv_id", "s.seq", unescape_role(role).alias("role"), unescape(raw).alias("text"), "s.learn")
 
 
 def conversation_digest(windows: DataFrame) -> DataFrame:
