@@ -26,7 +26,7 @@ from quarry.llm.tokens import tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
 
 VOCABULARY = "word_bpe_49k.json"
-#: Requests of GROUP blocks (2 GB of text) share one word table in BUCKETS tasks, so that no task's part grows with the input.
+#: Requests of GROUP partitions share one word table in BUCKETS tasks, so that no task's part grows with the input.
 GROUP, BUCKETS = 64, 64
 
 
