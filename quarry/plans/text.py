@@ -10,8 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import evaluation as E
 from quarry.operators import text as O
 from quarry.operators.graph import staged
-from quarry.operators.relational import top_per
-from quarry.plans.base import CHUNKS_SQL, chunks, table
+from quarry.plans.base import table
 from quarry.plans.registry import query
 from quarry.plans.retrieval import DENSE_SQL, dense
 from quarry.sources import documents as S
