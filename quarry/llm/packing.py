@@ -30,7 +30,7 @@ def sharded(docs: DataFrame) -> DataFrame:
     rows = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.length("text")), F.lit(shards)))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
 
 def document_ids(table: pa.Table) -> tuple[list, list[np.ndarray]]:
