@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import columns
+from quarry.llm.common import columns, stage
 from quarry.llm.tokens import byte_ids
 
 #: Lengths in one bucket of the two-level suffix sums.
@@ -36,7 +36,7 @@ def length_histogram(docs: DataFrame, by: str = "lang") -> DataFrame:
     Null and empty texts have length 0. Further columns are ignored; an empty table gives no rows.
     """
     lengths = token_lengths(docs, by).withColumn(by, F.coalesce(by, F.lit("")))
-    hist = lengths.groupBy(by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = stage(lengths.groupBy(by, "n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))  # read twice below, texts encoded once
     hist = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET))
     # Sums over longer documents: within a bucket, and over the buckets above it, of which there are few.
     inner = Window.partitionBy(by, "bucket").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
