@@ -7,6 +7,7 @@ the distance below which the best-fitting three quarters lie (from a histogram),
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,10 +23,24 @@ from quarry.llm.common import columns, join_groups, stage
 SPACE, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 #: The share of a group that an estimate rests on, and the factor that makes its covariance consistent for normal data in four dimensions.
 SHARE, CONSISTENT = 0.75, 1.488
-#: A statistic's least standard deviation: below it a difference is no sign of anything.
-FLOORS = (0.08, 0.3, 0.4, 0.7)
-#: Squared distance beyond which a document is an outlier: six robust standard deviations.
-CUTOFF = 36.0
+#: A statistic's least standard deviation: below it a difference is no sign of anything. In the shortest text that passes the base rules,
+#: half of 50 words in repeats are log1p(100 * 25 / 150) = 2.87: more than a floor times the cutoff's root, so each statistic can reject alone.
+FLOORS = (0.08, 0.3, 0.4, 0.6)
+#: The share of normal data that is no outlier.
+QUANTILE = 0.999
+
+
+def chi_square(share: float) -> float:
+    """The quantile of the chi-square distribution with four degrees of freedom, whose tail is exp(-x / 2) (1 + x / 2)."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if math.exp(-x / 2) * (1 + x / 2) > 1 - share else (low, x)
+    return low
+
+
+#: Squared distance beyond which a document is an outlier: 18.47.
+CUTOFF = chi_square(QUANTILE)
 #: Smaller groups are judged by their language's estimate over all such groups.
 LEAST_GROUP = 50
 STEPS, BINS = 5, 500

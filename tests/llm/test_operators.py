@@ -347,6 +347,28 @@ def test_quality(spark, docs, empty):
     assert quality_verdicts(docs).count() == len(awkward()) and quality_verdicts(empty).count() == 0
 
 
+def test_each_statistic_rejects_alone(spark):
+    clean = [(i, " ".join(words(i, 1000, 40_000)), "en", "s") for i in range(120)]
+    assert not any(statistics_of(t)[k] for _, t, *_ in clean for k in (2, 3, 4))
+    fresh = lambda seed, n: words(seed, n, 40_000)
+    lines = [" ".join(fresh(7000 + k, 10)) for k in range(20)]
+    twice = [w for k in range(100) for w in ("\n", f"line{k}", "\n", *fresh(8000 + k, 8))]
+    short = fresh(9200, 12)
+    odd = {
+        1000: " ".join(w * 4 for w in fresh(9000, 1000)),
+        1001: " ".join(w + "#" * (k % 4 == 0) for k, w in enumerate(fresh(9001, 1000))),
+        1002: " ".join([*twice, *twice[:2], *(x for k in range(100) for x in ("\n", f"line{k}", "\n", *fresh(9500 + k, 1)))]),
+        1003: " ".join([*sum((x.split() for x in lines), []), *fresh(9003, 600), *sum((x.split() for x in lines), [])]),
+        1004: "\n".join([*lines, " ".join(fresh(9004, 600)), *lines]),
+        1005: " ".join([*short, *fresh(9005, 26), *short]),
+    }
+    # What each but the fifth differs in: word length, symbols, repeated lines, repeated words; the fifth is in both kinds of repeats.
+    alone = [[n > 0 for n in statistics_of(t)[2:]] for t in odd.values()]
+    assert alone == [[False, False, False], [True, False, False], [False, True, False], [False, False, True], [False, True, True], [False, False, True]]
+    got = {r.doc_id: r for r in quality_verdicts(documents(spark, clean + [(i, t, "en", "s") for i, t in odd.items()])).collect()}
+    assert not any(got[i].base_failed for i in odd) and [i for i in odd if got[i].kept] == [] and all(got[i].kept for i, *_ in clean)
+
+
 # -- 10
 def test_best_fit_against_a_plain_search():
     rng = np.random.default_rng(3)
