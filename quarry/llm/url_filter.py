@@ -47,16 +47,38 @@ def links(html: Column) -> Column:
     return F.filter(F.concat(canonical, refresh), lambda x: x != "")
 
 
-def absolute(target: Column, h: Column) -> Column:
-    """A link target as host and path: absolute ones as they are, those from the root on the page's host; others are no edge."""
-    return F.when(target.contains("://"), F.concat(host(target), path(target))).when(target.startswith("//"), F.concat(host(F.concat(F.lit("x:"), target)), path(F.concat(F.lit("x:"), target)))).when(target.startswith("/"), F.concat(h, F.regexp_extract(target, r"^([^?#]*)", 1)))
+def resolved(target: Column, p: Column) -> Column:
+    """The path of a target without host or leading slash, seen from a page at path ``p``: in its folder, without dot segments."""
+    name = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    steps = F.split(F.concat(F.regexp_extract(p, r"(?s)^/?(.*/)?", 1), name), "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.array_append(done, x)))
+    # A last dot segment names a folder.
+    folder = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
+    return F.when(name == "", p).otherwise(F.concat(F.lit("/"), F.array_join(walked, "/"), folder))
+
+
+def absolute(target: Column, h: Column, p: Column) -> Column:
+    """A link target of the page at ``h`` and ``p`` as a struct (host, path), null if it is no address: one with another scheme (mailto:), or without a host."""
+    full = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target))
+    root = F.when(target.startswith("/"), F.regexp_extract(target, r"(?s)^([^?#]*)", 1)).when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), resolved(target, p))
+    found = F.when(full.isNotNull(), F.struct(host(full).alias("host"), path(full).alias("path"))).when(root.isNotNull(), F.struct(h.alias("host"), root.alias("path")))
+    return F.when(found["host"] != "", found)
+
+
+def address(url: Column) -> Column:
+    return F.struct(host(url).alias("host"), path(url).alias("path"))
+
+
+def hashed(end: Column) -> Column:
+    return F.xxhash64(F.concat(end["host"], end["path"]))
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, redirects: DataFrame | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, component_id.
 
     A page's address is its host and path; pages with one address are aliases, and so are both ends of a canonical link, a meta refresh, or a row
-    of ``redirects`` (from_url, to_url). ``verdict`` is the longest fitting rule's; without one it is block if an alias is blocked by a rule and
+    of ``redirects`` (from_url, to_url), be they rows of ``pages`` or not; targets are relative to the page. ``verdict`` is the longest fitting rule's; without one it is block if an alias is blocked by a rule and
     none is allowed by one, else allow. A null url, or one without ``://``, has no address: no rule fits, it has no alias, and it is allowed.
     ``component_id`` is the least address hash among the aliases, null without an address. Null html has no links; repeated rows get equal verdicts; further columns are ignored.
     """
@@ -66,15 +88,21 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
     rows = rows.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("node", F.when(F.col("host") != "", F.xxhash64(F.concat("host", "path"))))
     rows = stage(rows)
     total = rows.count()
-    edges = rows.select("node", F.explode("to").alias("t"), "host").select(F.col("node").alias("a"), F.xxhash64(absolute(F.col("t"), F.col("host"))).alias("b"), absolute(F.col("t"), F.col("host")).alias("t")).filter("t is not null and a is not null").select("a", "b")
+    ends = rows.filter("node is not null").select(F.struct("host", "path").alias("s"), F.explode("to").alias("t"))
+    ends = ends.select("s", absolute(F.col("t"), F.col("s.host"), F.col("s.path")).alias("t")).filter("t is not null")
     if redirects is not None:
-        ends = [F.concat(host(F.col(c)), path(F.col(c))) for c in ("from_url", "to_url")]
-        edges = edges.unionByName(columns(redirects, "from_url", "to_url").filter((ends[0] != "") & (ends[1] != "")).select(F.xxhash64(ends[0]).alias("a"), F.xxhash64(ends[1]).alias("b")))
-    parts = connected_components(edges)
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("fit.verdict") == "allow").alias("allowed"), F.max(F.col("fit.verdict") == "block").alias("blocked"))
+        moves = columns(redirects, "from_url", "to_url").select(address(F.col("from_url")).alias("s"), address(F.col("to_url")).alias("t"))
+        ends = ends.unionByName(moves.filter("s.host != '' and t.host != ''"))
+    ends = stage(ends)
+    reached = total + 2 * ends.count()
+    parts = connected_components(ends.select(hashed(F.col("s")).alias("a"), hashed(F.col("t")).alias("b")))
+    # Both ends of an edge are addresses with rules of their own, whether a page has them or not.
+    linked = ends.select(F.explode(F.array("s", "t")).alias("end")).distinct().select(hashed(F.col("end")).alias("node"), longest_rule(F.col("end.host"), F.col("end.path"), rules).alias("fit"), F.lit(0).alias("page"))
+    known = rows.filter("node is not null").select("node", "fit", F.lit(1).alias("page")).unionByName(linked)
+    nodes = known.groupBy("node").agg(F.sum("page").alias("n"), F.max(F.col("fit.verdict") == "allow").alias("allowed"), F.max(F.col("fit.verdict") == "block").alias("blocked"))
     nodes = stage(nodes.join(parts, "node", "left").withColumn("component_id", F.coalesce("component", "node")).drop("component"))
-    decided = nodes.groupBy("component_id").agg(F.sum("n").alias("size"), F.coalesce(F.max("allowed"), F.lit(False)).alias("any_allowed"), F.coalesce(F.max("blocked"), F.lit(False)).alias("any_blocked"))
-    named = join_groups(nodes.select("node", "component_id", F.col("n").alias("_n")), decided, ["component_id"], "size", total).withColumn("spread", F.when(F.col("any_blocked") & ~F.col("any_allowed"), "block").otherwise("allow"))
+    decided = nodes.groupBy("component_id").agg(F.sum(F.greatest("n", F.lit(1))).alias("size"), F.coalesce(F.max("allowed"), F.lit(False)).alias("any_allowed"), F.coalesce(F.max("blocked"), F.lit(False)).alias("any_blocked"))
+    named = join_groups(nodes.filter("n > 0").select("node", "component_id", F.col("n").alias("_n")), decided, ["component_id"], "size", reached).withColumn("spread", F.when(F.col("any_blocked") & ~F.col("any_allowed"), "block").otherwise("allow"))
     out = join_groups(rows.filter("node is not null").drop("to"), named.select("node", "component_id", "_n", "spread"), ["node"], "_n", total)
     bare = rows.filter("node is null").drop("to").withColumns({"component_id": F.lit(None).cast("long"), "spread": F.lit("allow")})
     every = out.select(*bare.columns).unionByName(bare)

@@ -319,6 +319,19 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in url_verdicts(df, redirects=moves).collect()}[17] == "block"
 
 
+def test_urls_of_targets_that_are_no_pages(spark):
+    refresh = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    rows = [
+        (1, "http://a.net/x", refresh("http://bad.com/de/1")), (2, "http://b.net/x", ""), (3, "http://c.net/x", refresh("http://bad.com/de/2") + refresh("http://good.com/fr/")), (4, "http://d.net/x", refresh("http://bad.com/de/3")), (5, "http://e.net/x", ""),
+        (6, "http://f.com/top/de.html", refresh("../de/index.html")), (7, "http://g.net/dir/p", refresh("q.html?x")), (8, "http://g.net/dir/q.html", refresh("http://bad.com/de/4")), (9, "http://h.com/x", refresh("de/")), (10, "http://i.net/a", refresh("mailto:x@bad.com/de/")),
+        (11, "http://j.com", refresh("de/./k?to=http://good.com/fr/")), (12, "http://k.com/a/b", refresh("../../../de/..")), (13, "http://k.com/", refresh("http://bad.com/de/5")), (14, "http://l.net/a", refresh("http:///de/")), (15, None, refresh("http://bad.com/de/1")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    moves = spark.createDataFrame([("http://b.net/x", "http://mid.net/"), ("http://mid.net/", "http://bad.com/de/1"), ("http://e.net/x", "http://good.com/fr/9"), ("http://e.net/x", "http://d.net/x")], "from_url string, to_url string")
+    got = {r.page_id: r.verdict for r in url_verdicts(df, redirects=moves).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 6, 7, 8, 9, 11, 12, 13} and len(got) == len(rows)
+
+
 # -- 9
 def test_statistics():
     for _, t in awkward():
