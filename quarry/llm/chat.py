@@ -1,20 +1,30 @@
 """Chat formatting: turn-aligned windows under a token budget, with a mask of what a model is to learn.
 
-Prefix sums of turn tokens choose spans of whole turns. Every window opens with the conversation's system turn, repeats a limited
+Running sums of turn tokens choose spans of whole turns. Every window opens with the conversation's system turn, repeats a limited
 history before its span, and only the span's own assistant texts are under the mask, so each is learnt once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm.common import columns, stage
+from quarry.llm.common import columns
+from quarry.llm.tokens import byte_ids
 
 #: The template's marks. "\u0010" escapes: control strings inside texts and roles, and the escape itself, are written so that they read back.
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>", "\u0010"
-#: Tokens of a window, tokens of repeated history at most, and code points to a token in the estimate.
-BUDGET, HISTORY, PER_TOKEN = 1024, 256, 4
+#: Tokens of a window, and tokens of repeated history at most.
+BUDGET, HISTORY = 1024, 256
+#: What the template adds to a turn: two control tokens and two line ends.
+MARKS = 4
+#: Rows and code points of a batch of turns, about.
+BATCH_ROWS, BATCH_CHARS = 1000, 8 << 20
 
 
 def escape(c: Column) -> Column:
@@ -35,24 +45,70 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit(ESCAPE + "n"), F.lit("\n")))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, seq (0, 1, ... by turn, role, text), role, text (null: empty) and what the turn costs."""
-    rows = columns(conversations, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("seq", F.row_number().over(w) - 1)
-    return rows.withColumn("cost", F.ceil((F.length("role") + F.length("text")) / PER_TOKEN) + 4)
-
+def with_cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first four columns, and the tokens of the escaped role and text with the template's marks."""
+    for batch in batches:
+        cost = [len(byte_ids(r)) + len(byte_ids(t)) + MARKS for r, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cost, pa.int64())], [*batch.schema.names[:4], "cost"])
 
-def spans(rows: DataFrame, budget: int, history: int) -> DataFrame:
-    """Each turn's window: the prefix sum of costs after the system turn, cut at multiples of what a window has left for new turns.
 
-    A turn belongs where its prefix sum ends; one longer than the room is alone at the end of its window, uncut."""
-    w = Window.partitionBy("conv_id").orderBy("seq")
-    head = (F.col("seq") == 0) & (F.col("role") == "system")
-    rows = rows.withColumn("head", head)
-    rows = rows.withColumn("upto", F.sum(F.when(F.col("head"), 0).otherwise(F.col("cost"))).over(w))
-    room = F.lit(budget - history)
-    return rows.withColumn("window", F.when(F.col("head"), 0).otherwise(F.floor(F.greatest(F.col("upto") - 1, F.lit(0)) / room)).cast("long"))
+def turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text (null: empty) and what the turn costs."""
+    rows = columns(conversations, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = StructType([*rows.schema.fields, StructField("cost", LongType())])
+    return rows.select("*", escape_role(F.col("role")).alias("_role"), escape(F.col("text")).alias("_text")).mapInArrow(with_cost, schema)
+
+
+def cut(budget: int, history: int):
+    """Turns in order, as rows of windows: conv_id, window, seq, role, text, repeated.
+
+    A turn that no longer fits opens a window, with the system turn and as many of the turns just before as fit beside both, at most ``history``
+    tokens and half of what the system turn leaves. Nothing is held but those turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, chars, conv, started, kind = [], 0, None, False, None
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out))
+            types = [kind, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["conv_id", "window", "seq", "role", "text", "repeated"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for c, role, text, cost in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if not started or c != conv:
+                    started, conv, seq, window, own, used = True, c, -1, 0, 0, 0
+                    head, system, past, past_cost = None, 0, deque(), 0
+                seq += 1
+                rows = [(c, window, seq, role, text, False)]
+                if seq == 0 and role == "system":
+                    head, system, used = (role, text), cost, cost
+                else:
+                    if own and used + cost > budget:
+                        window, own, used, again = window + 1, 0, system, []
+                        limit = min(history, (budget - system) // 2, budget - system - cost)
+                        for s, r, t, n in reversed(past):
+                            if n > limit:
+                                break
+                            limit, used = limit - n, used + n
+                            again.append((c, window, s, r, t, True))
+                        rows = [(c, window, seq, role, text, False), *again]
+                        if head:
+                            rows.append((c, window, 0, *head, True))
+                    own, used = own + 1, used + cost
+                    past.append((seq, role, text, cost))
+                    past_cost += cost
+                    while past_cost > history:
+                        past_cost -= past.popleft()[3]
+                out += rows
+                chars += sum(len(r[3]) + len(r[4]) for r in rows)
+                if len(out) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield flush()
+                    out, chars = [], 0
+        if out:
+            yield flush()
+
+    return run
 
 
 def piece(role: Column, text: Column) -> Column:
@@ -65,19 +121,10 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     spans: for each turn in ``formatted`` a struct (seq, from, length, learn, repeated) of code points of its escaped text: ``learn`` is the mask,
     set for assistant turns of the window's own span only; ``repeated`` marks the system turn after the first window and history.
     Turns are in order of (turn, role, text), a null turn first; null roles and texts are empty, a null conv_id is a conversation of its own, repeated rows are turns
-    of their own. Windows hold at most ``budget`` estimated tokens unless a single turn or the system turn has more. Further columns are ignored.
+    of their own. Windows hold at most ``budget`` tokens (turns are encoded each for itself) unless the system turn and a single other one have more. Further columns are ignored.
     """
-    rows = stage(spans(turns(conversations), budget, history))
-    starts = rows.filter("not head").groupBy("conv_id", "window").agg(F.min("seq").alias("first"), F.min(F.col("upto") - F.col("cost")).alias("before"))
-    heads = rows.filter("head").select("conv_id", "seq", "role", "text")
-    own = rows.select("conv_id", "window", "seq", "role", "text", F.lit(False).alias("repeated"))
-    again = starts.filter("window > 0").alias("s").join(heads.alias("h"), F.col("s.conv_id").eqNullSafe(F.col("h.conv_id"))).select("h.conv_id", "s.window", "h.seq", "h.role", "h.text", F.lit(True).alias("repeated"))
-    # History: the turns whose prefix sums lie within ``history`` before a window's first; they end in the window before or the one before that.
-    old = rows.filter("not head").select("conv_id", "seq", "role", "text", "cost", "upto", F.explode(F.array(*[F.col("window") + k for k in range(1, -(-history // (budget - history)) + 1)])).alias("window"))
-    o, s = old.alias("o"), starts.alias("s")
-    back = o.join(s, F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("o.window") == F.col("s.window")))
-    back = back.filter((F.col("o.seq") < F.col("s.first")) & (F.col("o.upto") - F.col("o.cost") >= F.col("s.before") - history)).select("o.conv_id", "o.window", "o.seq", "o.role", "o.text", F.lit(True).alias("repeated"))
-    every = own.unionByName(again).unionByName(back)
+    ordered = turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    every = ordered.mapInArrow(cut(budget, history), f"conv_id {ordered.schema['conv_id'].dataType.simpleString()}, window long, seq int, role string, text string, repeated boolean")
     part = F.struct("seq", piece(F.col("role"), F.col("text")).alias("piece"), F.length(escape_role(F.col("role"))).alias("role_length"), F.length(escape(F.col("text"))).alias("length"), ((F.col("role") == "assistant") & ~F.col("repeated")).alias("learn"), "repeated")
     grouped = every.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     folded = F.expr(

@@ -233,6 +233,33 @@ def test_chat(spark):
     assert chat.conversation_digest(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_chat_windows_hold_their_tokens(spark):
+    text = lambda n: " ".join(["x"] * n)
+    made = {
+        1: [("user", text(n - 5)) for n in (269, 500, 500, 267, 30, 40, 900, 20)],
+        2: [("user", "龘靐齉爩麤" * 40) for _ in range(12)],
+        3: [("system", text(300)), *[("user", text(40 + 30 * k)) for k in range(30)]],
+        4: [("system", text(900)), *[("assistant", text(30)) for _ in range(12)], ("user", text(400)), ("user", "<|" * 20)],
+        5: [("user", text(50)), ("user", text(3000)), *[("user", "<|\u0010" * 30) for _ in range(20)]],
+    }
+    df = spark.createDataFrame([(c, k, *t) for c, rows in made.items() for k, t in enumerate(rows)], "conv_id long, turn long, role string, text string").repartition(3)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    seen, history = collections.defaultdict(list), collections.Counter()
+    for r in chat.format_windows(df).collect():
+        pieces = [p.removesuffix("<|im_end|>\n").split("\n", 1) for p in r.formatted.split("<|im_start|>")[1:]]
+        costs = [n(role) + n(body) + 4 for role, body in pieces]
+        own = [k for k, s in enumerate(r.spans) if not s.repeated and pieces[k][0] != "system"]
+        assert sum(costs) <= chat.BUDGET or len(own) == 1 and len(costs) - 1 == (pieces[0][0] == "system")
+        assert (made[r.conv_id][0][0] == "system") == (pieces[0][0] == "system")
+        old = [k for k, s in enumerate(r.spans) if s.repeated and pieces[k][0] != "system"]
+        assert sum(costs[k] for k in old) <= chat.HISTORY
+        history[r.conv_id] += len(old)
+        seen[r.conv_id] += [s.seq for s in r.spans if not s.repeated]
+    assert {c: sorted(s) for c, s in seen.items()} == {c: list(range(len(rows))) for c, rows in made.items()}
+    assert history[3] and history[4] and history[5]
+
+
 # -- 6
 def test_token_counts(docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
