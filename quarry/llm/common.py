@@ -18,10 +18,13 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and all run on one machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
     return sc.getCheckpointDir()
 
 
@@ -30,7 +33,17 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -43,15 +56,15 @@ def small(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", n_groups: int | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
     """Join ``rows`` to one row per key of ``groups`` (with the key's count in ``size``) without a hot task.
 
-    Keys with more than total/HEAVY rows, of which there are at most HEAVY, are broadcast;
-    what remains has no hot key and is joined by an ordinary shuffle.
+    Groups are broadcast if ``n_groups`` of them (as many as rows, unless counted) stay below the bound. Else keys with more than total/HEAVY rows, of which there are at most HEAVY,
+    are broadcast; what remains has no hot key and is joined by an ordinary shuffle.
     ``keys`` must not be null. ``how``: inner or left.
     """
     extra = [c for c in groups.columns if c not in keys]
-    if total * ROW_BYTES <= BROADCAST_BYTES:  # groups are at most as many as rows
+    if (total if n_groups is None else n_groups) * row_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), keys, how)
     hot = groups.filter(F.col(size) * HEAVY > total).select(*keys, F.struct(*extra).alias("_hot"))
     split = rows.join(F.broadcast(hot), keys, "left")
@@ -79,13 +92,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
         large = join_groups(both.filter("v > u"), least, ["u"], "deg", 2 * n).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large)
+        edges_of_round = large.count()
         # Small star: hang every smaller neighbour, and the node itself, on the least one.
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
-        joined = join_groups(large, least, ["u"], "deg", large.count())
+        joined = join_groups(large, least, ["u"], "deg", edges_of_round)
         new = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = stage(new)
         m = new.count()
         same = m == n and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        discard(large, e)
         e, n = new, m
         if same:
             break

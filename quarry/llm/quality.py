@@ -2,7 +2,7 @@
 
 Each language and source gets a minimum-covariance-determinant estimate of its transformed statistics. The estimate is found by
 concentration steps that run as grouped aggregations over the whole table: distances from the current centre,
-the distance below which the best-fitting three quarters lie (from a histogram), moments of those rows, again.
+the distance below which the best-fitting three quarters lie (from a histogram), moments of those rows, again, until no determinant changes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import columns, join_groups, stage
+from quarry.llm.common import columns, join_groups, small, stage
 
 #: Fixed values of the contract.
 SPACE, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
@@ -43,7 +43,12 @@ def chi_square(share: float) -> float:
 CUTOFF = chi_square(QUANTILE)
 #: Smaller groups are judged by their language's estimate over all such groups.
 LEAST_GROUP = 50
-STEPS, BINS = 5, 500
+#: Concentration steps go on until no estimate changes.
+MOST_STEPS, SETTLED, BINS = 30, 1e-9, 500
+#: Random halves of a group to start from, besides the whole and the medians.
+HALVES = 4
+#: Statistics count in whole units of 1/UNIT, and sums of their products in two halves, so that sums are exact in whatever order tasks add up.
+UNIT, HALF = 100_000, 20
 DIMS = range(len(FLOORS))
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
@@ -83,10 +88,10 @@ def statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def transformed() -> list[Column]:
-    """The statistic vector: log word length, and logs of smoothed rates a hundred words of symbols, repeated lines and repeated words."""
+    """The statistic vector, in whole units: log word length, and logs of smoothed rates a hundred words of symbols, repeated lines and repeated words."""
     rate = lambda c: F.log1p(100 * F.col(c) / (F.col("n_words") + 100))
     vector = [F.log(F.col("word_chars") / F.col("n_words")), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
-    return [F.round(v, 6).alias(f"z{k}") for k, v in enumerate(vector)]
+    return [F.round(v * UNIT).cast("long").alias(f"z{k}") for k, v in enumerate(vector)]
 
 
 def estimates(moments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,8 +99,9 @@ def estimates(moments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     p = len(FLOORS)
     for m in moments:
         out = m[["lang", "grp", "start", "size"]].copy()
-        mean = np.array([m[f"s{i}"] / m["n"] for i in DIMS]).T.reshape(-1, p)
-        cov = np.array([[m[f"p{min(i, j)}{max(i, j)}"] / m["n"] for j in DIMS] for i in DIMS]).transpose(2, 0, 1) - mean[:, :, None] * mean[:, None, :]
+        mean = np.array([m[f"s{i}"] / m["n"] for i in DIMS]).T.reshape(-1, p) / UNIT
+        product = lambda i, j: (m[f"high{i}{j}"] * float(1 << HALF) + m[f"low{i}{j}"]) / m["n"] / UNIT**2
+        cov = np.array([[product(min(i, j), max(i, j)) for j in DIMS] for i in DIMS]).transpose(2, 0, 1) - mean[:, :, None] * mean[:, None, :]
         cov = np.where(m["start"].to_numpy()[:, None, None] < 0, 1.0, CONSISTENT) * cov + np.diag(np.square(FLOORS))
         out["centre"], out["inverse"], out["logdet"] = list(mean), list(np.linalg.inv(cov).reshape(-1, p * p)), np.linalg.slogdet(cov)[1]
         yield out
@@ -106,13 +112,16 @@ KEY = ["lang", "grp"]
 
 
 def distance() -> Column:
-    gap = [F.col(f"z{i}") - F.col("centre")[i] for i in DIMS]
+    gap = [F.col(f"z{i}") / UNIT - F.col("centre")[i] for i in DIMS]
     p = len(FLOORS)
     return reduce(Column.__add__, (F.col("inverse")[i * p + j] * gap[i] * gap[j] for i in DIMS for j in DIMS))
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(f"z{i}").alias(f"s{i}") for i in DIMS] + [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}{j}") for i in DIMS for j in DIMS if i <= j]
+    sums = [F.sum(f"z{i}").alias(f"s{i}") for i in DIMS]
+    for i, j in ((i, j) for i in DIMS for j in DIMS if i <= j):
+        product = F.col(f"z{i}") * F.col(f"z{j}")
+        sums += [F.sum(F.shiftright(product, HALF)).alias(f"high{i}{j}"), F.sum(product.bitwiseAND((1 << HALF) - 1)).alias(f"low{i}{j}")]
     return rows.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), *sums)
 
 
@@ -125,16 +134,19 @@ def bounded(rows: DataFrame, by: list[str], value: Column, share: float) -> Data
 
 
 def fit(rows: DataFrame, total: int) -> DataFrame:
-    """One estimate per group: of two starts, the classical one and one about the medians, the one whose determinant ends least."""
+    """One estimate per group: of the starts, the classical one, one about the medians and some from random halves, the one whose determinant ends least."""
     fitted = lambda df: stage(df.mapInPandas(estimates, FITTED))
     whole = moments(rows.withColumn("start", F.lit(-1)))
     classical = fitted(whole)
     tall = rows.select(*KEY, "size", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"z{i}").alias("z")) for i in DIMS])).alias("d")).select(*KEY, "size", "d.*")
-    medians = bounded(tall, [*KEY, "dim"], F.col("z"), 0.5).groupBy(*KEY).agg(*[F.max(F.when(F.col("dim") == i, F.col("edge") / BINS)).alias(f"m{i}") for i in DIMS])
+    medians = bounded(tall, [*KEY, "dim"], F.col("z") / UNIT, 0.5).groupBy(*KEY).agg(*[F.max(F.when(F.col("dim") == i, F.col("edge") / BINS)).alias(f"m{i}") for i in DIMS])
     flat = F.array(*[F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i in DIMS for j in DIMS])
     about = classical.join(medians, KEY).select(*KEY, F.lit(1).alias("start"), "size", F.array(*[F.col(f"m{i}") for i in DIMS]).alias("centre"), flat.alias("inverse"), F.lit(0.0).alias("logdet"))
-    now = stage(classical.withColumn("start", F.lit(0)).unionByName(about))
-    for _ in range(STEPS):
+    # Halves by a hash of the vector: equal rows go together, whatever task they are in.
+    half = F.explode(F.filter(F.array(*[F.when(F.xxhash64(F.lit(k), *(f"z{i}" for i in DIMS)) >= 0, F.lit(k)) for k in range(2, 2 + HALVES)]), lambda k: k.isNotNull()))
+    halves = fitted(moments(rows.withColumn("start", half)))
+    now = stage(classical.withColumn("start", F.lit(0)).unionByName(about).unionByName(halves))
+    for _ in range(MOST_STEPS):
         starts = now.groupBy(*KEY).agg(F.first("size").alias("_size"), F.collect_list(F.struct("start", "centre", "inverse")).alias("fits"))
         near = join_groups(rows, starts, KEY, "_size", total).withColumn("f", F.explode("fits")).select(*rows.columns, "f.*")
         near = near.withColumn("reach", F.log1p(F.greatest(F.lit(0.0), distance())))
@@ -142,7 +154,10 @@ def fit(rows: DataFrame, total: int) -> DataFrame:
         edges = edges.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("start", "edge"))).alias("edges"), F.lit(None).cast("long").alias("_"))
         limits = edges.drop("_").join(starts.select(*KEY, "_size"), KEY)
         inner = join_groups(near, limits, KEY, "_size", total).filter(F.floor(F.col("reach") * BINS) <= F.col("edges")[F.col("start")])
-        now = fitted(moments(inner))
+        before, now = now, fitted(moments(inner))
+        changed = now.join(before.select(*KEY, "start", F.col("logdet").alias("_before")), [*KEY, "start"]).filter(F.abs(F.col("logdet") - F.col("_before")) > SETTLED)
+        if changed.isEmpty():
+            break
     return now.groupBy(*KEY).agg(F.first("size").alias("_size"), F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("best")).select(*KEY, "_size", "best.*")
 
 
@@ -172,6 +187,6 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def drop_outliers(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, in their own columns. Rows with a null doc_id share one verdict: all stay if any does."""
-    kept = quality_verdicts(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """The rows of ``docs`` that are kept, in their own columns. Rows of one doc_id, null too, share one verdict: all stay if any does."""
+    lost = stage(quality_verdicts(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).filter("not _kept").select("_id"))
+    return docs.join(small(lost, lost.count()), docs["doc_id"].eqNullSafe(lost["_id"]), "left_anti")

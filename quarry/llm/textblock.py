@@ -1,13 +1,13 @@
-"""Words, lines and runs of words of many texts at once, as 64-bit hashes, in NumPy over Arrow's UTF-8 buffers."""
+"""Runs of words of many texts at once, as 64-bit hashes, and blocks of texts that travel compressed."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 
 #: Texts are handled in slices of about so many bytes; a longer text is a slice of its own.
@@ -15,7 +15,6 @@ SLICE_BYTES = 1 << 20
 #: A partition's documents travel in blocks of so many bytes of text.
 BLOCK_BYTES = 16 << 20
 R = np.uint64(0x9E3779B97F4A7C15)
-R_INVERSE = np.uint64(pow(int(R), -1, 1 << 64))
 M1, M2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -24,100 +23,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * M2
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    both = []
-    for r in (R, R_INVERSE):
-        p = np.full(n, r, np.uint64)
-        p[:1] = 1
-        both.append(np.multiply.accumulate(p))
-    return both[0], both[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = 1 << max(10, (n - 1).bit_length())
-    both = _powers(up) if up <= 4 * SLICE_BYTES else _powers.__wrapped__(up)
-    return both[0][:n], both[1][:n]
-
-
-@cache
-def byte_values(fold: bool) -> np.ndarray:
-    """A random-looking 64-bit number for each byte; with ``fold`` A-Z have those of a-z."""
-    v = mix(mix(np.arange(1, 257, dtype=np.uint64) * R))
-    if fold:
-        v[65:91] = v[97:123]
-    return v
-
-
-SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-
-
-class Block:
-    """Some texts as one run of bytes; text i is data[at[i]:at[i + 1]]."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool):
-        self.data, self.at, self.n = data, at, len(at) - 1
-        self.up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_values(fold)[data] * self.up[:-1], out=self.sums[1:])
-
-    def hashes(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[first]) * self.down[first] + (end - first).astype(np.uint64) * M2)
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words in order, and where each text's words begin (one more entry than texts)."""
-        solid = ~SPACES[self.data]
-        before, after = np.zeros(len(solid), bool), np.zeros(len(solid), bool)
-        before[1:], after[:-1] = solid[:-1], solid[1:]
-        edges = self.at[:-1][self.at[:-1] < len(solid)]
-        before[edges] = False
-        after[(self.at[1:] - 1)[self.at[1:] > 0]] = False
-        first, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-        return self.hashes(first, end), np.searchsorted(first, self.at)
-
-    def runs(self, width: int) -> Iterator[np.ndarray]:
-        """For each text the hashes of its runs of ``width`` words, in order; fewer words are one run, none are none."""
-        words, begin = self.words()
-        if len(words) >= width:
-            hashed = np.full(len(words) - width + 1, width, np.uint64)
-            for k in range(width):
-                hashed = mix(hashed * R + words[k : len(words) - width + 1 + k])
-        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
-            if b - a >= width:
-                yield hashed[a : b - width + 1]
-            elif b > a:
-                h = np.full(1, b - a, np.uint64)
-                for k in range(a, b):
-                    h = mix(h * R + words[k : k + 1])
-                yield h
-            else:
-                yield words[:0]
-
-
-def blocks(texts: pa.Array | pa.ChunkedArray, fold: bool) -> Iterator[Block]:
-    """The texts of an Arrow string column in order, null as empty, in blocks of bounded size."""
+def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """The texts of an Arrow string column in order, null as empty, in slices of bounded size."""
     for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
-        chunk = pa.concat_arrays([chunk.fill_null("").cast(pa.large_binary())])
-        if not len(chunk):
-            continue
-        _, offsets, data = chunk.buffers()
-        at = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
-        data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
-        i = 0
+        ends, i = np.cumsum(pc.fill_null(pc.binary_length(chunk), 0).to_numpy(zero_copy_only=False)), 0
         while i < len(chunk):
-            j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_BYTES, "right")) - 1)
-            yield Block(data[at[i] : at[j]], at[i : j + 1] - at[i], fold)
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, "right")))
+            yield chunk.slice(i, j - i).fill_null("")
             i = j
 
 
-def shingle_sets(texts, width: int) -> Iterator[np.ndarray]:
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 128 bits for each word of all texts in order, A-Z lower-cased, and where each text's words begin (one more entry than texts).
+
+    Each distinct word is hashed once over its bytes."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    begin = np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    known = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.cast(pa.binary()).to_pylist())), np.uint64).reshape(-1, 2)
+    return known[coded.indices.to_numpy()], begin
+
+
+def chained(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` of the words. Between two words all bits are mixed, so no two runs meet but by chance."""
+    n = len(words) - width + 1
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = mix((h + words[k : n + k, 0]) * R ^ words[k : n + k, 1])
+    return h
+
+
+def runs(texts: pa.Array | pa.ChunkedArray, width: int) -> Iterator[np.ndarray]:
+    """For each text the hashes of its runs of ``width`` words, in order; fewer words are one run, none are none."""
+    for some in slices(texts):
+        words, begin = word_hashes(some)
+        every = chained(words, width) if len(words) >= width else words[:0, 0]
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            yield every[a : b - width + 1] if b - a >= width else chained(words[a:b], b - a) if b > a else words[:0, 0]
+
+
+def shingle_sets(texts: pa.Array | pa.ChunkedArray, width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``width`` words, A-Z lower-cased."""
-    for block in blocks(texts, True):
-        for run in block.runs(width):
-            s = np.sort(run)
-            if len(s) > 1:
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            yield s
+    for run in runs(texts, width):
+        s = np.sort(run)
+        yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
 
 
 def cut(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
