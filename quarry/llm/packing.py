@@ -1,32 +1,43 @@
-"""Lexical retrieval packing: windows filled with the documents that a sharded BM25 index ranks next to a seed.
+"""Lexical retrieval packing: windows filled with the documents that a sharded BM25 inverted index ranks next to a seed.
 
-Documents are dealt to shards of bounded text by a hash of doc_id, and each shard holds a complete inverted index of its
-documents. A seed document queries its shard for unused neighbours and takes them, best first, until its window is full; the last one
+Documents are encoded once. How many documents hold each token is counted over all of them (a table of the vocabulary's size), and gives every shard's index the corpus' weights.
+Documents are dealt to shards of bounded size by content: in order of the nearest of some centres, which are fitted on a bounded sample, and then of three
+weighted minima over the document's tokens, so that texts with much in common lie side by side. Each shard holds a complete inverted index of its
+documents. A seed document queries it for unused neighbours and takes them, best first, until its window is full; the last one
 is cut and its rest stays unused. So every window is full but the last of a shard, and no state is shared between shards.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import columns
+from quarry.llm.common import columns, stage
 from quarry.llm.tokens import SEPARATOR, byte_ids
 
 WINDOW = 2048
-#: Bytes of text in a shard, about. It bounds what one task holds at once, besides a single longer document.
+#: Bytes of text in a shard of operator 10, about.
 SHARD_BYTES = 4 << 20
+#: Tokens in a shard, about. It bounds what one task holds at once, besides a single longer document.
+SHARD_TOKENS = 1 << 20
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
+#: The vocabulary's size: ids fit 16 bits.
 TERMS = 50_257
+#: Documents that the centres are fitted on, at most; centres; dimensions that tokens are hashed to; rounds.
+SAMPLE, CENTRES, DIMENSIONS, ROUNDS = 4096, 64, 512, 6
+#: Tokens and documents of an Arrow batch of encoded documents, about.
+BATCH_TOKENS, BATCH_DOCS = 1 << 20, 2000
 
 
 def sharded(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty) and the shard, by a hash of both: repeated rows and null ids do no harm."""
+    """doc_id, text (null as empty) and a shard by a hash of both: repeated rows and null ids do no harm."""
     rows = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
@@ -39,18 +50,123 @@ def document_ids(table: pa.Table) -> tuple[list, list[np.ndarray]]:
     return [i for i, _ in rows], [np.array([*byte_ids(t), SEPARATOR], np.uint32) for _, t in rows]
 
 
+def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the ids with the separator, 16 bits each."""
+    names = ["doc_id", "tokens"]
+    for batch in batches:
+        ids, out, size = batch.column("doc_id"), [], 0
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            out.append(np.array([*byte_ids(text or ""), SEPARATOR], np.uint16).tobytes())
+            size += len(out[-1])
+            if size >= 2 * BATCH_TOKENS or len(out) >= BATCH_DOCS:
+                yield pa.RecordBatch.from_arrays([ids.slice(k + 1 - len(out), len(out)), pa.array(out, pa.binary())], names)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([ids.slice(batch.num_rows - len(out)), pa.array(out, pa.binary())], names)
+
+
+def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of the partition hold each token."""
+    n = np.zeros(TERMS, np.int64)
+    for batch in batches:
+        for tokens in batch.column("tokens").to_pylist():
+            n[np.unique(np.frombuffer(tokens, np.uint16))] += 1
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
+
+
+def rarity(df: np.ndarray, n: int) -> np.ndarray:
+    """BM25's weight of each token: one in half of the documents or more weighs nothing, and one of a single document finds no neighbour."""
+    return np.where((df > 1) & (2 * df < n), np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1e-9)), 0.0)
+
+
+def scramble(x: np.ndarray, salt: int) -> np.ndarray:
+    """Random-looking 64-bit numbers of token ids."""
+    x = (x.astype(np.uint64) + np.uint64(salt * TERMS + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Content:
+    """Where documents lie by content."""
+
+    def __init__(self, idf: np.ndarray):
+        every = np.arange(TERMS)
+        self.idf, self.centres = idf, np.empty((0, DIMENSIONS), np.float32)
+        self.place, self.sign = (scramble(every, 0) % np.uint64(DIMENSIONS)).astype(np.int64), np.where(scramble(every, 1) & np.uint64(1), 1.0, -1.0)
+        # A token's exponential variates: with a rate of its weight, the token of the least is the document's weighted minimum.
+        self.rates = [-np.log((scramble(every, 2 + k).astype(np.float64) + 1) / 2.0**64) for k in range(3)]
+
+    def weighted(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        terms, tf = np.unique(tokens, return_counts=True)
+        weight = self.idf[terms] * tf * (K1 + 1) / (tf + K1)
+        return terms[weight > 0], weight[weight > 0]
+
+    def vector(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        v = np.bincount(self.place[terms], weight * self.sign[terms], DIMENSIONS).astype(np.float32)
+        return v / (np.sqrt(v @ v) or 1)
+
+    def fit(self, vectors: np.ndarray) -> None:
+        """Spherical k-means from the first vectors."""
+        self.centres = vectors[:CENTRES]
+        for _ in range(ROUNDS if len(vectors) else 0):
+            nearest = (vectors @ self.centres.T).argmax(1)
+            sums = np.array([vectors[nearest == k].sum(0) for k in range(len(self.centres))])
+            self.centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+
+    def key(self, tokens: np.ndarray) -> int:
+        """The nearest centre, then three minima: documents with much in common have near keys."""
+        terms, weight = self.weighted(tokens)
+        if not len(terms):
+            return 0
+        key = 1 + (int((self.centres @ self.vector(terms, weight)).argmax()) if len(self.centres) else 0)
+        for rate in self.rates:
+            key = key << 16 | int(terms[(rate[terms] / weight).argmin()])
+        return key
+
+
+def vector_rows(content: Content):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [content.vector(*content.weighted(np.frombuffer(t, np.uint16))).tobytes() for t in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary())], ["vector"])
+
+    return run
+
+
+def key_rows(content: Content):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([content.key(np.frombuffer(t, np.uint16)) for t in batch.column("tokens").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "key"])
+
+    return run
+
+
+def by_content(tokens: DataFrame) -> tuple[DataFrame, Content]:
+    """The staged ``tokens`` with a key to order them by, and what it rests on: counts over all documents, and centres of a sample."""
+    counts = tokens.mapInArrow(frequency_rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size at most
+    df = np.zeros(TERMS)
+    for r in counts:
+        df[r.term] = r.n
+    content = Content(rarity(df, tokens.count()))
+    some = tokens.orderBy(F.xxhash64("tokens"), "doc_id").limit(SAMPLE).mapInArrow(vector_rows(content), "vector binary").collect()
+    content.fit(np.array([np.frombuffer(r.vector, np.float32) for r in some]).reshape(-1, DIMENSIONS))
+    rows = tokens.withColumn("row", F.monotonically_increasing_id())  # so that repeated rows can be dealt apart
+    return rows.mapInArrow(key_rows(content), "doc_id long, tokens binary, row long, key long"), content
+
+
 class Index:
-    """An inverted index with BM25 weights over the token ids of a shard's documents."""
+    """An inverted index with BM25 weights over the token ids of a shard's documents; ``idf`` has the corpus' weights, else they are those of the documents."""
 
-    def __init__(self, tokens: list[np.ndarray]):
+    def __init__(self, tokens: list[np.ndarray], idf: np.ndarray | None = None):
         n = len(tokens)
         lengths = np.array([len(t) for t in tokens], np.float64)
         keys, tf = np.unique(np.concatenate([t.astype(np.int64) + d * TERMS for d, t in enumerate(tokens)]), return_counts=True)
         docs, terms = keys // TERMS, keys % TERMS
         df = np.bincount(terms, minlength=TERMS)
-        # A term in half of the documents or more weighs nothing, and one of a single document finds no neighbour.
-        idf = np.where((df > 1) & (2 * df < n), np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1e-9)), 0.0)
-        use = idf[terms] > 0
+        idf = rarity(df, n) if idf is None else idf
+        use = (idf[terms] > 0) & (df[terms] > 1)
         docs, terms, tf = docs[use], terms[use], tf[use]
         weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / lengths.mean()))
         self.n = n
@@ -70,7 +186,7 @@ class Index:
         return np.bincount(self.docs[where], self.weight[where], self.n)
 
 
-def fill(tokens: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def fill(tokens: list[np.ndarray], window: int, idf: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces of one shard."""
     pieces, start, left, sequence = [], [], [], 0
     for d, t in enumerate(tokens):
@@ -81,7 +197,7 @@ def fill(tokens: list[np.ndarray], window: int) -> list[tuple[int, int, int, int
         start.append(full * window)
         left.append(len(t) - full * window)
     unused = np.array([n > 0 for n in left])
-    index = Index(tokens) if unused.any() else None
+    index = Index(tokens, idf) if unused.any() else None
     for seed in range(len(tokens)):
         if not unused[seed]:
             continue
@@ -103,32 +219,55 @@ def fill(tokens: list[np.ndarray], window: int) -> list[tuple[int, int, int, int
     return pieces
 
 
-def pack_shard(window: int):
-    def run(key, table):
-        ids, tokens = document_ids(table)
-        pieces = fill(tokens, window)
-        base = key[0].as_py() << 32
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, shard long"
+
+
+def pack_rows(window: int, idf: np.ndarray):
+    """Pieces of a partition's documents, which come in order of content, shard by shard."""
+
+    def shard(ids: list, tokens: list[np.ndarray], sequence: int, number: int) -> tuple[pa.RecordBatch, int]:
+        pieces = fill(tokens, window, idf)
         col = lambda k: [p[k] for p in pieces]
-        return pa.table(
-            {
-                "doc_id": pa.array([ids[d] for d in col(0)], pa.int64()),
-                "start": pa.array(col(1), pa.int64()),
-                "length": pa.array(col(2), pa.int64()),
-                "ids": pa.array([tokens[d][s : s + n].tobytes() for d, s, n, _, _ in pieces], pa.binary()),
-                "doc_tokens": pa.array([len(tokens[d]) for d in col(0)], pa.int64()),
-                "sequence_id": pa.array([base + s for s in col(3)], pa.int64()),
-                "offset": pa.array(col(4), pa.int64()),
-            }
-        )
+        fields = [
+            pa.array([ids[d] for d in col(0)], pa.int64()),
+            pa.array(col(1), pa.int64()),
+            pa.array(col(2), pa.int64()),
+            pa.array([tokens[d][s : s + n].astype(np.uint32).tobytes() for d, s, n, _, _ in pieces], pa.binary()),
+            pa.array([len(tokens[d]) for d in col(0)], pa.int64()),
+            pa.array([sequence + s for s in col(3)], pa.int64()),
+            pa.array(col(4), pa.int64()),
+            pa.array([number] * len(pieces), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(fields, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "shard"]), sequence + 1 + max(col(3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, size = [], [], 0
+        sequence = number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()):
+                if tokens and size + len(t) // 2 > 2 * SHARD_TOKENS:
+                    out, sequence = shard(ids, tokens, sequence, number)
+                    yield out
+                    ids, tokens, size, number = [], [], 0, number + 1
+                ids.append(i)
+                tokens.append(np.frombuffer(t, np.uint16))
+                size += len(tokens[-1])
+        if tokens:
+            yield shard(ids, tokens, sequence, number)[0]
 
     return run
 
 
 def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, shard.
 
     Every document, an empty or null text too, is its token ids and the separator; each id lies in exactly one piece. Repeated rows are packed
     as often as they occur, further columns are ignored, an empty table gives no rows.
     """
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return sharded(docs).groupBy("shard").applyInArrow(pack_shard(window), schema)
+    tokens = stage(columns(docs, "doc_id", "text").mapInArrow(token_rows, "doc_id long, tokens binary"))
+    size = tokens.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    keyed, content = by_content(tokens)
+    order = ["key", F.xxhash64("doc_id", "tokens"), "row"]
+    # A partition is a shard, or some where many rows have one key: a task cuts what it gets.
+    dealt = keyed.repartitionByRange(max(1, math.ceil(size / 2 / SHARD_TOKENS)), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "tokens").mapInArrow(pack_rows(window, content.idf), SCHEMA)
