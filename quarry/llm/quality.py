@@ -1,8 +1,8 @@
 """Quality rules: base statistics of whole texts, then robust multivariate outliers.
 
-Each language and source gets a minimum-covariance-determinant estimate of its transformed statistics. The estimate is found by
-concentration steps that run as grouped aggregations over the whole table: distances from the current centre,
-the distance below which the best-fitting three quarters lie (from a histogram), moments of those rows, again, until no determinant changes.
+Each language and source gets a minimum-covariance-determinant estimate of its transformed statistics. All rows are added up by cells of
+half a least deviation, with exact counts and moments, so that a group of any size is a table of bounded size; concentration steps over
+its cells, from many starts, find the three quarters of its rows with the least determinant. Then each row is judged by its own distance.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import columns, join_groups, small, stage
@@ -43,12 +43,12 @@ def chi_square(share: float) -> float:
 CUTOFF = chi_square(QUANTILE)
 #: Smaller groups are judged by their language's estimate over all such groups.
 LEAST_GROUP = 50
-#: Concentration steps go on until no estimate changes.
-MOST_STEPS, SETTLED, BINS = 30, 1e-9, 500
-#: Random halves of a group to start from, besides the whole and the medians.
-HALVES = 4
-#: Statistics count in whole units of 1/UNIT, and sums of their products in two halves, so that sums are exact in whatever order tasks add up.
-UNIT, HALF = 100_000, 20
+#: Concentration steps go on until the determinant's logarithm does not change; random starts; starts that go on after two steps.
+MOST_STEPS, SETTLED, STARTS, BEST = 100, 1e-9, 40, 5
+#: Statistics count in whole units of 1/UNIT.
+UNIT = 100_000
+#: A cell's length along each statistic, half of its least deviation, and how many there are: the last one is open; the last two statistics end at 4.62 and 3.93.
+CELL, MOST_CELLS = tuple(round(f * UNIT / 2) for f in FLOORS), (250, 100, 24, 14)
 DIMS = range(len(FLOORS))
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
@@ -94,20 +94,69 @@ def transformed() -> list[Column]:
     return [F.round(v * UNIT).cast("long").alias(f"z{k}") for k, v in enumerate(vector)]
 
 
-def estimates(moments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre, inverse covariance and log-determinant from the moments of a subset."""
-    p = len(FLOORS)
-    for m in moments:
-        out = m[["lang", "grp", "start", "size"]].copy()
-        mean = np.array([m[f"s{i}"] / m["n"] for i in DIMS]).T.reshape(-1, p) / UNIT
-        product = lambda i, j: (m[f"high{i}{j}"] * float(1 << HALF) + m[f"low{i}{j}"]) / m["n"] / UNIT**2
-        cov = np.array([[product(min(i, j), max(i, j)) for j in DIMS] for i in DIMS]).transpose(2, 0, 1) - mean[:, :, None] * mean[:, None, :]
-        cov = np.where(m["start"].to_numpy()[:, None, None] < 0, 1.0, CONSISTENT) * cov + np.diag(np.square(FLOORS))
-        out["centre"], out["inverse"], out["logdet"] = list(mean), list(np.linalg.inv(cov).reshape(-1, p * p)), np.linalg.slogdet(cov)[1]
-        yield out
+def cells(rows: DataFrame) -> DataFrame:
+    """The rows of each group by cells of CELL along each statistic: how many there are, sums of what they are above the cell's corner, and of the products.
+
+    Cells are at most the product of MOST_CELLS in number, however many rows there are, and sums of whole numbers do not depend on the order of tasks."""
+    corner = [F.least(F.floor(F.col(f"z{i}") / CELL[i]), F.lit(MOST_CELLS[i] - 1)).alias(f"c{i}") for i in DIMS]
+    rows = rows.select(*KEY, "size", *(f"z{i}" for i in DIMS), *corner)
+    above = [F.col(f"z{i}") - F.col(f"c{i}") * CELL[i] for i in DIMS]
+    sums = [F.sum(above[i]).alias(f"s{i}") for i in DIMS] + [F.sum(above[i] * above[j]).alias(f"p{i}{j}") for i in DIMS for j in DIMS if i <= j]
+    return rows.groupBy(*KEY, "size", *(f"c{i}" for i in DIMS)).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def estimate(n: float, first: np.ndarray, second: np.ndarray, factor: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log-determinant, centre, covariance) from sums of vectors and of their products."""
+    centre = first / n
+    cov = factor * (second / n - np.outer(centre, centre)) + np.diag(np.square(FLOORS))
+    return float(np.linalg.slogdet(cov)[1]), centre, cov
+
+
+def concentrate(n: np.ndarray, first: np.ndarray, second: np.ndarray, fit: tuple[float, np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """The estimate of the SHARE of rows that lie nearest by ``fit``; of the last cell so much as is needed."""
+    gap = first / n[:, None] - fit[1]
+    order = np.argsort(np.einsum("ij,jk,ik->i", gap, np.linalg.inv(fit[2]), gap), kind="stable")
+    before = np.cumsum(n[order]) - n[order]
+    h = math.ceil(SHARE * n.sum())
+    part = np.clip((h - before) / n[order], 0.0, 1.0)
+    return estimate(h, part @ first[order], np.einsum("i,ijk->jk", part, second[order]), CONSISTENT)
+
+
+def least_determinant(n: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Concentration from several starts (all rows, the medians, and means of a few rows each), first some steps of each, then of the best until nothing changes."""
+    mean = first / n[:, None]
+    flat = np.diag(np.square(FLOORS))
+    middle = []
+    for i in DIMS:
+        order = np.argsort(mean[:, i], kind="stable")
+        middle.append(mean[order[np.searchsorted(np.cumsum(n[order]), n.sum() / 2)], i])
+    few = np.random.default_rng(0).choice(len(n), (STARTS, len(FLOORS) + 1), p=n / n.sum())
+    fits = [estimate(n.sum(), first.sum(0), second.sum(0), 1.0), (0.0, np.array(middle), flat), *((0.0, mean[k].mean(0), flat) for k in few)]
+    for _ in range(2):
+        fits = [concentrate(n, first, second, f) for f in fits]
+    out = []
+    for f in sorted(fits, key=lambda f: f[0])[:BEST]:
+        for _ in range(MOST_STEPS):
+            before, f = f, concentrate(n, first, second, f)
+            if abs(f[0] - before[0]) < SETTLED:
+                break
+        out.append(f)
+    return min(out, key=lambda f: f[0])
+
+
+def fit_group(table: pd.DataFrame) -> pd.DataFrame:
+    """The estimate of one group from its cells."""
+    table = table.sort_values([f"c{i}" for i in DIMS])
+    n = table["n"].to_numpy(np.float64)
+    corner = np.column_stack([table[f"c{i}"] * CELL[i] for i in DIMS]) / UNIT
+    s = np.column_stack([table[f"s{i}"] for i in DIMS]) / UNIT
+    p = np.array([[table[f"p{min(i, j)}{max(i, j)}"] for j in DIMS] for i in DIMS]).transpose(2, 0, 1) / UNIT**2
+    cross = corner[:, :, None] * s[:, None, :]
+    second = n[:, None, None] * corner[:, :, None] * corner[:, None, :] + cross + cross.transpose(0, 2, 1) + p
+    _, centre, cov = least_determinant(n, n[:, None] * corner + s, second)
+    return pd.DataFrame({"lang": table["lang"].iloc[:1].to_numpy(), "grp": table["grp"].iloc[:1].to_numpy(), "_size": table["size"].iloc[:1].to_numpy(), "centre": [centre], "inverse": [np.linalg.inv(cov).ravel()]})
 
 
-FITTED = "lang string, grp string, start int, size long, centre array<double>, inverse array<double>, logdet double"
 KEY = ["lang", "grp"]
 
 
@@ -117,48 +166,9 @@ def distance() -> Column:
     return reduce(Column.__add__, (F.col("inverse")[i * p + j] * gap[i] * gap[j] for i in DIMS for j in DIMS))
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(f"z{i}").alias(f"s{i}") for i in DIMS]
-    for i, j in ((i, j) for i in DIMS for j in DIMS if i <= j):
-        product = F.col(f"z{i}") * F.col(f"z{j}")
-        sums += [F.sum(F.shiftright(product, HALF)).alias(f"high{i}{j}"), F.sum(product.bitwiseAND((1 << HALF) - 1)).alias(f"low{i}{j}")]
-    return rows.groupBy(*KEY, "start").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), *sums)
-
-
-def bounded(rows: DataFrame, by: list[str], value: Column, share: float) -> DataFrame:
-    """For each ``by`` the least bin of ``value`` at which ``share`` of its rows are reached."""
-    bins = rows.groupBy(*by, F.floor(value * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by)
-    run = bins.withColumn("upto", F.sum("c").over(w.orderBy("bin"))).withColumn("all", F.sum("c").over(w))
-    return run.filter(F.col("upto") >= share * F.col("all")).groupBy(*by).agg(F.min("bin").alias("edge"))
-
-
-def fit(rows: DataFrame, total: int) -> DataFrame:
-    """One estimate per group: of the starts, the classical one, one about the medians and some from random halves, the one whose determinant ends least."""
-    fitted = lambda df: stage(df.mapInPandas(estimates, FITTED))
-    whole = moments(rows.withColumn("start", F.lit(-1)))
-    classical = fitted(whole)
-    tall = rows.select(*KEY, "size", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"z{i}").alias("z")) for i in DIMS])).alias("d")).select(*KEY, "size", "d.*")
-    medians = bounded(tall, [*KEY, "dim"], F.col("z") / UNIT, 0.5).groupBy(*KEY).agg(*[F.max(F.when(F.col("dim") == i, F.col("edge") / BINS)).alias(f"m{i}") for i in DIMS])
-    flat = F.array(*[F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i in DIMS for j in DIMS])
-    about = classical.join(medians, KEY).select(*KEY, F.lit(1).alias("start"), "size", F.array(*[F.col(f"m{i}") for i in DIMS]).alias("centre"), flat.alias("inverse"), F.lit(0.0).alias("logdet"))
-    # Halves by a hash of the vector: equal rows go together, whatever task they are in.
-    half = F.explode(F.filter(F.array(*[F.when(F.xxhash64(F.lit(k), *(f"z{i}" for i in DIMS)) >= 0, F.lit(k)) for k in range(2, 2 + HALVES)]), lambda k: k.isNotNull()))
-    halves = fitted(moments(rows.withColumn("start", half)))
-    now = stage(classical.withColumn("start", F.lit(0)).unionByName(about).unionByName(halves))
-    for _ in range(MOST_STEPS):
-        starts = now.groupBy(*KEY).agg(F.first("size").alias("_size"), F.collect_list(F.struct("start", "centre", "inverse")).alias("fits"))
-        near = join_groups(rows, starts, KEY, "_size", total).withColumn("f", F.explode("fits")).select(*rows.columns, "f.*")
-        near = near.withColumn("reach", F.log1p(F.greatest(F.lit(0.0), distance())))
-        edges = bounded(near, [*KEY, "start"], F.col("reach"), SHARE)
-        edges = edges.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("start", "edge"))).alias("edges"), F.lit(None).cast("long").alias("_"))
-        limits = edges.drop("_").join(starts.select(*KEY, "_size"), KEY)
-        inner = join_groups(near, limits, KEY, "_size", total).filter(F.floor(F.col("reach") * BINS) <= F.col("edges")[F.col("start")])
-        before, now = now, fitted(moments(inner))
-        changed = now.join(before.select(*KEY, "start", F.col("logdet").alias("_before")), [*KEY, "start"]).filter(F.abs(F.col("logdet") - F.col("_before")) > SETTLED)
-        if changed.isEmpty():
-            break
-    return now.groupBy(*KEY).agg(F.first("size").alias("_size"), F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("best")).select(*KEY, "_size", "best.*")
+def fit(rows: DataFrame) -> DataFrame:
+    """One estimate per group: what concentration ends in with the least determinant."""
+    return cells(rows).groupBy(*KEY).applyInPandas(fit_group, "lang string, grp string, _size long, centre array<double>, inverse array<double>")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -179,7 +189,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     judged = judged.withColumn("grp", F.when(F.col("_n") >= LEAST_GROUP, F.concat(F.lit("="), "source")).otherwise("*")).select(*slim.columns, "grp", *transformed())
     group_sizes = judged.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"))
     judged = stage(join_groups(judged, group_sizes, KEY, "size", total))
-    best = stage(fit(judged, total))
+    best = stage(fit(judged))
     scored = join_groups(judged, best, KEY, "_size", total).withColumn("outlyingness", distance())
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = slim.filter("base_failed").select(*keep, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("outlyingness"))
