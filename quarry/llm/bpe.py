@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a distinct-word table.
 
 The vocabulary never joins characters across white space, so a text's ids are those of its words in order. Texts travel in
-blocks of bounded size. Each block asks for its distinct words; the requests meet by word, each distinct word is encoded
+blocks of bounded size. Each block asks for its distinct words; the requests meet by word in one table for the whole corpus, each distinct word is encoded
 once, and the answers are joined back to their blocks, where every word's position takes its ids. So the shuffles hold
 compressed texts and distinct words, not one row per word occurrence, and a frequent word is no hot key.
 """
@@ -26,29 +26,31 @@ from quarry.llm.tokens import tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
 
 VOCABULARY = "word_bpe_49k.json"
-#: Requests of GROUP partitions share one word table in BUCKETS tasks, so that no task's part grows with the input.
-GROUP, BUCKETS = 64, 64
+#: Bytes of text in a block.
+BLOCK_BYTES = 16 << 20
+#: Bytes of text for each bucket of the distinct-word table, about: a bucket's requests are some of all blocks' words, so its size does not grow with the input.
+BUCKET_BYTES = 8 << 20
 
 
-def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def text_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Each block's documents, compressed."""
-    for block, table in cut(batches):
+    for block, table in cut(batches, most):
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([table_bytes(table)], pa.binary())], ["block", "texts"])
 
 
-def request_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's distinct words, dealt to buckets by their hash."""
-    for block, table in cut(batches):
+def request_rows(batches: Iterator[pa.RecordBatch], most: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each block's distinct words, dealt to buckets by their hash; a bucket without words gets no row."""
+    for block, table in cut(batches, most):
         words: set[bytes] = set()
         for chunk in table.column("text").chunks:
             for text in chunk.cast(pa.binary()).to_pylist():
                 words.update(text.split())
-        buckets: list[list[bytes]] = [[] for _ in range(BUCKETS)]
+        dealt: dict[int, list[bytes]] = {}
         for w in sorted(words):
-            buckets[zlib.crc32(w) % BUCKETS].append(w)
-        some = [(b, b"\n".join(ws)) for b, ws in enumerate(buckets) if ws]
-        fields = [pa.array([block] * len(some), pa.int64()), pa.array([(block >> 32) // GROUP] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int32()), pa.array([len(w) for _, w in some], pa.int64()), pa.array([squeeze(w) for _, w in some], pa.binary())]
-        yield pa.RecordBatch.from_arrays(fields, ["block", "grp", "bucket", "size", "words"])
+            dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
+        some = [(b, b"\n".join(ws)) for b, ws in sorted(dealt.items())]
+        fields = [pa.array([block] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int32()), pa.array([len(w) for _, w in some], pa.int64()), pa.array([squeeze(w) for _, w in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays(fields, ["block", "bucket", "size", "words"])
 
 
 def encode_words(words: list[bytes], file: str) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +126,11 @@ def encode(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
     As the tokenizers library encodes without special tokens, truncation and padding. Repeated rows and null ids keep their rows, further columns are ignored, an empty table gives no rows.
     """
     rows = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.mapInArrow(text_rows, "block long, texts binary")
-    requests = rows.mapInArrow(request_rows, "block long, grp long, bucket int, size long, words binary")
-    answers = requests.groupBy("grp", "bucket").applyInArrow(answer_bucket(file), "block long, size long, words binary, counts binary, n_ids long, ids binary")
+    size, most = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BLOCK_BYTES
+    buckets = max(16, size // BUCKET_BYTES)
+    texts = rows.mapInArrow(lambda it: text_rows(it, most), "block long, texts binary")
+    requests = rows.mapInArrow(lambda it: request_rows(it, most, buckets), "block long, bucket int, size long, words binary")
+    answers = requests.groupBy("bucket").applyInArrow(answer_bucket(file), "block long, size long, words binary, counts binary, n_ids long, ids binary")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble(file), "doc_id long, ids array<int>")
 
 

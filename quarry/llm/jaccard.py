@@ -56,11 +56,11 @@ def linked(overlap: int, a: int, b: int, num: int, den: int) -> bool:
     return den * overlap >= num * (a + b - overlap)
 
 
-def block_rows(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
+def block_rows(batches: Iterator[pa.RecordBatch], width: int, bits: int, most: int) -> Iterator[pa.RecordBatch]:
     """For each block of texts: the texts, what to know of each, and the shingles whose frequency the block asks for.
 
     A request holds one bucket's shingles, by their leading bits, as ascending 32-bit numbers, and in how many of the block's texts each is."""
-    for block, table in cut(batches, BLOCK_BYTES):
+    for block, table in cut(batches, most):
         sets = list(shingle_sets(table.column("text"), width))
         known = np.array([(len(s), *checks_of(s)) for s in sets], np.int64).reshape(-1, 3)
         keys, counts = np.unique(keys_of(np.concatenate(sets), bits), return_counts=True)
@@ -324,8 +324,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     """
     docs = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = BLOCK_BYTES
     bits = max(0, min(30, math.ceil(math.log2(max(1, size) / BUCKET_BYTES))))
-    blocks = stage(docs.mapInArrow(lambda it: block_rows(it, width, bits), BLOCKS))
+    blocks = stage(docs.mapInArrow(lambda it: block_rows(it, width, bits, most), BLOCKS))
     rows = stage(blocks.select(F.inline("sets")))
     total = rows.count()
     key = ["node", "check", "n_shingles"]

@@ -30,8 +30,8 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 #: The vocabulary's size: ids fit 16 bits.
 TERMS = 50_257
-#: Documents that the centres are fitted on, at most; centres; dimensions that tokens are hashed to; rounds.
-SAMPLE, CENTRES, DIMENSIONS, ROUNDS = 4096, 64, 512, 6
+#: Documents that the keys' weights and centres are fitted on, about, and tokens of each; centres; dimensions that tokens are hashed to; rounds.
+SAMPLE, SAMPLE_TOKENS, CENTRES, DIMENSIONS, ROUNDS = 4096, 4096, 64, 512, 6
 #: Tokens and documents of an Arrow batch of encoded documents, about.
 BATCH_TOKENS, BATCH_DOCS = 1 << 20, 2000
 
@@ -50,27 +50,40 @@ def document_ids(table: pa.Table) -> tuple[list, list[np.ndarray]]:
     return [i for i, _ in rows], [np.array([*byte_ids(t), SEPARATOR], np.uint32) for _, t in rows]
 
 
-def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and the ids with the separator, 16 bits each."""
-    names = ["doc_id", "tokens"]
-    for batch in batches:
-        ids, out, size = batch.column("doc_id"), [], 0
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            out.append(np.array([*byte_ids(text or ""), SEPARATOR], np.uint16).tobytes())
-            size += len(out[-1])
-            if size >= 2 * BATCH_TOKENS or len(out) >= BATCH_DOCS:
-                yield pa.RecordBatch.from_arrays([ids.slice(k + 1 - len(out), len(out)), pa.array(out, pa.binary())], names)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([ids.slice(batch.num_rows - len(out)), pa.array(out, pa.binary())], names)
+def encoded(text: str | None) -> np.ndarray:
+    return np.array([*byte_ids(text or ""), SEPARATOR], np.uint16)
+
+
+def token_rows(content: Content):
+    """doc_id, the ids with the separator, 16 bits each, and the key; last a row that counts how many documents of the partition hold each token."""
+    names = ["doc_id", "tokens", "key", "frequencies"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(TERMS, np.int32)
+        for batch in batches:
+            ids, out, keys, size = batch.column("doc_id"), [], [], 0
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                tokens = encoded(text)
+                terms, tf = np.unique(tokens, return_counts=True)
+                n[terms] += 1
+                out.append(tokens.tobytes())
+                keys.append(content.key(terms, tf))
+                size += len(tokens)
+                if size >= BATCH_TOKENS or len(out) >= BATCH_DOCS or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(k + 1 - len(out), len(out)), pa.array(out, pa.binary()), pa.array(keys, pa.int64()), pa.nulls(len(out), pa.binary())], names)
+                    out, keys, size = [], [], 0
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([n.tobytes()], pa.binary())], names)
+
+    return run
 
 
 def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents of the partition hold each token."""
+    """In how many documents each token is, over the counts of some partitions."""
     n = np.zeros(TERMS, np.int64)
     for batch in batches:
-        for tokens in batch.column("tokens").to_pylist():
-            n[np.unique(np.frombuffer(tokens, np.uint16))] += 1
+        for counts in batch.column("frequencies").to_pylist():
+            n += np.frombuffer(counts, np.int32)
     some = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
 
@@ -88,72 +101,58 @@ def scramble(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Content:
-    """Where documents lie by content."""
+    """Where documents lie by content, as fitted on a sample of encoded documents."""
 
-    def __init__(self, idf: np.ndarray):
+    def __init__(self, sample: list[np.ndarray]):
         every = np.arange(TERMS)
-        self.idf, self.centres = idf, np.empty((0, DIMENSIONS), np.float32)
         self.place, self.sign = (scramble(every, 0) % np.uint64(DIMENSIONS)).astype(np.int64), np.where(scramble(every, 1) & np.uint64(1), 1.0, -1.0)
         # A token's exponential variates: with a rate of its weight, the token of the least is the document's weighted minimum.
-        self.rates = [-np.log((scramble(every, 2 + k).astype(np.float64) + 1) / 2.0**64) for k in range(3)]
+        self.rates = np.array([-np.log((scramble(every, 2 + k).astype(np.float64) + 1) / 2.0**64) for k in range(3)])
+        counted = [np.unique(t, return_counts=True) for t in sample]
+        df = np.bincount(np.concatenate([np.empty(0, np.int64), *(terms for terms, _ in counted)]).astype(np.int64), minlength=TERMS)
+        self.idf = np.log1p(len(sample) / (df + 0.5)) * (2 * df < len(sample))
+        self.centres = self.fit(np.array([self.vector(terms, self.weights(terms, tf)) for terms, tf in counted], np.float32).reshape(-1, DIMENSIONS))
 
-    def weighted(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        terms, tf = np.unique(tokens, return_counts=True)
-        weight = self.idf[terms] * tf * (K1 + 1) / (tf + K1)
-        return terms[weight > 0], weight[weight > 0]
+    def weights(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1)
 
     def vector(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         v = np.bincount(self.place[terms], weight * self.sign[terms], DIMENSIONS).astype(np.float32)
         return v / (np.sqrt(v @ v) or 1)
 
-    def fit(self, vectors: np.ndarray) -> None:
+    def fit(self, vectors: np.ndarray) -> np.ndarray:
         """Spherical k-means from the first vectors."""
-        self.centres = vectors[:CENTRES]
+        centres = vectors[:CENTRES]
         for _ in range(ROUNDS if len(vectors) else 0):
-            nearest = (vectors @ self.centres.T).argmax(1)
-            sums = np.array([vectors[nearest == k].sum(0) for k in range(len(self.centres))])
-            self.centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+            nearest = (vectors @ centres.T).argmax(1)
+            sums = np.array([vectors[nearest == k].sum(0) for k in range(len(centres))])
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        return centres
 
-    def key(self, tokens: np.ndarray) -> int:
+    def key(self, terms: np.ndarray, tf: np.ndarray) -> int:
         """The nearest centre, then three minima: documents with much in common have near keys."""
-        terms, weight = self.weighted(tokens)
-        if not len(terms):
+        weight = self.weights(terms, tf)
+        use = weight > 0
+        if not len(self.centres) or not use.any():
             return 0
-        key = 1 + (int((self.centres @ self.vector(terms, weight)).argmax()) if len(self.centres) else 0)
-        for rate in self.rates:
-            key = key << 16 | int(terms[(rate[terms] / weight).argmin()])
+        terms, weight = terms[use], weight[use]
+        key = 1 + int((self.centres @ self.vector(terms, weight)).argmax())
+        for k in (self.rates[:, terms] / weight).argmin(1):
+            key = key << 16 | int(terms[k])
         return key
 
 
-def vector_rows(content: Content):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = [content.vector(*content.weighted(np.frombuffer(t, np.uint16))).tobytes() for t in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary())], ["vector"])
-
-    return run
+def content_of(docs: DataFrame) -> Content:
+    """Fitted on about SAMPLE documents, dealt by a hash of their place so that repeated rows are no more likely."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.withColumn("_row", F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE)
+    return Content([np.frombuffer(r.tokens, np.uint16) for r in some.mapInArrow(sample_rows, "tokens binary").collect()])
 
 
-def key_rows(content: Content):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([content.key(np.frombuffer(t, np.uint16)) for t in batch.column("tokens").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "key"])
-
-    return run
-
-
-def by_content(tokens: DataFrame) -> tuple[DataFrame, Content]:
-    """The staged ``tokens`` with a key to order them by, and what it rests on: counts over all documents, and centres of a sample."""
-    counts = tokens.mapInArrow(frequency_rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size at most
-    df = np.zeros(TERMS)
-    for r in counts:
-        df[r.term] = r.n
-    content = Content(rarity(df, tokens.count()))
-    some = tokens.orderBy(F.xxhash64("tokens"), "doc_id").limit(SAMPLE).mapInArrow(vector_rows(content), "vector binary").collect()
-    content.fit(np.array([np.frombuffer(r.vector, np.float32) for r in some]).reshape(-1, DIMENSIONS))
-    rows = tokens.withColumn("row", F.monotonically_increasing_id())  # so that repeated rows can be dealt apart
-    return rows.mapInArrow(key_rows(content), "doc_id long, tokens binary, row long, key long"), content
+def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document a row of its first SAMPLE_TOKENS ids: enough to fit on, and bounded."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([encoded(t)[:SAMPLE_TOKENS].tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["tokens"])
 
 
 class Index:
@@ -264,10 +263,14 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Every document, an empty or null text too, is its token ids and the separator; each id lies in exactly one piece. Repeated rows are packed
     as often as they occur, further columns are ignored, an empty table gives no rows.
     """
-    tokens = stage(columns(docs, "doc_id", "text").mapInArrow(token_rows, "doc_id long, tokens binary"))
-    size = tokens.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    keyed, content = by_content(tokens)
-    order = ["key", F.xxhash64("doc_id", "tokens"), "row"]
+    docs = columns(docs, "doc_id", "text")
+    rows = stage(docs.mapInArrow(token_rows(content_of(docs)), "doc_id long, tokens binary, key long, frequencies binary"))
+    tokens = rows.filter("tokens is not null").select("doc_id", "tokens", "key", F.monotonically_increasing_id().alias("row"))  # so that repeated rows can be dealt apart
+    n, size = tokens.agg(F.count(F.lit(1)), F.sum(F.octet_length("tokens"))).first()
+    counts = rows.filter("frequencies is not null").select("frequencies").mapInArrow(frequency_rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = np.zeros(TERMS)
+    for r in counts.collect():  # a row for each token of the vocabulary at most
+        df[r.term] = r.n
     # A partition is a shard, or some where many rows have one key: a task cuts what it gets.
-    dealt = keyed.repartitionByRange(max(1, math.ceil(size / 2 / SHARD_TOKENS)), *order).sortWithinPartitions(*order)
-    return dealt.select("doc_id", "tokens").mapInArrow(pack_rows(window, content.idf), SCHEMA)
+    dealt = tokens.repartitionByRange(max(1, math.ceil((size or 0) / 2 / SHARD_TOKENS)), "key", "row").sortWithinPartitions("key", "row")
+    return dealt.select("doc_id", "tokens").mapInArrow(pack_rows(window, rarity(df, n)), SCHEMA)

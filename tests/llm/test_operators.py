@@ -74,19 +74,38 @@ def test_bpe(docs, empty):
     assert bpe.decode(bpe.encode(empty)).count() == 0
 
 
-def test_bpe_in_many_blocks(docs, monkeypatch):
+def test_bpe_in_many_blocks_buckets_and_partitions(spark, docs, monkeypatch):
+    """Each distinct word of the corpus is encoded in one bucket, however many blocks and partitions ask for it."""
     want = sorted_rows(bpe.encode(docs), "doc_id", "ids")
-    from quarry.llm import textblock
-
-    parts = list(textblock.cut.__defaults__)
-    assert parts == [textblock.BLOCK_BYTES]
-    assert sorted_rows(bpe.encode(docs.repartition(9)), "doc_id", "ids") == want
+    rows = [r for _ in range(30) for r in awkward()]
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 20_000)
+    df = documents(spark, rows).repartition(70)
+    assert sorted_rows(bpe.encode(df), "doc_id", "ids") == sorted(want * 30, key=repr)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    requests = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: bpe.request_rows(it, 4000, size // 20_000), "block long, bucket int, size long, words binary").collect()
+    asked = collections.defaultdict(set)
+    for r in requests:
+        for w in bpe.unsqueeze(r.words, r.size).split(b"\n"):
+            asked[w].add(r.bucket)
+    assert all(len(b) == 1 for b in asked.values()) and set(asked) == {w for _, t in rows for w in (t or "").encode().split()}
+    blocks = collections.Counter(b >> 32 for b in {r.block for r in requests})
+    assert len(blocks) > 64 and max(blocks.values()) > 1
 
 
 # -- 2
 def test_sharding(docs, empty):
     shards = [f"s{k}" for k in range(10)]
     table = lookup_table(shards, 1009)
+    # The same by whole permutations, shard by shard, in turns.
+    number = lambda name, salt: int.from_bytes(hashlib.md5(f"{salt}:{name}".encode()).digest()[:8], "big")
+    orders = [iter([(number(s, "offset") + j * (number(s, "skip") % 1008 + 1)) % 1009 for j in range(1009)]) for s in shards]
+    owner = {}
+    while len(owner) < 1009:
+        for k, order in enumerate(orders):
+            if len(owner) < 1009:
+                owner[next(x for x in order if x not in owner)] = k
+    assert table == [owner[x] for x in range(1009)]
     count = collections.Counter(table)
     assert max(count.values()) - min(count.values()) <= 1
     # Losing a shard moves its own slots and few others.
