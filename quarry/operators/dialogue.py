@@ -48,7 +48,7 @@ def scenes(docs: DataFrame) -> DataFrame:
                     else:
                         packed.append(open_)
                 out += [(d.doc_id, k, n) for k, n in enumerate(packed)]
-            yield pd.DataFrame(out, columns=["doc_id", "scene", "words"]).astype({"doc_id": "int64", "scene": "int64", "words": "int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "scene", "words"]).astype({"doc_id": "Int64", "scene": "int64", "words": "int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, scene long, words long")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,23 +87,57 @@ def paired_t(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return d.groupBy(key).agg(F.count("_d").alias("n"), F.round(F.avg("_d"), 6).alias("mean"), F.round(F.avg("_d") / (F.stddev_samp("_d") / F.sqrt(F.count("_d"))), 4).alias("t"))
 
 
-def bootstrap(df: DataFrame, key: str, value: str, seed: int = 42, rounds: int = 10_000) -> DataFrame:
-    """Confidence interval of the mean by resampling with a linear congruential generator (M07): floor-index 2.5 and 97.5 per cent. Keys are evaluation runs of bounded size; the generator is sequential, so each key is one pass."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].sort_values().tolist()
-        n, state, means = len(x), seed, []
-        for _ in range(rounds):
-            total = 0.0
-            for _ in range(n):
-                state = (state * 1664525 + 1013904223) % 4294967296
-                total += x[math.floor(state / 4294967296 * n)]
-            means.append(total / n)
-        means.sort()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [n], "low": [round(means[math.floor(0.025 * rounds)], 6)], "high": [round(means[math.floor(0.975 * rounds)], 6)]})
+#: Multiplier, increment and modulus of the generator that resamples; fixed values.
+LCG = 1664525, 1013904223, 1 << 32
+#: Rounds of a task's row.
+ROUNDS = 100
+
+
+def generator(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends that take a state k = 1..n steps on, modulo 2^32."""
+    a, c = np.full(n, LCG[0], np.uint32), np.zeros(n, np.uint32)
+    a = np.multiply.accumulate(a, dtype=np.uint32)
+    c[0] = LCG[1]
+    np.cumsum(np.concatenate([[1], a[:-1]]).astype(np.uint32), dtype=np.uint32, out=c)
+    return a, c * np.uint32(LCG[1])
+
+
+def advanced(state: int, steps: int) -> int:
+    """The state after so many steps, by repeated squaring."""
+    a, c = LCG[0], LCG[1]
+    while steps:
+        if steps & 1:
+            state = (a * state + c) % LCG[2]
+        a, c = a * a % LCG[2], (a * c + c) % LCG[2]
+        steps >>= 1
+    return state
+
+
+def bootstrap(df: DataFrame, key: str, value: str, other: str | None = None, seed: int = 42, rounds: int = 10_000) -> DataFrame:
+    """Confidence interval of the mean, or of the mean of ``other`` - ``value``, by resampling with a linear congruential generator (M07): floor-index 2.5 and 97.5 per cent.
+
+    Keys are evaluation runs, with a value a query. Rounds are rows: each knows its place in the generator's sequence, so Spark deals them to tasks."""
+    v = F.col(value) if other is None else F.col(other) - F.col(value)
+    runs = df.select(key, v.alias("_v")).filter("_v is not null").groupBy(key).agg(F.sort_array(F.collect_list("_v")).alias("_x"))
+    work = runs.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(ROUNDS)))).repartition(key, "_first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            means = []
+            for x, first in zip(pdf["_x"], pdf["_first"]):
+                x, n = np.asarray(x), len(x)
+                a, c = generator(n)
+                some = []
+                for k in range(first, min(first + ROUNDS, rounds)):
+                    states = a * np.uint32(advanced(seed, k * n)) + c
+                    some.append(float(x[(states * (n / LCG[2])).astype(np.int64)].mean()))
+                means.append(some)
+            yield pd.DataFrame({key: pdf[key], "n": pdf["_x"].map(len), "means": means})
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, low double, high double")
+    every = work.mapInPandas(run, f"{key} {kind}, n long, means array<double>").groupBy(key).agg(F.first("n").alias("n"), F.sort_array(F.flatten(F.collect_list("means"))).alias("m"))
+    at = lambda p: F.round(F.element_at("m", math.floor(p * rounds) + 1), 6)
+    return every.select(key, "n", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def triple_scores(predicted: DataFrame, gold: DataFrame, closure) -> DataFrame:

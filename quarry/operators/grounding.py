@@ -55,15 +55,23 @@ def argmax(scored: DataFrame, key: str, item: str, score: str) -> DataFrame:
     return best.select(key, F.col(f"b.{item}").alias(item), F.col(f"b.{score}").alias(score))
 
 
+#: Chapters of a block of the running maximum.
+CHAPTERS = 10_000
+
+
 def route_to_chapters(chunk_words: DataFrame, chapter_words: DataFrame, chunk_years: DataFrame, chapters: DataFrame, k: int = 5) -> DataFrame:
     """Chunks scored for chapters and the k best of each (J20): 10 a shared word, 30 a year within the chapter's span and 15 years around, and, if none is, -20 for each year 35 or more outside;
     -50 if all its years lie before the latest start of the chapters so far (N05). Chunks that share no word with a chapter are not looked at for it.
 
     ``chunk_words`` (chunk_id, token), ``chapter_words`` (chapter, token), ``chunk_years`` (chunk_id, year), ``chapters`` (chapter, start_year, end_year)."""
     words = chapter_words.distinct().join(chunk_words.distinct(), "token").groupBy("chapter", "chunk_id").agg((10 * F.count(F.lit(1))).alias("overlap"))
-    running = F.max("start_year").over(Window.partitionBy(F.lit(0)).orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1))  # one row a chapter of a script
-    c = chapters.withColumn("floor", running)
-    y = words.select("chapter", "chunk_id").join(chunk_years, "chunk_id").join(F.broadcast(c), "chapter")
+    # The latest start so far: within a block of chapters, and over the blocks before it.
+    blocks = chapters.withColumn("_block", F.floor(F.col("chapter") / CHAPTERS))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy("_block").agg(F.max("start_year").alias("_start")).select("_block", F.max("_start").over(before).alias("_before"))
+    running = F.max("start_year").over(Window.partitionBy("_block").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1))
+    c = blocks.withColumn("_inner", running).join(starts, "_block").withColumn("floor", F.greatest("_inner", "_before")).select("chapter", "start_year", "end_year", "floor")
+    y = words.select("chapter", "chunk_id").join(chunk_years, "chunk_id").join(c, "chapter")
     lo = F.when(F.col("floor").isNotNull(), F.greatest(F.col("start_year") - 15, F.col("floor"))).otherwise(F.col("start_year") - 15)
     y = y.groupBy("chapter", "chunk_id").agg(F.count_if((F.col("year") >= lo) & (F.col("year") <= F.col("end_year") + 15)).alias("inside"), F.count_if((F.col("year") < F.col("start_year") - 35) | (F.col("year") > F.col("end_year") + 35)).alias("outside"), F.every(F.col("year") < F.col("floor")).alias("prior"))
     s = words.join(y, ["chapter", "chunk_id"], "left")

@@ -84,9 +84,18 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return top_per(best, ["query"], [F.desc("similarity"), F.col("chunk_id")], k).withColumn("score", 1 / (2 - F.col("similarity")))
 
 
-def lexical_scores(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Term hits (X09): (query, term) against the inverted index (token, chunk_id): one point a term that the chunk has."""
-    return query_terms.distinct().join(postings.select(F.col("token").alias("term"), "chunk_id"), "term").groupBy("query", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+#: Points of a term in a title; fixed value.
+TITLE_POINTS = 2
+
+
+def lexical_scores(query_terms: DataFrame, postings: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Term hits (X09): (query, term) against the inverted indexes (token, chunk_id) of contents and titles: one point a term that the content has, TITLE_POINTS more if the title has it.
+
+    Hits are added up before they are shuffled by query and chunk."""
+    index = postings.select(F.col("token").alias("term"), "chunk_id", F.lit(1).alias("points"))
+    if titles is not None:
+        index = index.unionByName(titles.select(F.col("token").alias("term"), "chunk_id", F.lit(TITLE_POINTS).alias("points")))
+    return query_terms.distinct().join(index, "term").groupBy("query", "chunk_id").agg(F.sum("points").cast("double").alias("score"))
 
 
 def weights(text: Column, intent: Column | None = None) -> Column:

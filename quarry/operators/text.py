@@ -137,7 +137,7 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in CHUNKS.split(", ")]
         for pdf in batches:
             rows = [r for d in pdf.itertuples(index=False) for r in chunk_document(d.doc_id, d.source, d.text)]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "int64"})
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "source", "text").mapInPandas(run, CHUNKS)
 
@@ -182,7 +182,7 @@ def gazetteer_spans(docs: DataFrame, names: list[str]) -> DataFrame:
                     if n:
                         out.append((d.doc_id, found[i][1], found[i + n - 1][2], " ".join(w for w, _, _ in found[i : i + n])))
                     i += n or 1
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "name"]).astype({"doc_id": "int64", "start": "int64", "end": "int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "name"]).astype({"doc_id": "Int64", "start": "int64", "end": "int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, end long, name string")
 

@@ -76,4 +76,10 @@ def postings(chunk_rows: DataFrame) -> DataFrame:
     return words.groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def titles(chunk_rows: DataFrame) -> DataFrame:
+    """(token, chunk_id): the inverted index of ``title``."""
+    return chunk_rows.select("chunk_id", F.explode(F.expr(f"array_distinct({TOKENS.replace('content', 'title')})")).alias("token"))
+
+
+TITLES_SQL = f"titles AS (SELECT DISTINCT chunk_id, unnest({TOKENS_SQL.replace('content', 'title')}) AS token FROM chunks)"
 POSTINGS_SQL = f"postings AS (SELECT token, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest({TOKENS_SQL}) AS token FROM chunks) GROUP BY ALL)"

@@ -74,11 +74,11 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_name", G.spatial_level("n_name").alias("level"))
 
 
-@query("op_g13_evidence_bonus", f"WITH {CHUNKS_SQL} SELECT c_custkey, round(least(1.0, (30 + (c_custkey * 31) % 70) / 100.0 + CASE WHEN contains(lower(p.content), substr(lower(c.content), 1, 12)) THEN 0.03 ELSE 0 END), 6) AS confidence FROM customer JOIN chunks c ON c.chunk_id = c_custkey JOIN chunks p ON p.chunk_id = c.parent_id")
+@query("op_g13_evidence_bonus", f"WITH {CHUNKS_SQL} SELECT c_custkey, round(least(1.0, (30 + (c_custkey * 31) % 70) / 100.0 + CASE WHEN contains(lower(p.content), lower(c.content)) THEN 0.03 ELSE 0 END), 6) AS confidence FROM customer JOIN chunks c ON c.chunk_id = c_custkey JOIN chunks p ON p.chunk_id = c.parent_id")
 def _(spark, d):
     c = chunks(spark, d)
     p = c.select(F.col("chunk_id").alias("parent_id"), F.lower("content").alias("parent"))
     k = table(spark, d, "customer").select("c_custkey")
     j = k.join(c, k.c_custkey == c.chunk_id).join(p, "parent_id")
-    bonus = F.when(F.contains("parent", F.expr("substr(lower(content), 1, 12)")), 0.03).otherwise(0)
+    bonus = F.when(F.contains("parent", F.lower("content")), 0.03).otherwise(0)
     return j.select("c_custkey", F.round(F.least(F.lit(1.0), F.expr("(30 + (c_custkey * 31) % 70) / 100D") + bonus), 6).alias("confidence"))

@@ -14,7 +14,7 @@ from quarry.operators.graph import staged
 from quarry.operators.relational import keep_first, top_per
 from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, NODES_SQL, POSTINGS_SQL, chunks, edges, nodes, postings, table
 from quarry.plans.registry import query
-from quarry.plans.retrieval import LEXICAL_SQL, TERMS_SQL, _terms, lexical
+from quarry.plans.retrieval import LEXICAL_SQL, TERMS_SQL, _terms, lexical, scores
 
 STOP = ["the", "and", "of", "der", "die", "que", "les"]
 STOP_SQL = ", ".join(map(repr, STOP))
@@ -27,7 +27,7 @@ def _(spark, d):
 
 @query("op_f09_relevance_cutoff", f"WITH {LEXICAL_SQL}, s AS (SELECT query, chunk_id, rank, score / 40.0 AS s, first_value(score / 40.0) OVER (PARTITION BY query ORDER BY rank) AS top FROM lexical) SELECT query, chunk_id FROM s WHERE s >= 0.15 AND (rank = 1 OR s >= greatest(0.15, 0.25 * top))")
 def _(spark, d):
-    s = X.lexical_scores(_terms(spark, d), postings(chunks(spark, d))).withColumn("s", F.col("score") / 40)
+    s = scores(spark, d).withColumn("s", F.col("score") / 40)
     w = W.partitionBy("query").orderBy(F.desc("score"), "chunk_id")
     s = s.withColumns({"rank": F.row_number().over(w), "top": F.first("s").over(w)})
     return s.filter((F.col("s") >= 0.15) & ((F.col("rank") == 1) | (F.col("s") >= F.greatest(F.lit(0.15), 0.25 * F.col("top"))))).select("query", "chunk_id")
@@ -121,7 +121,7 @@ def _(spark, d):
 
 @query("op_x08_boosted_lexical", f"WITH {LEXICAL_SQL} SELECT query, chunk_id, round(score * CASE WHEN tier = 'LEVEL_1' THEN 1.35 ELSE 1.0 END * CASE WHEN parent_id IS NOT NULL THEN 1.15 ELSE 1.0 END, 6)::DOUBLE AS score FROM hits JOIN chunks USING (chunk_id)")
 def _(spark, d):
-    s = X.lexical_scores(_terms(spark, d), postings(chunks(spark, d))).join(chunks(spark, d), "chunk_id")
+    s = scores(spark, d).join(chunks(spark, d), "chunk_id")
     boost = F.when(F.col("tier") == "LEVEL_1", X.TIER_BOOST).otherwise(1.0) * F.when(F.col("parent_id").isNotNull(), X.CHILD_BOOST).otherwise(1.0)
     return s.select("query", "chunk_id", F.round(F.col("score") * boost, 6).alias("score"))
 
@@ -156,7 +156,7 @@ def _(spark, d):
 @query("op_x28_catalog_match", f"WITH {LEXICAL_SQL} SELECT query, chunk_id, score - CASE WHEN c.tier <> q.tier THEN 100 ELSE 0 END AS score FROM hits JOIN chunks c USING (chunk_id) JOIN chunks q ON q.chunk_id = query WHERE score - CASE WHEN c.tier <> q.tier THEN 100 ELSE 0 END >= 3")
 def _(spark, d):
     t = chunks(spark, d).select("chunk_id", "tier")
-    s = X.lexical_scores(_terms(spark, d), postings(chunks(spark, d))).join(t, "chunk_id").join(t.select(F.col("chunk_id").alias("query"), F.col("tier").alias("own")), "query")
+    s = scores(spark, d).join(t, "chunk_id").join(t.select(F.col("chunk_id").alias("query"), F.col("tier").alias("own")), "query")
     score = (F.col("score") - F.when(F.col("tier") != F.col("own"), 100).otherwise(0)).cast("long")
     return s.select("query", "chunk_id", score.alias("score")).filter("score >= 3")
 

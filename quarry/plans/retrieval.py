@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import retrieval as X
 from quarry.operators.relational import top_per
-from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, POSTINGS_SQL, chunks, edges, postings, table
+from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, POSTINGS_SQL, TITLES_SQL, chunks, edges, postings, table, titles
 from quarry.plans.registry import query
 
 
@@ -30,17 +30,22 @@ DENSE_SQL = f"""sims AS (SELECT q.vec_id AS query, v.vec_id AS chunk_id, round({
 
 
 def _terms(spark, d) -> DataFrame:
-    """A query's terms: the long tokens of its document."""
+    """A query's terms: all tokens of its document's content and title."""
+    c = chunks(spark, d).filter("chunk_id % 100 = 0")
+    return postings(c).select("chunk_id", "token").unionByName(titles(c).select("chunk_id", "token")).distinct().select(F.col("chunk_id").alias("query"), F.col("token").alias("term"))
+
+
+def scores(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    return postings(c.filter("chunk_id % 100 = 0")).filter("length(token) >= 8").select(F.col("chunk_id").alias("query"), F.col("token").alias("term"))
+    return X.lexical_scores(_terms(spark, d), postings(c), titles(c))
 
 
-TERMS_SQL = "terms AS (SELECT chunk_id AS query, token AS term FROM postings WHERE chunk_id % 100 = 0 AND length(token) >= 8)"
-LEXICAL_SQL = f"{CHUNKS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, hits AS (SELECT query, chunk_id, count(*) AS score FROM terms JOIN postings ON term = token GROUP BY ALL), lexical AS (SELECT query, chunk_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM hits)"
+TERMS_SQL = f"{TITLES_SQL}, terms AS (SELECT chunk_id AS query, token AS term FROM postings WHERE chunk_id % 100 = 0 UNION SELECT chunk_id, token FROM titles WHERE chunk_id % 100 = 0)"
+LEXICAL_SQL = f"{CHUNKS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, hits AS (SELECT query, chunk_id, CAST(sum(points) AS BIGINT) AS score FROM terms JOIN (SELECT token, chunk_id, 1 AS points FROM postings UNION ALL SELECT token, chunk_id, 2 FROM titles) ON term = token GROUP BY ALL), lexical AS (SELECT query, chunk_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM hits)"
 
 
 def lexical(spark, d, k: int) -> DataFrame:
-    return top_per(X.lexical_scores(_terms(spark, d), postings(chunks(spark, d))), ["query"], [F.desc("score"), F.col("chunk_id")], k)
+    return top_per(scores(spark, d), ["query"], [F.desc("score"), F.col("chunk_id")], k)
 
 
 HYBRID_SQL = f"""{DENSE_SQL}, {LEXICAL_SQL},
@@ -201,7 +206,7 @@ def _(spark, d):
 
 @query("op_j17_claim_argmax", f"WITH {LEXICAL_SQL} SELECT query, chunk_id AS best, score FROM lexical WHERE rank = 1")
 def _(spark, d):
-    s = X.lexical_scores(_terms(spark, d), postings(chunks(spark, d)))
+    s = scores(spark, d)
     best = s.groupBy("query").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("neg"))).alias("b"))
     return best.select("query", (-F.col("b.neg")).alias("best"), F.col("b.score").cast("long").alias("score"))
 

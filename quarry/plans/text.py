@@ -91,9 +91,9 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.normal_space(F.col("text")).cast("binary")).alias("h"))
 
 
-@query("op_p27_banner_strip", "SELECT doc_id, md5(text) AS h FROM documents WHERE NOT starts_with(text, '[')")
+@query("op_p27_banner_strip", r"SELECT doc_id, md5(regexp_replace('[' || source || '] [' || lang || ']' || chr(10) || text, '^(\[[^\]]*\]\s*)+', '')) AS h FROM documents")
 def _(spark, d):
-    docs = _docs(spark, d).filter("not startswith(text, '[')")
+    docs = _docs(spark, d)
     return docs.select("doc_id", F.md5(T.strip_banner(F.concat(F.lit("["), "source", F.lit("] ["), "lang", F.lit("]\n"), "text")).cast("binary")).alias("h"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import dialogue as D
+from quarry.operators import evaluation as E
 from quarry.operators import grounding as V
+from quarry.operators import retrieval as X
 from quarry.operators import text as O
 from quarry.sources.pdf import pdf_text, read_pdfs
 from quarry.streaming import state as R
@@ -95,3 +97,51 @@ def test_loops_alike_in_stream_and_batch(spark, tmp_path):
 def test_window_of_most_hits(spark):
     text = "x" * 250 + "cat cat" + "y" * 400
     assert value(spark, V.best_window(F.col("t"), F.array(F.lit("cat")), 100), text) == 200
+
+
+def test_bootstrap_against_one_sequential_generator(spark):
+    import math
+
+    values = [(q % 7) / 10 for q in range(23)]
+    df = spark.createDataFrame([("r", v, v / 2) for v in values] + [("r", None, 1.0)], "run string, a double, b double").repartition(3)
+    for other, x in ((None, sorted(values)), ("b", sorted(v / 2 - v for v in values))):
+        state, means = 42, []
+        for _ in range(300):
+            total = 0.0
+            for _ in range(len(x)):
+                state = (state * 1664525 + 1013904223) % 4294967296
+                total += x[math.floor(state / 4294967296 * len(x))]
+            means.append(total / len(x))
+        means.sort()
+        r = E.bootstrap(df, "run", "a", other, rounds=300).first()
+        assert (r.run, r.n) == ("r", 23) and abs(r.low - means[7]) < 2e-6 and abs(r.high - means[292]) < 2e-6
+
+
+def test_title_hits_count_twice_more(spark):
+    terms = spark.createDataFrame([(1, "war"), (1, "war"), (1, "north")], "query long, term string")
+    body = spark.createDataFrame([("war", 5), ("north", 5), ("war", 6), ("other", 7)], "token string, chunk_id long")
+    heads = spark.createDataFrame([("war", 6), ("north", 8)], "token string, chunk_id long")
+    assert rows(X.lexical_scores(terms, body, heads)) == [(1, 5, 2.0), (1, 6, 3.0), (1, 8, 2.0)]
+
+
+def test_rows_without_an_id_keep_their_chunks(spark):
+    from quarry.operators import text as TX
+
+    docs = spark.createDataFrame([(None, "s", "A first line. A second one."), (1, "s", "One more line here.")], "doc_id long, source string, text string")
+    assert {r.doc_id for r in TX.chunk_documents(docs).collect()} == {None, 1}
+    assert {r.doc_id for r in D.scenes(docs).collect()} == {None, 1}
+
+
+def test_chapters_in_blocks_have_the_latest_start_before_them(spark, monkeypatch):
+    monkeypatch.setattr(V, "CHAPTERS", 2)
+    chapters = spark.createDataFrame([(k, y, y + 10) for k, y in enumerate((1000, 900, 1200, 1100, 1300))], "chapter long, start_year int, end_year int")
+    chunk_words = spark.createDataFrame([(c, "w") for c in range(3)], "chunk_id long, token string")
+    chapter_words = spark.createDataFrame([(k, "w") for k in range(5)], "chapter long, token string")
+    years = spark.createDataFrame([(0, 950), (1, 1150), (2, 1305)], "chunk_id long, year int")
+    got = {(r.chapter, r.chunk_id): r.score for r in V.route_to_chapters(chunk_words, chapter_words, years, chapters).collect()}
+    floors = [None, 1000, 1000, 1200, 1200]
+    for k, start in enumerate((1000, 900, 1200, 1100, 1300)):
+        low = start - 15 if floors[k] is None else max(start - 15, floors[k])
+        for c, y in ((0, 950), (1, 1150), (2, 1305)):
+            inside, outside = low <= y <= start + 25, y < start - 35 or y > start + 45
+            assert got[k, c] == 10 + 30 * inside - (20 * outside if not inside else 0) - (50 if floors[k] is not None and y < floors[k] else 0)
