@@ -10,6 +10,7 @@ is cut and its rest stays unused. So every window is full but the last of a shar
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,16 @@ def document_ids(table: pa.Table) -> tuple[list, list[np.ndarray]]:
 
 
 def encoded(text: str | None) -> np.ndarray:
-    return np.array([*byte_ids(text or ""), SEPARATOR], np.uint16)
+    ids = array("H", byte_ids(text or ""))
+    ids.append(SEPARATOR)
+    return np.frombuffer(ids, np.uint16)
+
+
+def counted(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and how often each occurs."""
+    s = np.sort(tokens, kind="stable")  # a radix sort of 16-bit numbers
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
 
 
 def token_rows(content: Content):
@@ -61,17 +71,16 @@ def token_rows(content: Content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(TERMS, np.int32)
         for batch in batches:
-            ids, out, keys, size = batch.column("doc_id"), [], [], 0
+            ids, out, pairs, size = batch.column("doc_id"), [], [], 0
             for k, text in enumerate(batch.column("text").to_pylist()):
                 tokens = encoded(text)
-                terms, tf = np.unique(tokens, return_counts=True)
-                n[terms] += 1
+                pairs.append(counted(tokens))
+                n[pairs[-1][0]] += 1
                 out.append(tokens.tobytes())
-                keys.append(content.key(terms, tf))
                 size += len(tokens)
                 if size >= BATCH_TOKENS or len(out) >= BATCH_DOCS or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([ids.slice(k + 1 - len(out), len(out)), pa.array(out, pa.binary()), pa.array(keys, pa.int64()), pa.nulls(len(out), pa.binary())], names)
-                    out, keys, size = [], [], 0
+                    yield pa.RecordBatch.from_arrays([ids.slice(k + 1 - len(out), len(out)), pa.array(out, pa.binary()), pa.array(content.keys(pairs)), pa.nulls(len(out), pa.binary())], names)
+                    out, pairs, size = [], [], 0
         if n.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([n.tobytes()], pa.binary())], names)
 
@@ -108,10 +117,10 @@ class Content:
         self.place, self.sign = (scramble(every, 0) % np.uint64(DIMENSIONS)).astype(np.int64), np.where(scramble(every, 1) & np.uint64(1), 1.0, -1.0)
         # A token's exponential variates: with a rate of its weight, the token of the least is the document's weighted minimum.
         self.rates = np.array([-np.log((scramble(every, 2 + k).astype(np.float64) + 1) / 2.0**64) for k in range(3)])
-        counted = [np.unique(t, return_counts=True) for t in sample]
-        df = np.bincount(np.concatenate([np.empty(0, np.int64), *(terms for terms, _ in counted)]).astype(np.int64), minlength=TERMS)
+        pairs = [counted(t) for t in sample]
+        df = np.bincount(np.concatenate([np.empty(0, np.int64), *(terms for terms, _ in pairs)]).astype(np.int64), minlength=TERMS)
         self.idf = np.log1p(len(sample) / (df + 0.5)) * (2 * df < len(sample))
-        self.centres = self.fit(np.array([self.vector(terms, self.weights(terms, tf)) for terms, tf in counted], np.float32).reshape(-1, DIMENSIONS))
+        self.centres = self.fit(np.array([self.vector(terms, self.weights(terms, tf)) for terms, tf in pairs], np.float32).reshape(-1, DIMENSIONS))
 
     def weights(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return self.idf[terms] * tf * (K1 + 1) / (tf + K1)
@@ -129,17 +138,24 @@ class Content:
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         return centres
 
-    def key(self, terms: np.ndarray, tf: np.ndarray) -> int:
-        """The nearest centre, then three minima: documents with much in common have near keys."""
-        weight = self.weights(terms, tf)
-        use = weight > 0
-        if not len(self.centres) or not use.any():
-            return 0
-        terms, weight = terms[use], weight[use]
-        key = 1 + int((self.centres @ self.vector(terms, weight)).argmax())
-        for k in (self.rates[:, terms] / weight).argmin(1):
-            key = key << 16 | int(terms[k])
-        return key
+    def keys(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each document's ids and counts: the nearest centre, then three minima, so that documents with much in common have near keys."""
+        out = np.zeros(len(docs), np.int64)
+        terms, doc = np.concatenate([t for t, _ in docs]), np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])
+        weight = self.weights(terms, np.concatenate([tf for _, tf in docs]))
+        use = np.flatnonzero(weight > 0)
+        terms, doc, weight = terms[use].astype(np.int64), doc[use], weight[use]
+        if not len(self.centres) or not len(terms):
+            return out
+        some, first, count = np.unique(doc, return_index=True, return_counts=True)
+        vectors = np.bincount(doc * DIMENSIONS + self.place[terms], weight * self.sign[terms], len(docs) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        key = 1 + (vectors[some].astype(np.float32) @ self.centres.T).argmax(1)
+        for rate in self.rates:
+            value = rate[terms] / weight
+            least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, first), count))
+            key = key << 16 | terms[least[np.searchsorted(least, first)]]
+        out[some] = key
+        return out
 
 
 def content_of(docs: DataFrame) -> Content:
@@ -160,19 +176,21 @@ class Index:
 
     def __init__(self, tokens: list[np.ndarray], idf: np.ndarray | None = None):
         n = len(tokens)
-        lengths = np.array([len(t) for t in tokens], np.float64)
-        keys, tf = np.unique(np.concatenate([t.astype(np.int64) + d * TERMS for d, t in enumerate(tokens)]), return_counts=True)
-        docs, terms = keys // TERMS, keys % TERMS
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        flat, docs = np.concatenate(tokens), np.repeat(np.arange(n), lengths)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # by term, then by document
+        flat, docs = flat[order], docs[order]
+        first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (docs[1:] != docs[:-1])]))
+        terms, docs, tf = flat[first].astype(np.int64), docs[first], np.diff(np.append(first, len(flat)))
         df = np.bincount(terms, minlength=TERMS)
         idf = rarity(df, n) if idf is None else idf
         use = (idf[terms] > 0) & (df[terms] > 1)
-        docs, terms, tf = docs[use], terms[use], tf[use]
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / lengths.mean()))
+        terms, self.docs, tf = terms[use], docs[use], tf[use]
         self.n = n
-        self.own = np.split(terms, np.searchsorted(docs, np.arange(1, n)))
-        by = np.argsort(terms.astype(np.uint16), kind="stable")
-        self.docs, self.weight = docs[by], weight[by]
+        self.weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / lengths.mean()))
         self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=TERMS))])
+        by = np.argsort(self.docs.astype(np.min_scalar_type(n)), kind="stable")
+        self.own = np.split(terms[by], np.searchsorted(self.docs[by], np.arange(1, n)))
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every document of the shard for the seed's distinct terms."""
