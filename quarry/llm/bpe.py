@@ -27,7 +27,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket of the distinct-word table, about: a bucket's requests are some of all blocks' words, so its size does not grow with the input.
 BUCKET_BYTES = 8 << 20
 
