@@ -30,7 +30,7 @@ def path(url: Column) -> Column:
 def longest_rule(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest fitting rule as a struct (rule, verdict), null if none fits. Of equally long ones the longer host, then a block, wins.
 
-    Rules are few and known to the plan, so they are an expression; ``with_rules`` joins a table of any size."""
+    Rules are few and known to the plan, so they are an expression."""
     order = sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r[2] != "block", r))
     chain = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule_host, prefix, verdict in reversed(order):
