@@ -76,9 +76,9 @@ def postings(chunk_rows: DataFrame) -> DataFrame:
     return words.groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def titles(chunk_rows: DataFrame) -> DataFrame:
-    """(token, chunk_id): the inverted index of ``title``."""
-    return chunk_rows.select("chunk_id", F.explode(F.expr(f"array_distinct({TOKENS.replace('content', 'title')})")).alias("token"))
+def occurrences(chunk_rows: DataFrame, column: str = "content") -> DataFrame:
+    """(token, chunk_id): which chunks have a token in ``column``, without counts and so without a shuffle."""
+    return chunk_rows.select("chunk_id", F.explode(F.expr(f"array_distinct({TOKENS.replace('content', column)})")).alias("token"))
 
 
 TITLES_SQL = f"titles AS (SELECT DISTINCT chunk_id, unnest({TOKENS_SQL.replace('content', 'title')}) AS token FROM chunks)"

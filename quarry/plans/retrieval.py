@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import retrieval as X
 from quarry.operators.relational import top_per
-from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, POSTINGS_SQL, TITLES_SQL, chunks, edges, postings, table, titles
+from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, POSTINGS_SQL, TITLES_SQL, chunks, edges, occurrences, table
 from quarry.plans.registry import query
 
 
@@ -32,12 +32,12 @@ DENSE_SQL = f"""sims AS (SELECT q.vec_id AS query, v.vec_id AS chunk_id, round({
 def _terms(spark, d) -> DataFrame:
     """A query's terms: all tokens of its document's content and title."""
     c = chunks(spark, d).filter("chunk_id % 100 = 0")
-    return postings(c).select("chunk_id", "token").unionByName(titles(c).select("chunk_id", "token")).distinct().select(F.col("chunk_id").alias("query"), F.col("token").alias("term"))
+    return occurrences(c).unionByName(occurrences(c, "title")).distinct().select(F.col("chunk_id").alias("query"), F.col("token").alias("term"))
 
 
 def scores(spark, d) -> DataFrame:
     c = chunks(spark, d)
-    return X.lexical_scores(_terms(spark, d), postings(c), titles(c))
+    return X.lexical_scores(_terms(spark, d), occurrences(c), occurrences(c, "title"))
 
 
 TERMS_SQL = f"{TITLES_SQL}, terms AS (SELECT chunk_id AS query, token AS term FROM postings WHERE chunk_id % 100 = 0 UNION SELECT chunk_id, token FROM titles WHERE chunk_id % 100 = 0)"
