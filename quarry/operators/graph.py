@@ -18,11 +18,14 @@ MIN_CONFIDENCE = 0.5
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written under spark.checkpoint.dir (an own folder where that is unset, as in tests) and read back."""
+    """``df`` written under spark.checkpoint.dir (an own folder where that is unset and the session is local, as in tests) and read back."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -115,16 +115,3 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id")
     lost = lambda c: edges.join(ids, edges[c] == ids["id"], "left_anti")
     return lost("src").union(lost("tgt")).distinct()
-
-
-def interpolated_percentiles(df: DataFrame, keys: list[str], value: str, points: list[int]) -> DataFrame:
-    """Percentiles between order statistics."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in points])
-
-
-def discrete_percentiles(df: DataFrame, keys: list[str], value: str, points: list[int]) -> DataFrame:
-    """sorted[min(floor(p/100*n), n-1)] (A16), by rank: no group is gathered in an array."""
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    at = lambda p: F.least(F.floor(F.lit(p) * F.col("_n") / 100), F.col("_n") - 1)
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(f"p{p}") for p in points])

@@ -11,6 +11,7 @@ from quarry.operators import graph as G
 from quarry.operators import grounding as V
 from quarry.operators import retrieval as X
 from quarry.operators.graph import staged
+from quarry.operators.ranks import ranked
 from quarry.operators.relational import keep_first, top_per
 from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, NODES_SQL, POSTINGS_SQL, chunks, edges, nodes, postings, table
 from quarry.plans.registry import query
@@ -90,7 +91,7 @@ def _(spark, d):
 @query("op_n02_rank_assignment", "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY round(embedding[1], 4) DESC, vec_id) AS rank FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.round(F.col("embedding")[0], 4).alias("s"))
-    return top_per(e, ["label"], [F.desc("s"), F.col("vec_id")], 10**9).select("vec_id", "label", F.col("rank").cast("long").alias("rank"))
+    return ranked(e, ["label"], [F.desc("s"), F.col("vec_id")]).select("vec_id", "label", "rank")
 
 
 @query("op_n10_best_window")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.dims import CHRONOLOGY, DIRECTIONS, LINEAGE, chronology, directions, values_sql
+from quarry.operators import ranks as K
 from quarry.operators import relational as R
 from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, NODES_SQL, chunks, edges, nodes, table
 from quarry.plans.registry import query
@@ -290,13 +291,13 @@ def _(spark, d):
 
 @query("op_a15_interpolated_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def _(spark, d):
-    p = R.interpolated_percentiles(table(spark, d, "events"), ["event_type"], "value", [50, 90, 95, 99])
+    p = K.interpolated_percentiles(table(spark, d, "events"), ["event_type"], "value", [50, 90, 95, 99])
     return p.select("event_type", *[F.round(c, 6).alias(c) for c in p.columns[1:]])
 
 
 @query("op_a16_discrete_percentiles", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (i = least(50 * n // 100, n - 1)) AS p50, max(value) FILTER (i = least(95 * n // 100, n - 1)) AS p95 FROM r GROUP BY event_type")
 def _(spark, d):
-    return R.discrete_percentiles(table(spark, d, "events"), ["event_type"], "value", [50, 95])
+    return K.discrete_percentiles(table(spark, d, "events"), ["event_type"], "value", [50, 95])
 
 
 @query("op_a17_cumulative_histogram", "SELECT event_type, count(*) FILTER (value <= 1) AS le_1, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 100) AS le_100, count(*) AS le_inf FROM events GROUP BY event_type")
@@ -451,7 +452,7 @@ def _(spark, d):
 
 @query("op_n09_stratified_sample", "WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, lang, source FROM r ORDER BY rn, lang, source LIMIT 100")
 def _(spark, d):
-    r = table(spark, d, "documents").select("doc_id", "lang", "source").withColumn("rn", F.row_number().over(W.partitionBy("lang", "source").orderBy("doc_id")))
+    r = table(spark, d, "documents").select("doc_id", "lang", "source").withColumn("rn", F.row_number().over(W.partitionBy("lang", "source").orderBy("doc_id"))).filter("rn <= 100")
     return r.orderBy("rn", "lang", "source").limit(100).drop("rn")
 
 

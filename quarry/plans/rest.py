@@ -10,6 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import graph as G
 from quarry.operators import relational as R
 from quarry.operators import text as O
+from quarry.operators.ranks import ranked
 from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, NODES_SQL, chunks, edges, nodes, table
 from quarry.plans.registry import query
 from quarry.plans.relational import RULES_SQL
@@ -106,8 +107,8 @@ def _(spark, d):
 
 @query("op_t04_comparator_chain", f"WITH {CHUNKS_SQL} SELECT title, chunk_id, row_number() OVER (PARTITION BY title ORDER BY coalesce(abs(time_start - 938), 200), tier, parent_id IS NOT NULL, chunk_id) AS place FROM chunks")
 def _(spark, d):
-    w = W.partitionBy("title").orderBy(F.coalesce(F.abs(F.col("time_start") - 938), F.lit(200)), "tier", F.col("parent_id").isNotNull(), "chunk_id")
-    return chunks(spark, d).select("title", "chunk_id", F.row_number().over(w).cast("long").alias("place"))
+    order = [F.coalesce(F.abs(F.col("time_start") - 938), F.lit(200)), F.col("tier"), F.col("parent_id").isNotNull(), F.col("chunk_id")]
+    return ranked(chunks(spark, d).drop("content"), ["title"], order, "place").select("title", "chunk_id", "place")
 
 
 @query("op_r02_first_event_latency", "SELECT user_id, count(*) AS events, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us, arg_min(event_id, (ts, event_id)) AS first FROM events GROUP BY user_id")
@@ -118,8 +119,7 @@ def _(spark, d):
 
 @query("op_n09_round_robin_share", f"WITH {CHUNKS_SQL}, r AS (SELECT dynasty, chunk_id, row_number() OVER (PARTITION BY dynasty ORDER BY chunk_id) AS rn, count(*) OVER (PARTITION BY dynasty) AS n FROM chunks) SELECT dynasty, chunk_id FROM r WHERE rn <= ceil(n / 4.0)")
 def _(spark, d):
-    w = W.partitionBy("dynasty")
-    r = chunks(spark, d).select("dynasty", "chunk_id", F.row_number().over(w.orderBy("chunk_id")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
+    r = ranked(chunks(spark, d).select("dynasty", "chunk_id"), ["dynasty"], [F.col("chunk_id")], "rn", "n")
     return r.filter("rn <= ceil(n / 4.0)").select("dynasty", "chunk_id")
 
 

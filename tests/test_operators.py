@@ -7,6 +7,7 @@ from quarry import dims
 from quarry.functions import text as T
 from quarry.operators import evaluation as E
 from quarry.operators import graph as G
+from quarry.operators import ranks as K
 from quarry.operators import relational as R
 from quarry.operators import retrieval as X
 from quarry.operators import text as O
@@ -41,8 +42,20 @@ def test_delete_keeps_unknown(spark):
 def test_percentiles(spark):
     for n in (1, 2, 20):
         df = spark.createDataFrame([("k", float(i)) for i in range(n)], "k string, v double")
-        assert R.discrete_percentiles(df, ["k"], "v", [50, 95]).first()[1:] == (float(min(n // 2, n - 1)), float(min(95 * n // 100, n - 1)))
-        assert R.interpolated_percentiles(df, ["k"], "v", [50]).first()[1] == (n - 1) / 2
+        assert K.discrete_percentiles(df, ["k"], "v", [50, 95]).first()[1:] == (float(min(n // 2, n - 1)), float(min(95 * n // 100, n - 1)))
+        assert K.interpolated_percentiles(df, ["k"], "v", [50]).first()[1] == (n - 1) / 2
+
+
+def test_ranks_of_hot_and_null_keys(spark):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", (i * 7919) % 100, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(5)
+    got = {r["i"]: (r["at"], r["n"]) for r in K.ranked(df, ["k"], [F.desc("v"), F.col("i")], "at", "n").collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        group = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        want |= {r[2]: (at, len(group)) for at, r in enumerate(group, 1)}
+    assert got == want
+    assert K.ranked(df.limit(0), ["k"], [F.col("v")]).collect() == []
 
 
 def test_epochs(spark):
