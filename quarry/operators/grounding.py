@@ -26,7 +26,7 @@ def share_in(part: Column, whole: Column) -> Column:
 
 
 def entailment(pairs: DataFrame, stopwords: list[str]) -> DataFrame:
-    """Entailment of ``claim`` by ``evidence`` in each row (V04): half the share of its words and half that of its word pairs. V02's ordered checks are not built.
+    """Entailment of ``claim`` by ``evidence`` in each row (V04): half the share of its words and half that of its word pairs. V02's ordered checks are `claims.checked_entailment`.
 
     Numbers decide first: a claim all of whose numbers the evidence lacks is NOT_SUPPORTED."""
     c, e = content_words(F.col("claim"), stopwords), content_words(F.col("evidence"), stopwords)

@@ -49,7 +49,7 @@ def phrase_matches(phrases: DataFrame, chunk_rows: DataFrame, anchor: int = 5) -
 
 
 def dedup_passages(docs: DataFrame, least: int = 25) -> DataFrame:
-    """Lines of ``least`` characters or more that a document has already, ignoring case, go; shorter ones stay (P30, N08). Result: doc_id, kept_lines, dropped_lines, text."""
+    """Lines of ``least`` characters or more that a document has already, ignoring case, go; shorter ones stay (N08); P30's two levels are `claims.dedup_text`. Result: doc_id, kept_lines, dropped_lines, text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     key = F.lower(F.trim("line"))
     w = Window.partitionBy("doc_id", "key").orderBy("pos")
@@ -205,7 +205,7 @@ def near_spans(spans: DataFrame, docs: DataFrame, left: str, right: str, most: i
 
 
 def extract_years(c: Column) -> Column:
-    """Three- and four-digit years up to 2100 in order of appearance, distinct."""
+    """Three- and four-digit years up to 2100 in order of appearance, distinct (P16); P17's extractors are in `claims`."""
     raw = F.regexp_extract_all(c, F.lit(r"(?<![\d.,])(\d{3,4})(?![\d.,]*\d)"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(raw, lambda y: y.cast("int")), lambda y: y <= 2100))
 
