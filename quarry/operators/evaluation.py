@@ -81,10 +81,41 @@ def kendall(df: DataFrame, key: str, place: str, value: str) -> DataFrame:
     return p.select(key, F.round(50 * (tau + 1), 6).alias("flow"))
 
 
+#: Coefficients of the normal distribution's polynomial, from the highest power of 1 / (1 + 0.2316419 |x|), its leading factor and the level of significance; fixed values.
+NORMAL = [1.330274, -1.821256, 1.781478, -0.3565638, 0.3193815]
+NORMAL_STEP, NORMAL_PEAK, LEVEL = 0.2316419, 0.3989423, 0.01
+
+
+def upper_tail(x: Column) -> Column:
+    """Probability that a standard normal variable exceeds ``x`` >= 0, by the polynomial."""
+    t = 1 / (1 + NORMAL_STEP * x)
+    poly = F.lit(0.0)
+    for c in NORMAL:
+        poly = (poly + c) * t
+    return NORMAL_PEAK * F.exp(-x * x / 2) * poly
+
+
 def paired_t(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Paired t statistic of b - a per key."""
-    d = df.withColumn("_d", F.col(b) - F.col(a))
-    return d.groupBy(key).agg(F.count("_d").alias("n"), F.round(F.avg("_d"), 6).alias("mean"), F.round(F.avg("_d") / (F.stddev_samp("_d") / F.sqrt(F.count("_d"))), 4).alias("t"))
+    """Paired t test of b - a per key (M08): n, mean, t, two-sided p from the normal distribution, significant. Fewer than two pairs give t 0 and p 1; equal differences give p 0, or 1 if they are 0."""
+    s = df.withColumn("_d", F.col(b) - F.col(a)).groupBy(key).agg(F.count("_d").alias("n"), F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("_s"))
+    few, same = F.col("n") < 2, F.col("_s") == 0
+    flat = F.when(F.col("mean") == 0, 0.0).otherwise(F.signum("mean") * F.lit(float("inf")))
+    t = F.when(few, 0.0).when(same, flat).otherwise(F.col("mean") / (F.col("_s") / F.sqrt("n")))
+    p = F.when(few | (same & (F.col("mean") == 0)), 1.0).when(same, 0.0).otherwise(F.least(F.lit(1.0), 2 * upper_tail(F.abs(t))))
+    return s.select(key, "n", F.round("mean", 6).alias("mean"), F.round(t, 4).alias("t"), F.round(p, 6).alias("p"), (p < LEVEL).alias("significant"))
+
+
+def class_averages(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Accuracy, and precision, recall and F1 as the mean over classes and over all rows (A20, A21, M12): one row; zeros for an empty table.
+
+    Classes are all that occur on either side; rows without a class on a side count there for none."""
+    cells = df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col(actual) == F.col(predicted), F.col("n"))), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(F.col(actual).isNotNull(), F.col("n"))), F.lit(0)).alias("_sup"), F.coalesce(F.sum(F.when(F.col(predicted).isNotNull(), F.col("n"))), F.lit(0)).alias("_called"))
+    macro = class_report(df, actual, predicted).filter("cls is not null").agg(F.count(F.lit(1)).alias("classes"), *[F.coalesce(F.round(F.avg(c), 5), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    p, r = ratio(F.col("hits"), F.col("_called")), ratio(F.col("hits"), F.col("_sup"))
+    micro = total.select("rows", F.round(ratio(F.col("hits"), F.col("rows")), 6).alias("accuracy"), F.round(p, 6).alias("micro_precision"), F.round(r, 6).alias("micro_recall"), F.round(ratio(2 * p * r, p + r), 6).alias("micro_f1"))
+    return micro.crossJoin(macro)
 
 
 #: Multiplier, increment and modulus of the generator that resamples; fixed values.

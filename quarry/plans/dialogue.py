@@ -61,7 +61,7 @@ def _(spark, d):
     return g.select("conv_id", "turns", F.md5(F.array_join("t.text", " ").substr(1, 600).cast("binary")).alias("summary"))
 
 
-@query("op_p25_boundary_truncation")
+@query("op_p25_boundary_truncation", r"WITH h AS (SELECT doc_id, text, substr(text, 1, 1800) AS head FROM documents), c AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])(?:\s|$)', 1) AS sentence, regexp_extract(head, '(?s)^(.*)\s', 1) AS space FROM h) SELECT doc_id, CASE WHEN length(text) <= 1800 THEN text WHEN length(sentence) >= 720 THEN sentence WHEN length(space) >= 900 THEN space ELSE head END AS cut FROM c")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", D.truncate_at_boundary(F.col("text"), 1800).alias("cut"))
 

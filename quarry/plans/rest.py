@@ -25,7 +25,7 @@ def _md5(c):
     return F.md5(c.cast("binary")).alias("h")
 
 
-@query("op_p03_inner_case")
+@query("op_p03_inner_case", r"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN regexp_matches(w, '^\p{L}*\p{Ll}\p{Lu}\p{L}*\n?$') THEN w[1] || lower(substr(w, 2)) ELSE w END), ' ')) AS h FROM documents")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", _md5(T.repair_inner_case(F.col("text"))))
 

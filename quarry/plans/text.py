@@ -134,9 +134,10 @@ def _(spark, d):
     return O.chunk_documents(_docs(spark, d))
 
 
-@query("op_p16_years")
+@query("op_p16_years", r"WITH d AS (SELECT doc_id, concat_ws(' ', text, 1000 + doc_id, doc_id * 7919, (doc_id % 900) || '.', doc_id || ',5') AS text FROM documents), y AS (SELECT doc_id, list_filter(list_transform(list_filter(regexp_extract_all(text, '[\d.,]+'), lambda x: regexp_matches(x, '^\d{3,4}[.,]*$')), lambda x: CAST(rtrim(x, '.,') AS INT)), lambda x: x <= 2100) AS y FROM d) SELECT doc_id, array_to_string(list_filter(y, lambda x, i: list_position(y, x) = i), ',') AS years FROM y")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", O.extract_years(F.col("text")).alias("years"))
+    docs = _docs(spark, d).select("doc_id", F.expr("concat_ws(' ', text, 1000 + doc_id, doc_id * 7919, (doc_id % 900) || '.', doc_id || ',5')").alias("text"))
+    return docs.select("doc_id", F.array_join(O.extract_years(F.col("text")).cast("array<string>"), ",").alias("years"))
 
 
 @query("op_p18_gazetteer_spans")
@@ -151,12 +152,16 @@ def _(spark, d):
     return O.near_spans(spans, docs, "a", "b", 75)
 
 
-@query("op_p24_sentences")
+#: The sentences of ``text`` as a list.
+SENTENCES_SQL = r"""list_filter(list_transform(string_split(regexp_replace(text, '([^\d\s][^\d\s][.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"""
+
+
+@query("op_p24_sentences", f"WITH s AS (SELECT doc_id, {SENTENCES_SQL} AS l FROM documents) SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS sentence FROM s")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(O.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("op_v01_claims")
+@query("op_v01_claims", rf"WITH s AS (SELECT doc_id, {SENTENCES_SQL} AS l FROM documents), u AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, regexp_replace(unnest(l), '^\s*(?:[-*•]|\d+[.)])\s*', '') AS claim FROM s) SELECT * FROM u WHERE length(claim) >= 12")
 def _(spark, d):
     return O.extract_claims(_docs(spark, d))
 
@@ -193,12 +198,25 @@ def _(spark, d):
     return E.confusion(table(spark, d, "labels"), "quality", "toxic", [0, 1])
 
 
-@query("op_a21_class_report", "WITH p AS (SELECT label, CAST(vec_id % 10 AS INT) AS called FROM embeddings), c AS (SELECT label AS cls, count(*) AS support FROM p GROUP BY 1), k AS (SELECT called AS cls, count(*) AS n FROM p GROUP BY 1), t AS (SELECT label AS cls, count(*) AS tp FROM p WHERE label = called GROUP BY 1), j AS (SELECT cls, coalesce(support, 0) AS support, coalesce(n, 0) AS called, coalesce(tp, 0) AS tp FROM c FULL JOIN k USING (cls) LEFT JOIN t USING (cls)), s AS (SELECT cls, support, CASE WHEN called > 0 THEN tp / called ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r FROM j) SELECT cls, support, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1 FROM s")
+REPORT_SQL = "WITH p AS (SELECT label, CAST(vec_id % 10 AS INT) AS called FROM embeddings), c AS (SELECT label AS cls, count(*) AS support FROM p GROUP BY 1), k AS (SELECT called AS cls, count(*) AS n FROM p GROUP BY 1), t AS (SELECT label AS cls, count(*) AS tp FROM p WHERE label = called GROUP BY 1), j AS (SELECT cls, coalesce(support, 0) AS support, coalesce(n, 0) AS called, coalesce(tp, 0) AS tp FROM c FULL JOIN k USING (cls) LEFT JOIN t USING (cls)), s AS (SELECT cls, support, CASE WHEN called > 0 THEN tp / called ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r FROM j) SELECT cls, support, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1 FROM s"
+
+
+@query("op_a21_class_report", REPORT_SQL)
 def _(spark, d):
     return E.class_report(table(spark, d, "embeddings").select("label", F.expr("cast(vec_id % 10 as int)").alias("called")), "label", "called")
 
 
-@query("op_m08_paired_t", "SELECT l_returnflag, count(*) AS n, round(avg(l_tax - l_discount), 6) AS mean, round(avg(l_tax - l_discount) / (stddev_samp(l_tax - l_discount) / sqrt(count(*))), 4) AS t FROM lineitem GROUP BY l_returnflag")
+@query("op_a21_class_averages", f"""WITH e AS (SELECT label, CAST(vec_id % 10 AS INT) AS called FROM embeddings), r AS ({REPORT_SQL}),
+ m AS (SELECT count(*) AS classes, round(avg(precision), 5) AS macro_precision, round(avg(recall), 5) AS macro_recall, round(avg(f1), 5) AS macro_f1 FROM r),
+ t AS (SELECT count(*) AS rows, round(avg(CASE WHEN label = called THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM e)
+ SELECT rows, accuracy, accuracy AS micro_precision, accuracy AS micro_recall, accuracy AS micro_f1, m.* FROM t, m""")
+def _(spark, d):
+    return E.class_averages(table(spark, d, "embeddings").select("label", F.expr("cast(vec_id % 10 as int)").alias("called")), "label", "called")
+
+
+@query("op_m08_paired_t", """WITH s AS (SELECT l_returnflag, count(*) AS n, avg(l_tax - l_discount) AS mean, avg(l_tax - l_discount) / (stddev_samp(l_tax - l_discount) / sqrt(count(*))) AS t FROM lineitem GROUP BY l_returnflag),
+ k AS (SELECT *, 1 / (1 + 0.2316419 * abs(t)) AS k FROM s), p AS (SELECT *, least(1.0, 2 * 0.3989423 * exp(-t * t / 2) * k * (0.3193815 + k * (-0.3565638 + k * (1.781478 + k * (-1.821256 + k * 1.330274))))) AS p FROM k)
+ SELECT l_returnflag, n, round(mean, 6) AS mean, round(t, 4) AS t, round(p, 6)::DOUBLE AS p, p < 0.01 AS significant FROM p""")
 def _(spark, d):
     return E.paired_t(table(spark, d, "lineitem"), "l_returnflag", "l_discount", "l_tax")
 

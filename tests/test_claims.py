@@ -1,10 +1,13 @@
 """Ordered claim checks, years, mentions, repeated passages and anchors on hand-made rows."""
 
+import math
 import re
+import statistics
 
 from pyspark.sql import functions as F
 
 from quarry.operators import claims as C
+from quarry.operators import evaluation as E
 
 NAMES = [("ngo_quyen", "ngô quyền"), ("hoang_thao", "hoằng tháo")]
 
@@ -102,3 +105,21 @@ def test_anchors(spark):
     got = C.chronology_anchors(spark.createDataFrame(q, "query int, text string, ids array<string>, years array<int>"), spark.createDataFrame(e, "id string, name string, dynasty string, first_year int, last_year int"), rules)
     got = {r["query"]: (r["anchors"], r["bullets"]) for r in got.collect()}
     assert got == {1: (["A"], []), 2: (["A"], ["- Hai: Niên đại: 981"]), 3: (["A", "B", "C"], ["- Một: Triều đại: Lý | Niên đại: 5 TCN - 40"]), 4: ([], [])}
+
+
+def test_paired_t(spark):
+    rows = [("a", 1.0, 2.0), ("b", 1.0, 2.0), ("b", 2.0, 3.0), ("c", 1.0, 1.0), ("c", 2.0, 2.0), *[("d", float(i), i + (i % 3)) for i in range(30)], ("e", None, 1.0)]
+    got = {r["k"]: (r["n"], r["t"], r["p"], r["significant"]) for r in E.paired_t(spark.createDataFrame([(k, a, None if b is None else float(b)) for k, a, b in rows], "k string, a double, b double"), "k", "a", "b").collect()}
+    diffs = [i % 3 for i in range(30)]
+    t = statistics.mean(diffs) / (statistics.stdev(diffs) / 30**0.5)
+    assert got["a"] == (1, 0.0, 1.0, False) and got["b"] == (2, math.inf, 0.0, True) and got["c"] == (2, 0.0, 1.0, False) and got["e"] == (0, 0.0, 1.0, False)
+    assert got["d"][:2] == (30, round(t, 4)) and abs(got["d"][2] - math.erfc(t / 2**0.5)) < 1e-5
+    assert abs(spark.range(1).select(E.upper_tail(F.lit(1.96))).first()[0] - 0.025) < 1e-5
+
+
+def test_class_averages(spark):
+    df = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), (None, "z")], "a string, b string")
+    r = E.class_averages(df, "a", "b").first()
+    assert (r["rows"], r["accuracy"], r["micro_precision"], r["micro_recall"]) == (4, 0.5, 0.5, round(2 / 3, 6))
+    assert (r["classes"], r["macro_precision"], r["macro_recall"], r["macro_f1"]) == (3, 0.5, 0.5, 0.44444)
+    assert E.class_averages(df.limit(0), "a", "b").first()["rows"] == 0
