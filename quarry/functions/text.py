@@ -120,3 +120,31 @@ def repair_json(c: Column) -> Column:
 def valid_span(c: Column, generic: list[str]) -> Column:
     """Whether a candidate name can be an entity (F14): 2 to 80 characters, 8 words at most, no digit first, no brackets, not a generic word."""
     return F.length(c).between(2, 80) & (F.size(F.split(c, r"\s+")) <= 8) & ~c.rlike(r"^\d") & ~c.rlike(r"[\[\](){}<>]") & ~F.lower(c).isin(generic)
+
+
+#: Spoken digits, and the units of groups of three digits from the lowest.
+DIGITS = ["không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín"]
+GROUPS = ["", "nghìn", "triệu", "tỷ", "nghìn tỷ"]
+
+
+def number_words(c: Column) -> Column:
+    """A whole number below 10^15 in words of the source language (P36); null for null and for numbers beyond."""
+    n = F.abs(c.cast("long"))
+    words = F.array(*map(F.lit, DIGITS))
+    word = lambda d: F.get(words, d.cast("int"))
+    parts = []
+    for k in reversed(range(len(GROUPS))):
+        g, leads = F.floor(n / F.lit(1000**k)) % 1000, n < 1000 ** (k + 1)
+        h, t, u = F.floor(g / 100), F.floor(g / 10) % 10, g % 10
+        full = (h > 0) | ~leads
+        ones = F.when(u == 5, "lăm").otherwise(word(u))
+        after_tens = F.when(u == 1, "mốt").when(u == 4, "tư").otherwise(ones)
+        pieces = [
+            F.when(full, F.concat_ws(" ", word(h), F.lit("trăm"))),
+            F.when(t > 1, F.concat_ws(" ", word(t), F.lit("mươi"))).when(t == 1, F.lit("mười")).when(full & (u > 0), F.lit("lẻ")),
+            F.when(u > 0, F.when(t > 1, after_tens).when(t == 1, ones).otherwise(word(u))),
+            *([F.lit(GROUPS[k])] if k else []),
+        ]
+        spoken = F.concat_ws(" ", *pieces)
+        parts.append(F.when(g > 0, spoken))
+    return F.when(n < 10**15, F.when(n == 0, DIGITS[0]).otherwise(F.concat_ws(" ", F.when(c < 0, F.lit("âm")), *parts)))

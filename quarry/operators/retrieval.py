@@ -98,10 +98,16 @@ def lexical_scores(query_terms: DataFrame, postings: DataFrame, titles: DataFram
     return query_terms.distinct().join(index, "term").groupBy("query", "chunk_id").agg(F.sum("points").cast("double").alias("score"))
 
 
+#: The ten stems and twelve branches of a sexagenary year.
+STEMS = ["giáp", "ất", "bính", "đinh", "mậu", "kỷ", "canh", "tân", "nhâm", "quý"]
+BRANCHES = ["tý", "sửu", "dần", "mão", "thìn", "tỵ", "ngọ", "mùi", "thân", "dậu", "tuất", "hợi"]
+SEXAGENARY = rf"(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(STEMS)})\s+(?:{'|'.join(BRANCHES)})([^\p{{L}}\p{{N}}_]|$)"
+
+
 def weights(text: Column, intent: Column | None = None) -> Column:
-    """Adaptive weights (X10) as a struct (dense, lexical): by intent, else 3-4 digit years, else concepts in a query without capitals."""
+    """Adaptive weights (X10) as a struct (dense, lexical): by intent, else 3-4 digit or sexagenary years, else concepts in a query without capitals."""
     pair = lambda w: F.struct(F.lit(w[0]).alias("dense"), F.lit(w[1]).alias("lexical"))
-    year = text.rlike(r"(^|[^0-9A-Za-z_])\d{3,4}([^0-9A-Za-z_]|$)")
+    year = text.rlike(r"(^|[^0-9A-Za-z_])\d{3,4}([^0-9A-Za-z_]|$)") | F.lower(text).rlike(SEXAGENARY)
     concept = text.rlike(CONCEPTS) & ~text.rlike(r"(^|[^0-9A-Za-z_])[A-ZÀ-Ỹ]")
     out = F.when(year, pair(YEAR_WEIGHTS)).when(concept, pair(CONCEPT_WEIGHTS)).otherwise(pair(EVEN_WEIGHTS))
     if intent is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import claims as C
 from quarry.plans.base import CHUNKS_SQL, chunks, table
 from quarry.plans.more import STOP, STOP_SQL
@@ -100,3 +101,9 @@ def _(spark, d):
     pairs = c.select("chunk_id", "parent_id", F.col("content").alias("claim")).join(p, "parent_id")
     pairs = pairs.withColumns({"claim_spans": C.name_spans(F.col("claim"), _NAMES), "evidence_spans": C.name_spans(F.col("evidence"), _NAMES)})
     return C.checked_entailment(pairs, STOP, _TERMS).select("chunk_id", "score", "verdict", "reason")
+
+
+@query("op_p36_number_words")
+def _(spark, d):
+    n = F.expr("CASE o_orderkey % 3 WHEN 0 THEN o_orderkey WHEN 1 THEN -cast(o_totalprice as bigint) ELSE cast(o_totalprice * o_orderkey * 1000 as bigint) END")
+    return table(spark, d, "orders").select("o_orderkey", T.number_words(n).alias("words"))

@@ -81,9 +81,16 @@ def _(spark, d):
     return lexical(spark, d, 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("op_x10_adaptive_weights", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^0-9A-Za-z_])\d{3,4}([^0-9A-Za-z_]|$)') THEN 0.3 ELSE 0.5 END::DOUBLE AS dense FROM documents")
+#: Questions of every kind from the texts: with a stem and branch, with a year, on a concept, or of an intent.
+_ASKED = """CASE doc_id % 5 WHEN 0 THEN concat_ws(' ', text, 'Canh  Thìn.') WHEN 1 THEN concat_ws(' ', lower(text), 'nguyên nhân') WHEN 2 THEN concat_ws(' ', text, 'nguyên nhân') WHEN 3 THEN concat_ws(' ', text, 900 + doc_id % 200) ELSE concat_ws(' ', text, 'canhthìn') END"""
+_INTENT = "CASE doc_id % 11 WHEN 0 THEN 'FACTOID_LOOKUP' WHEN 1 THEN 'GENEALOGY_RELATION' WHEN 2 THEN 'BATTLE_TACTICS' WHEN 3 THEN 'COMPARATIVE_SYNTHESIS' END"
+
+
+@query("op_x10_adaptive_weights", rf"""WITH q AS (SELECT doc_id, {_ASKED} AS t, {_INTENT} AS i FROM documents) SELECT doc_id, CASE i WHEN 'FACTOID_LOOKUP' THEN 0.2 WHEN 'GENEALOGY_RELATION' THEN 0.4 WHEN 'BATTLE_TACTICS' THEN 0.6 WHEN 'COMPARATIVE_SYNTHESIS' THEN 0.5 ELSE
+ CASE WHEN regexp_matches(t, '(^|[^0-9A-Za-z_])\d{{3,4}}([^0-9A-Za-z_]|$)') OR regexp_matches(lower(t), '{X.SEXAGENARY}') THEN 0.3 WHEN regexp_matches(t, 'nguyên\s+nhân') AND NOT regexp_matches(t, '(^|[^0-9A-Za-z_])[A-ZÀ-Ỹ]') THEN 0.6 ELSE 0.5 END END::DOUBLE AS dense FROM q""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.weights(F.col("text"))["dense"].alias("dense"))
+    q = table(spark, d, "documents").selectExpr("doc_id", f"{_ASKED} AS t", f"{_INTENT} AS i")
+    return q.select("doc_id", X.weights(F.col("t"), F.col("i"))["dense"].alias("dense"))
 
 
 @query("op_x11_hybrid_rrf", f"WITH {HYBRID_SQL} SELECT query, chunk_id, round(score, 6) AS score, rank FROM hybrid WHERE rank <= 10")

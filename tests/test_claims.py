@@ -6,8 +6,10 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import claims as C
 from quarry.operators import evaluation as E
+from quarry.operators import retrieval as X
 
 NAMES = [("ngo_quyen", "ngô quyền"), ("hoang_thao", "hoằng tháo")]
 
@@ -123,3 +125,18 @@ def test_class_averages(spark):
     assert (r["rows"], r["accuracy"], r["micro_precision"], r["micro_recall"]) == (4, 0.5, 0.5, round(2 / 3, 6))
     assert (r["classes"], r["macro_precision"], r["macro_recall"], r["macro_f1"]) == (3, 0.5, 0.5, 0.44444)
     assert E.class_averages(df.limit(0), "a", "b").first()["rows"] == 0
+
+
+def test_number_words(spark):
+    want = {0: "không", 5: "năm", 10: "mười", 15: "mười lăm", 21: "hai mươi mốt", 24: "hai mươi tư", 105: "một trăm lẻ năm", 111: "một trăm mười một", 1000: "một nghìn", 1005: "một nghìn không trăm lẻ năm", 1284: "một nghìn hai trăm tám mươi tư",
+            -40: "âm bốn mươi", 2_000_015: "hai triệu không trăm mười lăm", 10**9: "một tỷ", 999_999_999_999_999: None, 10**15: None, None: None}
+    got = dict(map(tuple, spark.createDataFrame([(n,) for n in want], "n long").select("n", T.number_words(F.col("n"))).collect()))
+    nine = "chín trăm chín mươi chín"
+    want[999_999_999_999_999] = f"{nine} nghìn tỷ {nine} tỷ {nine} triệu {nine} nghìn {nine}"
+    assert got == want
+
+
+def test_weights(spark):
+    rows = ["năm Canh Thìn", "canh thìnx", "trận 938", "nguyên nhân", "Nguyên nhân", "x"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(X.weights(F.col("t"))["dense"]).collect()]
+    assert got == [0.3, 0.5, 0.3, 0.6, 0.5, 0.5]
