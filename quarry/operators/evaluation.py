@@ -185,3 +185,24 @@ def triple_scores(predicted: DataFrame, gold: DataFrame, closure) -> DataFrame:
     n = c.crossJoin(g.agg(F.count(F.lit(1)).alias("n_gold")))  # one row each
     pr, re = (F.col("exact") + F.col("implied")) / F.col("predicted"), F.col("exact") / F.col("n_gold")
     return n.select("predicted", "exact", "implied", "reversed", "hallucinated", F.round(pr, 6).alias("precision"), F.round(re, 6).alias("recall"), F.round(2 * pr * re / (pr + re), 6).alias("f1"))
+
+
+def span_scores(predicted: DataFrame, gold: DataFrame, key: str, width: int) -> DataFrame:
+    """Spans found in each ``key`` (M10): gold, predicted, exact and partial hits, precision, recall and F1 in per cent by exact hits, and recall of gold spans that no dictionary knows, by any hit.
+
+    ``predicted`` (key, start, end, name), ``gold`` (key, id, start, end, name, known). A gold span is hit exactly by the same offsets or the same name (case and outer blanks do not count), partially by an overlap;
+    names that only contain each other are no hit. Spans have at most ``width`` characters, so two that overlap share a cell of that width. Without gold or predicted spans a share is 100 if the other side is empty too, else 0."""
+    name = F.lower(F.trim("name")).alias("name")
+    p, g = predicted.select(key, "start", "end", name), gold.select(key, "id", "start", "end", name, "known")
+    same = g.join(p.select(key, "start", "end").distinct(), [key, "start", "end"], "left_semi").select(key, "id").unionByName(g.join(p.select(key, "name").distinct(), [key, "name"], "left_semi").select(key, "id")).distinct()
+    cells = lambda df: df.withColumn("_cell", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"greatest(start, end - 1) div {width}"))))
+    o = cells(p).select(key, "_cell", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    touched = cells(g).join(o, [key, "_cell"]).filter(F.greatest("start", "_s") < F.least("end", "_e")).select(key, "id").distinct()
+    j = g.join(same.withColumn("_x", F.lit(True)), [key, "id"], "left").join(touched.withColumn("_t", F.lit(True)), [key, "id"], "left")
+    hit, oov = F.col("_x").isNotNull() | F.col("_t").isNotNull(), ~F.coalesce("known", F.lit(False))
+    by = j.groupBy(key).agg(F.count(F.lit(1)).alias("gold"), F.count("_x").alias("exact"), F.count_if(F.col("_x").isNull() & F.col("_t").isNotNull()).alias("partial"), F.count_if(oov).alias("oov"), F.count_if(oov & hit).alias("oov_found"))
+    c = by.join(p.groupBy(key).agg(F.count(F.lit(1)).alias("predicted")), key, "full").fillna(0)
+    share = lambda a, n, other: F.when(F.col(n) > 0, 100 * F.col(a) / F.col(n)).when(F.col(other) == 0, 100.0).otherwise(0.0)
+    c = c.withColumns({"_p": share("exact", "predicted", "gold"), "_r": share("exact", "gold", "predicted")})
+    f1 = F.when(F.col("_p") + F.col("_r") > 0, 2 * F.col("_p") * F.col("_r") / (F.col("_p") + F.col("_r"))).otherwise(0.0)
+    return c.select(key, "gold", "predicted", "exact", "partial", F.round("_p", 2).alias("precision"), F.round("_r", 2).alias("recall"), F.round(f1, 2).alias("f1"), F.round(F.when(F.col("oov") > 0, 100 * F.col("oov_found") / F.col("oov")).otherwise(100.0), 2).alias("oov_recall"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import claims as C
+from quarry.operators import evaluation as E
 from quarry.plans.base import CHUNKS_SQL, chunks, table
 from quarry.plans.more import STOP, STOP_SQL
 from quarry.plans.registry import query
@@ -107,3 +108,14 @@ def _(spark, d):
 def _(spark, d):
     n = F.expr("CASE o_orderkey % 3 WHEN 0 THEN o_orderkey WHEN 1 THEN -cast(o_totalprice as bigint) ELSE cast(o_totalprice * o_orderkey * 1000 as bigint) END")
     return table(spark, d, "orders").select("o_orderkey", T.number_words(n).alias("words"))
+
+
+@query("op_m10_span_scores", """WITH s AS (SELECT event_id, user_id, epoch_us(ts) AS a, epoch_us(ts) + 1800000000 AS b, event_type || '_' || CAST(floor(value) AS BIGINT) AS name, event_id % 2 = 0 AS g, event_id % 3 = 0 AS oov FROM events),
+ p AS (SELECT * FROM s WHERE NOT g), h AS (SELECT *, (EXISTS (FROM p WHERE p.user_id = s.user_id AND p.name = s.name)) OR (EXISTS (FROM p WHERE p.user_id = s.user_id AND p.a = s.a)) AS x, EXISTS (FROM p WHERE p.user_id = s.user_id AND greatest(p.a, s.a) < least(p.b, s.b)) AS t FROM s WHERE g),
+ k AS (SELECT user_id, count(*) AS gold, count(*) FILTER (x) AS exact, count(*) FILTER (t AND NOT x) AS partial, count(*) FILTER (oov) AS oov, count(*) FILTER (oov AND (x OR t)) AS found FROM h GROUP BY 1), n AS (SELECT user_id, count(*) AS predicted FROM p GROUP BY 1),
+ c AS (SELECT user_id, coalesce(gold, 0) AS gold, coalesce(predicted, 0) AS predicted, coalesce(exact, 0) AS exact, coalesce(partial, 0) AS partial, coalesce(oov, 0) AS oov, coalesce(found, 0) AS found FROM k FULL JOIN n USING (user_id)),
+ r AS (SELECT *, CASE WHEN predicted > 0 THEN 100 * exact / predicted WHEN gold = 0 THEN 100.0 ELSE 0.0 END AS pr, CASE WHEN gold > 0 THEN 100 * exact / gold WHEN predicted = 0 THEN 100.0 ELSE 0.0 END AS re FROM c)
+ SELECT user_id, gold, predicted, exact, partial, round(pr, 2)::DOUBLE AS precision, round(re, 2)::DOUBLE AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 2)::DOUBLE AS f1, round(CASE WHEN oov > 0 THEN 100 * found / oov ELSE 100.0 END, 2)::DOUBLE AS oov_recall FROM r""")
+def _(spark, d):
+    s = table(spark, d, "events").select("user_id", F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.expr("event_type || '_' || cast(floor(value) as bigint)").alias("name"), (F.col("event_id") % 3 != 0).alias("known")).withColumn("end", F.col("start") + 1_800_000_000)
+    return E.span_scores(s.filter("id % 2 = 1"), s.filter("id % 2 = 0"), "user_id", 1_800_000_000)

@@ -140,3 +140,10 @@ def test_weights(spark):
     rows = ["năm Canh Thìn", "canh thìnx", "trận 938", "nguyên nhân", "Nguyên nhân", "x"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(X.weights(F.col("t"))["dense"]).collect()]
     assert got == [0.3, 0.5, 0.3, 0.6, 0.5, 0.5]
+
+
+def test_span_scores(spark):
+    p = [("a", 0, 5, "Huế"), ("a", 10, 14, "x"), ("a", 30, 35, " sông "), ("c", 0, 2, "y")]
+    g = [("a", 1, 0, 5, "?", True), ("a", 2, 12, 20, "??", False), ("a", 3, 50, 55, "Sông", False), ("a", 4, 70, 75, "z", False), ("b", 5, 0, 3, "q", None)]
+    got = E.span_scores(spark.createDataFrame(p, "k string, start int, end int, name string"), spark.createDataFrame(g, "k string, id int, start int, end int, name string, known boolean"), "k", 10)
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {"a": (4, 3, 2, 1, 66.67, 50.0, 57.14, 66.67), "b": (1, 0, 0, 0, 0.0, 0.0, 0.0, 0.0), "c": (0, 1, 0, 0, 0.0, 0.0, 0.0, 100.0)}
