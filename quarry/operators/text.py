@@ -170,18 +170,22 @@ def gazetteer_spans(docs: DataFrame, names: list[str]) -> DataFrame:
     """Longest-match dictionary spans (P18, J14) of whole words: doc_id, start, end, name. The dictionary is fixed and goes with the task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {tuple(n.lower().split()) for n in names}
-        longest = max(map(len, known), default=0)
+        # Names by their first word, the longest first: other words cost one look.
+        starts: dict[str, list[tuple[str, ...]]] = {}
+        for name in sorted({tuple(n.lower().split()) for n in names}, key=len, reverse=True):
+            if name:
+                starts.setdefault(name[0], []).append(name)
         for pdf in batches:
             out = []
-            for d in pdf.itertuples(index=False):
-                found = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"\w+", d.text or "")]
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                found = list(re.finditer(r"\w+", text or ""))
+                words = [m.group().lower() for m in found]
                 i = 0
-                while i < len(found):
-                    n = next((n for n in range(min(longest, len(found) - i), 0, -1) if tuple(w for w, _, _ in found[i : i + n]) in known), 0)
-                    if n:
-                        out.append((d.doc_id, found[i][1], found[i + n - 1][2], " ".join(w for w, _, _ in found[i : i + n])))
-                    i += n or 1
+                while i < len(words):
+                    name = next((n for n in starts.get(words[i], ()) if tuple(words[i : i + len(n)]) == n), None)
+                    if name:
+                        out.append((doc_id, found[i].start(), found[i + len(name) - 1].end(), " ".join(name)))
+                    i += len(name) if name else 1
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "name"]).astype({"doc_id": "Int64", "start": "int64", "end": "int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, end long, name string")

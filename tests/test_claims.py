@@ -10,6 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import claims as C
 from quarry.operators import evaluation as E
 from quarry.operators import retrieval as X
+from quarry.operators import text as O
 
 NAMES = [("ngo_quyen", "ngô quyền"), ("hoang_thao", "hoằng tháo")]
 
@@ -147,3 +148,9 @@ def test_span_scores(spark):
     g = [("a", 1, 0, 5, "?", True), ("a", 2, 12, 20, "??", False), ("a", 3, 50, 55, "Sông", False), ("a", 4, 70, 75, "z", False), ("b", 5, 0, 3, "q", None)]
     got = E.span_scores(spark.createDataFrame(p, "k string, start int, end int, name string"), spark.createDataFrame(g, "k string, id int, start int, end int, name string, known boolean"), "k", 10)
     assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {"a": (4, 3, 2, 1, 66.67, 50.0, 57.14, 66.67), "b": (1, 0, 0, 0, 0.0, 0.0, 0.0, 0.0), "c": (0, 1, 0, 0, 0.0, 0.0, 0.0, 100.0)}
+
+
+def test_longest_names(spark):
+    rows = [(1, "The of the end; of The"), (2, None), (None, "of of the the"), (3, "")]
+    got = O.gazetteer_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["the", "of the", "The", "", "of the end now"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 3, "the"), (1, 4, 10, "of the"), (1, 16, 22, "of the"), (None, 3, 9, "of the"), (None, 10, 13, "the")], key=str)
