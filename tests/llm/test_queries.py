@@ -19,7 +19,7 @@ def test_matches_sql(spark, name):
 
 
 def test_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14))
 
 
 def test_stages_keep_columns_and_take_effect(spark):
