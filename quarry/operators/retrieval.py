@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import staged
 from quarry.operators.relational import top_per
 
 #: Fixed values of the fusion: constant of reciprocal ranks, over-fetch, boosts of the first tier and of child chunks.
@@ -28,8 +29,8 @@ CONCEPTS = r"(?iu)(?:ý\s+nghĩa|ảnh\s+hưởng|nguyên\s+nhân|bối\s+cảnh
 #: Least score, share of the top score, weights of tiers and of co-retrieval.
 LEAST_SCORE, TOP_SHARE, TIER_WEIGHTS, CO_RETRIEVED = 0.15, 0.25, {"LEVEL_1": 1.0, "LEVEL_2": 0.5}, 0.05
 CHARS_PER_TOKEN = 3.5
-#: Vectors in a block of the exact search.
-VECTORS, QUERIES = 4096, 1024
+#: Vectors in a block of the exact search; blocks of queries are broadcast in slices of so many bytes.
+VECTORS, QUERIES, SLICE_BYTES = 4096, 1024, 32 << 20
 
 
 def cosine(a: str, b: str) -> Column:
@@ -63,11 +64,24 @@ def packed(vectors: DataFrame, per_block: int) -> DataFrame:
     return vectors.filter(F.col(vectors.columns[1]).isNotNull()).mapInArrow(run, "ids array<long>, data binary, dim int")
 
 
+def ranges(sizes: list[tuple[int, int]], most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of the ascending numbers of (number, size), in runs of ``most`` together; a larger one is a run of its own."""
+    first, last, total = None, None, 0
+    for number, size in sizes:
+        if first is not None and total + size > most:
+            yield first, last
+            first, total = None, 0
+        first, last, total = number if first is None else first, number, total + size
+    if first is not None:
+        yield first, last
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact dense search (X01, T01): ``queries`` and ``vectors`` are (id, array) and the result (query, chunk_id, similarity, score, rank).
 
     Blocks of queries meet blocks of vectors, each pair is one matrix product that keeps the k best of every query; a ranked window over
-    those keeps the k best of all. score = 1 / (1 + cosine distance)."""
+    those keeps the k best of all. The staged queries are broadcast, in slices of SLICE_BYTES at most by their counted size (a block is one row, of QUERIES vectors);
+    the vectors stay where they are. score = 1 / (1 + cosine distance)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +92,15 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 n = order.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query", "chunk_id", "similarity"])
 
-    q = packed(queries, QUERIES).select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), "dim")
+    q = staged(packed(queries, QUERIES).select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), "dim", F.monotonically_increasing_id().alias("block")))
+    # Of a block only its number and size come to the driver; a slice is a range of numbers.
+    sizes, best = q.select("block", F.length("q").alias("n")).orderBy("block").collect(), None
     v = packed(vectors, VECTORS).select(F.col("ids").alias("v_ids"), F.col("data").alias("v"))
-    best = q.crossJoin(v).select("q_ids", "q", "dim", "v_ids", "v").mapInArrow(run, "query long, chunk_id long, similarity double")
+    for first, last in ranges([(r["block"], r["n"]) for r in sizes], SLICE_BYTES):
+        part = v.crossJoin(F.broadcast(q.filter(F.col("block").between(first, last)))).select("q_ids", "q", "dim", "v_ids", "v").mapInArrow(run, "query long, chunk_id long, similarity double")
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        best = queries.sparkSession.createDataFrame([], "query long, chunk_id long, similarity double")
     return top_per(best, ["query"], [F.desc("similarity"), F.col("chunk_id")], k).withColumn("score", 1 / (2 - F.col("similarity")))
 
 

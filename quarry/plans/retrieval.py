@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import index as I
 from quarry.operators import retrieval as X
 from quarry.operators.relational import top_per
 from quarry.plans.base import CHUNKS_SQL, EDGES_SQL, POSTINGS_SQL, TITLES_SQL, chunks, edges, occurrences, table
@@ -35,19 +36,19 @@ def _terms(spark, d) -> DataFrame:
     return occurrences(c).unionByName(occurrences(c, "title")).distinct().select(F.col("chunk_id").alias("query"), F.col("token").alias("term"))
 
 
+def lexical(spark, d, k: int | None) -> DataFrame:
+    """The k best chunks of each query by term hits; all of them, without a rank, if k is None."""
+    return I.term_points(I.build_index(chunks(spark, d)), _terms(spark, d), k)
+
+
 def scores(spark, d) -> DataFrame:
-    c = chunks(spark, d)
-    return X.lexical_scores(_terms(spark, d), occurrences(c), occurrences(c, "title"))
+    return lexical(spark, d, None)
 
 
 TERMS_SQL = f"{TITLES_SQL}, terms AS (SELECT chunk_id AS query, token AS term FROM postings WHERE chunk_id % 100 = 0 UNION SELECT chunk_id, token FROM titles WHERE chunk_id % 100 = 0)"
 LEXICAL_SQL = f"{CHUNKS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, hits AS (SELECT query, chunk_id, CAST(sum(points) AS BIGINT) AS score FROM terms JOIN (SELECT token, chunk_id, 1 AS points FROM postings UNION ALL SELECT token, chunk_id, 2 FROM titles) ON term = token GROUP BY ALL), lexical AS (SELECT query, chunk_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM hits)"
 
 
-def lexical(spark, d, k: int) -> DataFrame:
-    return top_per(scores(spark, d), ["query"], [F.desc("score"), F.col("chunk_id")], k)
-
-
 HYBRID_SQL = f"""{DENSE_SQL}, {LEXICAL_SQL},
  parts AS (SELECT query, chunk_id, CASE WHEN query % 200 = 0 THEN 0.2 ELSE 0.5 END / (60 + rank) AS part FROM dense WHERE rank <= 30 UNION ALL SELECT query, chunk_id, CASE WHEN query % 200 = 0 THEN 0.8 ELSE 0.5 END / (60 + rank) FROM lexical WHERE rank <= 30),
  fused AS (SELECT query, chunk_id, sum(part) AS score FROM parts GROUP BY ALL),
@@ -213,9 +214,7 @@ def _(spark, d):
 
 @query("op_j17_claim_argmax", f"WITH {LEXICAL_SQL} SELECT query, chunk_id AS best, score FROM lexical WHERE rank = 1")
 def _(spark, d):
-    s = scores(spark, d)
-    best = s.groupBy("query").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("neg"))).alias("b"))
-    return best.select("query", (-F.col("b.neg")).alias("best"), F.col("b.score").cast("long").alias("score"))
+    return lexical(spark, d, 1).select("query", F.col("chunk_id").alias("best"), F.col("score").cast("long").alias("score"))
 
 
 @query("op_m15_rrf_sweep", f"WITH {DENSE_SQL}, {LEXICAL_SQL}, ks(k) AS (VALUES (20), (40), (60), (80), (100)), u AS (SELECT k, query, chunk_id, 0.5 / (k + rank) AS p FROM dense, ks WHERE rank <= 15 UNION ALL SELECT k, query, chunk_id, 0.5 / (k + rank) FROM lexical, ks WHERE rank <= 15), f AS (SELECT k, query, chunk_id, round(sum(p), 9) AS s FROM u GROUP BY ALL) SELECT k, query, chunk_id FROM f QUALIFY row_number() OVER (PARTITION BY k, query ORDER BY s DESC, chunk_id) <= 5")
