@@ -7,6 +7,7 @@ segment tree over remaining capacities finds the fullest row that still has room
 from __future__ import annotations
 
 import uuid
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ class Capacities:
     def __init__(self, most: int):
         self.size = 1 << most.bit_length()
         self.count = [0] * (2 * self.size)
-        self.rows: list[list[int]] = [[] for _ in range(most + 1)]
+        self.rows: list[deque[int]] = [deque() for _ in range(most + 1)]
 
     def _add(self, capacity: int, n: int) -> None:
         k = capacity + self.size
@@ -51,7 +52,7 @@ class Capacities:
             while k < self.size:
                 k = 2 * k if self.count[2 * k] else 2 * k + 1
         capacity = k - self.size
-        row = self.rows[capacity].pop(0)
+        row = self.rows[capacity].popleft()
         self._add(capacity, -1)
         return capacity, row
 

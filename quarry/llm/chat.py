@@ -21,8 +21,6 @@ from quarry.llm.tokens import byte_ids
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>", "\u0010"
 #: Tokens of a window, and tokens of repeated history at most.
 BUDGET, HISTORY = 1024, 256
-#: What the template adds to a turn: two control tokens and two line ends.
-MARKS = 4
 #: Rows and code points of a batch of turns, about.
 BATCH_ROWS, BATCH_CHARS = 1000, 8 << 20
 
@@ -46,9 +44,9 @@ def unescape_role(c: Column) -> Column:
 
 
 def with_cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first four columns, and the tokens of the escaped role and text with the template's marks."""
+    """The first four columns, and the tokens of the formatted turn, marks included. Marks begin a token of their own after a line end, so a window has just the sum of its turns."""
     for batch in batches:
-        cost = [len(byte_ids(r)) + len(byte_ids(t)) + MARKS for r, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        cost = [len(byte_ids(f"{START}{r}\n{t}{END}\n")) for r, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cost, pa.int64())], [*batch.schema.names[:4], "cost"])
 
 
@@ -121,7 +119,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     spans: for each turn in ``formatted`` a struct (seq, from, length, learn, repeated) of code points of its escaped text: ``learn`` is the mask,
     set for assistant turns of the window's own span only; ``repeated`` marks the system turn after the first window and history.
     Turns are in order of (turn, role, text), a null turn first; null roles and texts are empty, a null conv_id is a conversation of its own, repeated rows are turns
-    of their own. Windows hold at most ``budget`` tokens (turns are encoded each for itself) unless the system turn and a single other one have more. Further columns are ignored.
+    of their own. Windows hold at most ``budget`` tokens of ``byte_bpe_50k``, in which the marks are ordinary text, unless the system turn and a single other one have more. Further columns are ignored.
     """
     ordered = turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     every = ordered.mapInArrow(cut(budget, history), f"conv_id {ordered.schema['conv_id'].dataType.simpleString()}, window long, seq int, role string, text string, repeated boolean")

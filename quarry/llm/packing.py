@@ -38,11 +38,11 @@ BATCH_TOKENS, BATCH_DOCS = 1 << 20, 2000
 
 
 def sharded(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty) and a shard by a hash of both: repeated rows and null ids do no harm."""
+    """doc_id, text (null as empty) and a shard by a hash of both and of the row's number: repeated rows and null ids are dealt apart."""
     rows = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(shards)))
 
 
 def document_ids(table: pa.Table) -> tuple[list, list[np.ndarray]]:
@@ -214,11 +214,13 @@ def fill(tokens: list[np.ndarray], window: int, idf: np.ndarray | None = None) -
         start.append(full * window)
         left.append(len(t) - full * window)
     unused = np.array([n > 0 for n in left])
+    # Nothing before it is unused.
+    lowest = 0
     index = Index(tokens, idf) if unused.any() else None
     for seed in range(len(tokens)):
         if not unused[seed]:
             continue
-        scores, room, d = None, window, seed
+        near, room, d = None, window, seed
         while True:
             n = min(left[d], room)
             pieces.append((d, start[d], n, sequence, window - room))
@@ -226,12 +228,18 @@ def fill(tokens: list[np.ndarray], window: int, idf: np.ndarray | None = None) -
             unused[d] = left[d] > 0
             if not room:
                 break
-            if scores is None:
-                scores = np.where(unused, index.scores(seed), -1.0)
-            scores[d] = -1.0
-            d = int(scores.argmax())
-            if scores[d] < 0:
-                break
+            if near is None:
+                scores = np.where(unused, index.scores(seed), 0.0)
+                found = np.flatnonzero(scores > 0)
+                near = iter(found[np.argsort(-scores[found], kind="stable")].tolist())
+            # The nearest first; then, as all that share a token are taken, the others in order.
+            d = next((x for x in near if unused[x]), -1)
+            if d < 0:
+                while lowest < len(tokens) and not unused[lowest]:
+                    lowest += 1
+                if lowest == len(tokens):
+                    break
+                d = lowest
         sequence += 1
     return pieces
 

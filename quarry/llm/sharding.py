@@ -52,9 +52,12 @@ def place(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = T
     return placed.join(F.broadcast(rows), "slot").select(key, "n_bytes", "slot", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE) -> None:
-    """Write ``docs`` as one folder a shard. Rows are spread over tasks by shard and slot, so no task holds a whole shard."""
+def write_shards(docs: DataFrame, path: str, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, name: str = "in_shard") -> None:
+    """Write ``docs`` as one folder a shard, ``name``=shard, with all their columns; ``docs`` must have no column of that name.
+
+    Rows are spread over tasks by shard and slot, twice as many as there are shuffle partitions and 16 a shard at least, so no task holds a whole shard."""
     spark = docs.sparkSession
-    rows = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(lookup_table(shards, size))], "_slot long, shard string")
-    out = docs.withColumn("_slot", slot(key, size)).join(F.broadcast(rows), "_slot")
-    out.repartition("shard", F.col("_slot") % 16).drop("_slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    each = max(16, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // len(shards)))
+    rows = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(lookup_table(shards, size))], f"_placed_slot long, {name} string")
+    out = docs.withColumn("_placed_slot", slot(key, size)).join(F.broadcast(rows), "_placed_slot")
+    out.repartition(F.col(name), F.col("_placed_slot") % each).drop("_placed_slot").write.mode("overwrite").partitionBy(name).parquet(path)

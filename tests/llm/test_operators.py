@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -335,6 +336,7 @@ def test_chat_windows_hold_their_tokens(spark):
         3: [("system", text(300)), *[("user", text(40 + 30 * k)) for k in range(30)]],
         4: [("system", text(900)), *[("assistant", text(30)) for _ in range(12)], ("user", text(400)), ("user", "<|" * 20)],
         5: [("user", text(50)), ("user", text(3000)), *[("user", "<|\u0010" * 30) for _ in range(20)]],
+        6: [(("user", "assistant")[k % 2], "ok") for k in range(400)],
     }
     df = spark.createDataFrame([(c, k, *t) for c, rows in made.items() for k, t in enumerate(rows)], "conv_id long, turn long, role string, text string").repartition(3)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -342,7 +344,8 @@ def test_chat_windows_hold_their_tokens(spark):
     seen, history = collections.defaultdict(list), collections.Counter()
     for r in chat.format_windows(df).collect():
         pieces = [p.removesuffix("<|im_end|>\n").split("\n", 1) for p in r.formatted.split("<|im_start|>")[1:]]
-        costs = [n(role) + n(body) + 4 for role, body in pieces]
+        costs = [n(f"<|im_start|>{role}\n{body}<|im_end|>\n") for role, body in pieces]
+        assert sum(costs) == n(r.formatted)
         own = [k for k, s in enumerate(r.spans) if not s.repeated and pieces[k][0] != "system"]
         assert sum(costs) <= chat.BUDGET or len(own) == 1 and len(costs) - 1 == (pieces[0][0] == "system")
         assert (made[r.conv_id][0][0] == "system") == (pieces[0][0] == "system")
@@ -585,3 +588,46 @@ def test_written_matrices(docs, empty, tmp_path):
 
 def test_crc(spark):
     assert zlib.crc32(b"\x01\x00\x00\x00") == spark.createDataFrame([(bytearray(b"\x01\x00\x00\x00"),)], "b binary").select(F.crc32("b")).first()[0]
+
+
+def test_equal_rows_go_to_many_shards(spark, tmp_path, monkeypatch):
+    from quarry.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1000)
+    rows = write_packed(documents(spark, [(7, "word " * 40)] * 60).repartition(3), str(tmp_path / "packed")).collect()
+    by_shard = collections.Counter()
+    for r in rows:
+        by_shard[r.shard] += len(r.doc_ids)
+    assert sum(by_shard.values()) == 60 and len(by_shard) > 6 and max(by_shard.values()) < 20
+
+
+def test_fill_takes_what_the_best_score_says():
+    """As if the best unused document of all were looked for each time; and many short documents take no long."""
+    rng = np.random.default_rng(2)
+    tokens = [rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint32) for _ in range(150)] + [np.array([1], np.uint32)] * 30
+    index, left, want, seq = Index(tokens), [len(t) for t in tokens], [], 0
+    for seed in range(len(tokens)):
+        if not left[seed]:
+            continue
+        room, d, scores = 100, seed, index.scores(seed)
+        while room and d is not None:
+            n = min(left[d], room)
+            want.append((d, len(tokens[d]) - left[d], n, seq, 100 - room))
+            left[d], room = left[d] - n, room - n
+            d = max((k for k in range(len(tokens)) if left[k] and k != d), key=lambda k: (scores[k], -k), default=None)
+        seq += 1
+    assert fill(tokens, 100) == want
+    began = time.process_time()
+    assert len(fill([np.array([1], np.uint32)] * 200_000, 2048)) == 200_000 and time.process_time() - began < 20
+
+
+def test_shards_are_written(spark, tmp_path):
+    from quarry.llm.sharding import write_shards
+
+    docs = documents(spark, [(k % 50, f"text {k}") for k in range(200)] + [(None, None)])
+    shards = [f"s{k}" for k in range(5)]
+    write_shards(docs, str(tmp_path / "out"), shards)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: (r.doc_id, r.text)
+    assert collections.Counter(map(key, back.collect())) == collections.Counter(map(key, docs.collect()))
+    assert {(r.doc_id, r.in_shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in place(docs, shards).collect()}
