@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import index as I
+from quarry.operators import names as N
 from quarry.operators import retrieval as X
 from quarry.plans.base import CHUNKS_SQL, POSTINGS_SQL, chunks, table
 from quarry.plans.registry import query
@@ -69,3 +70,28 @@ def _(spark, d):
 def _(spark, d):
     found = I.term_points(I.build_index(chunks(spark, d)), _terms(spark, d), 20, plain=True)
     return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+# -- names: the dictionary are the names in all items; their first letters tell the types apart
+_TYPES = [N.PERSON, N.PLACE, N.EVENT, N.ERA, N.WORK]
+
+
+def _dictionary(spark, d) -> DataFrame:
+    found = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(NAMES), F.lit(1))).alias("name")).distinct()
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.ascii(F.lower("name")) % len(_TYPES) + 1).cast("int"))
+    return found.select(F.xxhash64("name").alias("ord"), F.lower("name").alias("id"), F.col("name").alias("canonical"), "name", kind.alias("type"))
+
+
+@query("op_j14_dictionary_entities", rf"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{NAMES}', 1)) AS name FROM benchmark),
+ f AS (SELECT DISTINCT lower(name) AS id, unnest([lower(name), lower({_PLAIN.format('name')})]) AS form FROM n),
+ g AS (SELECT form, coalesce(max(CASE WHEN form = id THEN id END), min(id)) AS id FROM f GROUP BY form),
+ p AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(lower(text), ' ') AS l FROM documents)),
+ b AS (SELECT doc_id, regexp_extract(part, '[\p{{L}}\p{{N}}]+$') || ' ' || regexp_extract(lead(part) OVER (PARTITION BY doc_id ORDER BY i), '^[\p{{L}}\p{{N}}]+') AS form FROM p)
+ SELECT DISTINCT doc_id, id AS entity_id FROM b JOIN g USING (form)""")
+def _(spark, d):
+    return N.dictionary_entities(table(spark, d, "documents").select("doc_id", "text"), _dictionary(spark, d))
+
+
+@query("op_p18_layered_names")
+def _(spark, d):
+    return N.layered_names(table(spark, d, "documents").select("doc_id", "text"), _dictionary(spark, d)).select("doc_id", "start", "end", "name", "type", "layer", "entity_id", "enclosed")
