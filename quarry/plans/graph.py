@@ -82,3 +82,75 @@ def _(spark, d):
     j = k.join(c, k.c_custkey == c.chunk_id).join(p, "parent_id")
     bonus = F.when(F.contains("parent", F.lower("content")), 0.03).otherwise(0)
     return j.select("c_custkey", F.round(F.least(F.lit(1.0), F.expr("(30 + (c_custkey * 31) % 70) / 100D") + bonus), 6).alias("confidence"))
+
+
+# -- closure with identities: leaders' places and realms, places within places, lineage by customer number, and one id in two spellings
+_TRIPLES = [
+    ("orders", "concat('event_', o_orderkey)", "LED_BY", "concat('person_', o_custkey)", "true"),
+    ("orders", "concat('event_', o_orderkey)", "HAPPENED_AT", "concat('loc_', o_custkey % 25)", "o_orderkey % 7 = 0"),
+    ("orders", "concat('event_', o_orderkey)", "HAPPENED_IN", "concat('dynasty_', o_custkey % 5)", "o_orderkey % 64 = 1"),
+    ("nation", "concat('loc_', n_nationkey)", "HAPPENED_AT", "concat('loc_region_', n_regionkey)", "true"),
+    ("customer", "concat('person_', c_custkey)", "ROYAL_LINEAGE", "concat('person_', 2 * c_custkey)", "c_custkey % 3 = 0"),
+    ("supplier", "concat('doc_', s_suppkey)", "MENTIONED_IN", "concat('person_', s_suppkey)", "true"),
+    ("part", "concat('artifact_', p_partkey)", "PART_OF", "concat('dynasty_', p_partkey % 5)", "p_partkey % 9 = 0"),
+    ("customer", "concat('person_', c_custkey)", "ALIAS_OF", "concat(' Person_', c_custkey + 1)", "c_custkey % 40 = 0"),
+    ("nation", "concat('loc_', n_nationkey)", "SAME_AS_LOCATION", "concat('loc_old_', n_nationkey)", "n_nationkey % 6 = 0"),
+]
+
+
+def _sql_prefixes(c: str, prefixes: list[str] | None) -> str:
+    return "true" if prefixes is None else "(" + " OR ".join(f"starts_with({c}, '{p}')" for p in prefixes) + ")"
+
+
+def _quotient_sql() -> str:
+    from quarry.operators import closure as C
+
+    base = " UNION ".join(f"SELECT trim(lower({s})) AS src, '{r}' AS rel, trim(lower({t})) AS tgt FROM {f} WHERE {w}" for f, s, r, t, w in _TRIPLES)
+    turn = lambda turned: "tgt AS src, {0} AS rel, src AS tgt" if turned else "src, {0} AS rel, tgt"
+    said = ["SELECT src, rel, tgt FROM t"] + [f"SELECT {turn(turned).format(repr(f))} FROM t WHERE rel = '{r}' AND {_sql_prefixes('src', s)} AND {_sql_prefixes('tgt', o)}" for r, s, o, f, turned in C.DIRECT]
+    said += [f"SELECT src, '{f}', tgt FROM t WHERE rel = '{C.PART_IN[0]}' AND NOT ({_sql_prefixes('src', C.LEADERS)} AND {_sql_prefixes('tgt', C.LED)}) AND {_sql_prefixes('tgt', C.PART_IN[1])}" for f in C.PART_IN[2]]
+    said += [f"SELECT {turn(turned).format(repr(r))} FROM t WHERE rel = 'ALIAS_OF' AND (starts_with(src, 'loc_') OR starts_with(tgt, 'loc_'))" for turned in (False, True) for r in ("SAME_AS_LOCATION", "HAPPENED_AT")]
+    rules = ", ".join(map(str, C.RULES))
+    return f"""WITH RECURSIVE t AS ({base}), pairs AS (SELECT src AS a, tgt AS b FROM t WHERE rel IN ('ALIAS_OF', 'SAME_AS_LOCATION')),
+ reach(node, other) AS (SELECT a, a FROM pairs UNION SELECT b, b FROM pairs UNION SELECT node, CASE WHEN other = a THEN b ELSE a END FROM reach JOIN pairs ON other = a OR other = b),
+ m AS (SELECT node, min(other) AS rep FROM reach GROUP BY node), said AS ({' UNION '.join(said)}), rules(r1, r2, r3) AS (VALUES {rules}),
+ s AS (SELECT said.*, coalesce(x.rep, src) AS s, coalesce(y.rep, tgt) AS o FROM said LEFT JOIN m x ON x.node = src LEFT JOIN m y ON y.node = tgt)"""
+
+
+def _identity_sql() -> str:
+    """Rules join the facts with themselves, which DuckDB's recursion does not allow, so rounds are written out, more than the data need."""
+    from quarry.operators import closure as C
+
+    inner = [r for r, _, _ in C.SAID] + ["within", "child"]
+    rounds = [" f0 AS MATERIALIZED (SELECT DISTINCT s AS src, rel, o AS tgt FROM s WHERE s <> o)"]
+    most = 8
+    rounds += [f" f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} UNION SELECT a.src, r3, b.tgt FROM f{k} a JOIN rules ON a.rel = r1 JOIN f{k} b ON b.rel = r2 AND b.src = a.tgt WHERE a.src <> b.tgt)" for k in range(most)]
+    outer = [f"SELECT src, rel, tgt FROM f{most} WHERE rel NOT IN ({', '.join(map(repr, inner))})"] + [f"SELECT src, '{rel}', tgt FROM f{most} WHERE rel = '{r}'" + (f" AND NOT {_sql_prefixes('src', but)}" if but else "") for r, rel, but in C.SAID]
+    return f"""{_quotient_sql()}, {', '.join(r.strip() for r in rounds)}, o AS ({' UNION '.join(outer)}),
+ e AS (SELECT coalesce(x.node, src) AS src, rel, coalesce(y.node, tgt) AS tgt FROM o LEFT JOIN m x ON x.rep = src LEFT JOIN m y ON y.rep = tgt
+  UNION SELECT x.node, rel, y.node FROM s JOIN m x ON x.rep = s.s JOIN m y ON y.rep = s.s WHERE s.s = s.o AND src <> tgt AND upper(rel) = rel AND x.node <> y.node)
+ SELECT rel, tgt, count(*) AS n, min(src) AS first FROM e GROUP BY ALL"""
+
+
+@query("op_g03_identity_closure", _identity_sql())
+def _(spark, d):
+    from quarry.operators.closure import identity_closure
+
+    t = None
+    for f, s, r, o, w in _TRIPLES:
+        df = table(spark, d, f).filter(w).selectExpr("0 AS `group`", f"{s} AS src", f"'{r}' AS rel", f"{o} AS tgt")
+        t = df if t is None else t.unionByName(df)
+    return identity_closure(t)[0].groupBy("rel", "tgt").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first"))
+
+
+@query("op_m09_three_pass")
+def _(spark, d):
+    from quarry.operators.closure import three_pass_match
+
+    # A snippet is a customer with the orders: gold are the confident triples; predictions have all leaders, and places that follow only through them.
+    o = table(spark, d, "orders").filter("o_orderkey % 5 = 0").withColumn("group", F.col("o_custkey").cast("string"))
+    led = o.selectExpr("`group`", "o_orderkey * 2 AS n", "concat('event_', o_orderkey) AS src", "'LED_BY' AS rel", "concat('person_', o_custkey) AS tgt")
+    at = o.selectExpr("`group`", "o_orderkey * 2 + 1 AS n", "concat('event_', o_orderkey) AS src", "'HAPPENED_AT' AS rel", "concat('loc_', o_custkey % 25) AS tgt")
+    guess = o.filter("o_orderkey % 3 = 0").selectExpr("`group`", "o_orderkey * 2 + 1 AS n", "concat('person_', o_custkey) AS src", "'HAPPENED_AT' AS rel", "concat('loc_', (o_custkey + o_orderkey % 2) % 25) AS tgt")
+    gold, predicted = led.filter("n % 4 = 0").unionByName(at), led.unionByName(guess)
+    return three_pass_match(predicted.withColumnRenamed("n", "p"), gold.withColumnRenamed("n", "g")).groupBy("how").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group").alias("snippets"))
