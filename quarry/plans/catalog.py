@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import claims, dialogue, graph, more, relational, repeats, rest, retrieval, search, text  # noqa: F401
+from quarry.plans import claims, dialogue, graph, more, questions, relational, repeats, rest, retrieval, search, text  # noqa: F401
 from quarry.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
