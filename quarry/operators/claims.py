@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import staged
 from quarry.operators.grounding import content_words, pairs_of, share_in
 
 # Words of the source language that decide polarity, roles and kinship.
@@ -176,10 +177,11 @@ def dedup_text(docs: DataFrame, least_paragraph: int = 35, least_sentence: int =
     """Repeated paragraphs, then repeated sentences of the paragraphs that stay, leave a text (P30); case, marks and blanks do not count, and short ones stay.
 
     Result: doc_id, text; kept paragraphs are joined by an empty line, their sentences by a blank. A null or blank text stays as it is; rows of one doc_id are apart from each other.
-    One shuffle by row; a text's own paragraphs and sentences meet in one group."""
+    Rows are numbered and staged, then one shuffle by row; a text's own paragraphs and sentences meet in one group."""
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     norm = lambda c: F.regexp_replace(F.lower(c), r"[.,!?:;\s]+", " ")
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    # Numbers are given once: what reads them twice must not count anew.
+    rows = staged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")))
     par = rows.select("_row", F.posexplode(F.split("text", r"\n{2,}")).alias("p", "par")).withColumn("par", strip("par")).filter("par <> ''").repartition("_row")
     seen = lambda by, order: F.row_number().over(Window.partitionBy("_row", by).orderBy(*order)) > 1
     par = par.withColumn("norm", norm("par")).withColumn("again", seen("norm", ["p"])).filter(~F.col("again") | (F.length("par") < least_paragraph)).select("_row", "p", "par")

@@ -17,18 +17,22 @@ from quarry.operators.relational import keep_first
 MIN_CONFIDENCE = 0.5
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written under spark.checkpoint.dir (an own folder where that is unset and the session is local, as in tests) and read back."""
-    spark: SparkSession = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or an own folder where that is unset and the session is local, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def walkable(edges: DataFrame, relations: list[str] | None = None, least: float = MIN_CONFIDENCE) -> DataFrame:

@@ -16,6 +16,23 @@ def _(spark, d):
     return D.embedding_batches(table(spark, d, "documents").withColumn("slice", F.expr("doc_id div 1000")))
 
 
+@query("op_x05_cached_vectors", "SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS hit, 64 AS dims FROM documents")
+def _(spark, d):
+    import uuid
+
+    from quarry.operators import store as K
+    from quarry.operators.graph import checkpoint_dir
+    from quarry.operators.text import hashed_vectors
+
+    # A first run over half of the documents fills the store, a second one over all finds those.
+    name = f"vectors_{uuid.uuid4().hex}"
+    K.open_store(spark, name, f"{checkpoint_dir(spark)}/{name}", "ARRAY<DOUBLE>")
+    vectors = lambda t: hashed_vectors(t.withColumnRenamed("key", "doc_id")).withColumnsRenamed({"doc_id": "key", "embedding": "value"})
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    K.computed(docs.filter("doc_id % 2 = 0"), name, vectors)
+    return K.computed(docs, name, vectors)[0].select("doc_id", "hit", F.size("value").alias("dims"))
+
+
 @query("op_w16_cache_misses", "SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
