@@ -30,3 +30,11 @@ def _(spark, d):
 @query("op_p06_syllable_lexicon")
 def _(spark, d):
     return heal(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text"))
+
+
+@query("op_p14_sections")
+def _(spark, d):
+    from quarry.operators.chunker import chunk_sections
+
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("realm"), "text")
+    return chunk_sections(docs).select("chunk_id", "doc_id", "parent_chunk_id", "section", "first_word", "n_words", F.md5(F.col("content").cast("binary")).alias("content"))
