@@ -38,25 +38,24 @@ def words(c: Column, least: int = 1) -> Column:
 
 
 def block_row(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n = batch.num_rows
-    lists = [batch.column(c) for c in ("title", "content")]
-    sizes = [pc.list_value_length(x).to_numpy() for x in lists]
-    doc = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
-    place = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
-    in_title = np.arange(len(doc)) < sizes[0].sum()
-    place[~in_title] += sizes[0][doc[~in_title]]
-    coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    listed, titles = batch.column("words"), batch.column("title_words").to_numpy()
+    size = pc.list_value_length(listed).to_numpy()
+    doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), size)
+    place = np.arange(len(doc), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    coded = listed.flatten().dictionary_encode()
     token = coded.indices.to_numpy()
-    order = np.lexsort((place, doc, token))
-    token, doc, place, in_title = token[order], doc[order], place[order], in_title[order]
+    # Words come in order of chunk and place, which a stable sort by token keeps.
+    order = np.argsort(token.astype(np.uint16) if len(coded.dictionary) < 1 << 16 else token, kind="stable")
+    token, doc, place = token[order], doc[order], place[order]
+    in_title = place < titles[doc]
     run = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]) if len(token) else np.zeros(0, int)
     points = CONTENT_POINTS * np.logical_or.reduceat(~in_title, run) + TITLE_POINTS * np.logical_or.reduceat(in_title, run) if len(run) else run
     distinct, count = np.unique(token[run], return_counts=True)
     known = coded.dictionary.take(pa.array(distinct))
-    one = lambda x, t: pa.array([x], pa.list_(t))
+    one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
     fields = {
-        "chunk_ids": pa.array([batch.column("chunk_id")], pa.list_(pa.int64())), "boosts": pa.array([batch.column("boost")], pa.list_(pa.float64())), "title_words": one(sizes[0], pa.int32()), "tokens": pa.array([known], pa.list_(pa.string())),
-        "plain": one(PLAIN(known.to_pylist()), pa.string()), "ends": one(np.cumsum(count), pa.int32()), "docs": one(doc[run], pa.int32()), "points": one(points, pa.int32()), "pos_ends": one(np.r_[run[1:], len(token)] if len(run) else run, pa.int32()), "pos": one(place, pa.int32()),
+        "chunk_ids": one(batch.column("chunk_id"), pa.int64()), "boosts": one(batch.column("boost"), pa.float64()), "title_words": one(titles, pa.int32()), "tokens": one(known, pa.string()), "plain": one(PLAIN(known.to_pylist()), pa.string()),
+        "ends": one(np.cumsum(count), pa.int32()), "docs": one(doc[run], pa.int32()), "points": one(points, pa.int32()), "pos_ends": one(np.r_[run[1:], len(token)] if len(run) else run, pa.int32()), "pos": one(place, pa.int32()),
     }
     return pa.RecordBatch.from_pydict(fields)
 
@@ -71,7 +70,7 @@ def PLAIN(tokens: list[str]) -> list[str]:
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens = np.cumsum(sum(pc.list_value_length(batch.column(c)).to_numpy() for c in ("title", "content"))) if batch.num_rows else []
+        tokens = np.cumsum(pc.list_value_length(batch.column("words")).to_numpy())
         i = 0
         while i < batch.num_rows:
             most = int(np.searchsorted(tokens, (tokens[i - 1] if i else 0) + BLOCK_TOKENS, "right"))
@@ -82,8 +81,9 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(chunk_rows: DataFrame, least: int = 3, boost: Column | None = None) -> DataFrame:
     """The index of (chunk_id, title, content): tokens of ``least`` letters or more, titles first; null texts have none. ``boost`` is a factor that cover density multiplies by."""
-    rows = chunk_rows.select("chunk_id", words(F.col("title"), least).alias("title"), words(F.col("content"), least).alias("content"), (F.lit(1.0) if boost is None else boost.cast("double")).alias("boost"))
-    return staged(rows.filter(F.size("title") + F.size("content") > 0).mapInArrow(block_rows, BLOCKS))
+    title = words(F.col("title"), least)
+    rows = chunk_rows.select("chunk_id", F.concat(title, words(F.col("content"), least)).alias("words"), F.size(title).alias("title_words"), (F.lit(1.0) if boost is None else boost.cast("double")).alias("boost"))
+    return staged(rows.filter(F.size("words") > 0).mapInArrow(block_rows, BLOCKS))
 
 
 class Slice(NamedTuple):
