@@ -72,15 +72,16 @@ def chunk_row(m: int, chunk: int, table: pa.Table) -> pa.RecordBatch:
     term, tf, doc = term[order], tf[order], doc[order]
     new_term = np.r_[True, term[1:] != term[:-1]]
     run = np.flatnonzero(new_term | np.r_[True, tf[1:] != tf[:-1]])
+    one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
     fields = {
         "m": pa.array([m], pa.int64()),
         "chunk": pa.array([chunk], pa.int64()),
-        "doc_ids": pa.array([pc.fill_null(table.column("doc_id").combine_chunks(), NO_ID)], pa.list_(pa.int64())),
-        "terms": pa.array([coded.dictionary.take(pa.array(term[new_term]))], pa.list_(pa.binary())),
-        "runs": pa.array([np.diff(np.r_[np.flatnonzero(new_term[run]), len(run)])], pa.list_(pa.int32())),
-        "run_tf": pa.array([tf[run]], pa.list_(pa.int32())),
-        "run_docs": pa.array([np.diff(np.r_[run, len(term)])], pa.list_(pa.int32())),
-        "docs": pa.array([doc], pa.list_(pa.int32())),
+        "doc_ids": one(pc.fill_null(table.column("doc_id").combine_chunks(), NO_ID), pa.int64()),
+        "terms": one(coded.dictionary.take(pa.array(term[new_term])), pa.binary()),
+        "runs": one(np.diff(np.r_[np.flatnonzero(new_term[run]), len(run)]), pa.int32()),
+        "run_tf": one(tf[run], pa.int32()),
+        "run_docs": one(np.diff(np.r_[run, len(term)]), pa.int32()),
+        "docs": one(doc, pa.int32()),
     }
     return pa.RecordBatch.from_pydict(fields)
 
