@@ -7,13 +7,13 @@ worker from the broadcast names, whose bytes are counted first.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import unaccent
@@ -216,11 +216,8 @@ def dictionary_entities(docs: DataFrame, names: DataFrame) -> DataFrame:
     return layered_names(docs, names, ()).select("doc_id", "entity_id").distinct()
 
 
-def layered_names(docs: DataFrame, names: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Names in the whole texts of ``docs`` (doc_id, text): doc_id, start, end (code points), name, type, layer, confidence, known_id, enclosed, entity_id.
-
-    ``names``: ord, id, canonical, name, type; each name also counts without its marks, if that has three letters or more; of equal ones the last by ord holds. ``entity_id`` is the dictionary's, else made from the type and the name.
-    Without ``rules`` only the dictionary's spans are given, overlapping ones too. A null text has no names. Raises ValueError for a dictionary of more than DICTIONARY_BYTES, which would have to be cut."""
+def _in_texts(docs: DataFrame, names: DataFrame, rules: tuple[Rule, ...], rows_of: Callable[[int | None, str, list[Span]], Iterator[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+    """Rows made of the names in each text, in one pass; the dictionary is held to its bound."""
     spark = docs.sparkSession
     plain = unaccent(F.col("name"))
     forms = names.select("ord", "id", "type", (~F.contains(F.trim("canonical"), F.lit(" "))).alias("one"), F.explode(F.when(F.length(plain) >= 3, F.array("name", plain)).otherwise(F.array("name"))).alias("name"))
@@ -240,13 +237,52 @@ def layered_names(docs: DataFrame, names: DataFrame, rules: tuple[Rule, ...] = R
             out: list[tuple] = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
-                spans = names_in(text, _DICTIONARIES[key], rules, patterns) if rules else _DICTIONARIES[key].spans(text, small(text))
-                out += [(doc_id, s.start, s.end, text[s.start : s.end], s.type, s.layer, LAYERS[s.layer][1], s.known_id, s.enclosed) for s in spans]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], [f.split()[0] for f in SPANS.split(", ")])
+                out += rows_of(doc_id, text, names_in(text, _DICTIONARIES[key], rules, patterns) if rules else _DICTIONARIES[key].spans(text, small(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], [f.split()[0] for f in schema.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
+
+def entity_id(known: Column, kind: Column, name: Column) -> Column:
+    """The dictionary's id, else one made from the type and the name."""
     from quarry.functions.text import slug
 
-    prefix = F.create_map(*[F.lit(x) for pair in ID_PREFIX.items() for x in pair])
-    found = docs.select("doc_id", "text").mapInArrow(run, SPANS)
-    return found.withColumn("entity_id", F.coalesce("known_id", F.concat(prefix[F.col("type")], slug(F.col("name")))))
+    return F.coalesce(known, F.concat(F.create_map(*[F.lit(x) for pair in ID_PREFIX.items() for x in pair])[kind], slug(name)))
+
+
+def layered_names(docs: DataFrame, names: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Names in the whole texts of ``docs`` (doc_id, text): doc_id, start, end (code points), name, type, layer, confidence, known_id, enclosed, entity_id.
+
+    ``names``: ord, id, canonical, name, type; each name also counts without its marks, if that has three letters or more; of equal ones the last by ord holds. ``entity_id`` is the dictionary's, else made from the type and the name.
+    Without ``rules`` only the dictionary's spans are given, overlapping ones too. A null text has no names. Raises ValueError for a dictionary of more than DICTIONARY_BYTES, which would have to be cut."""
+
+    def rows(doc_id: int | None, text: str, spans: list[Span]) -> Iterator[tuple]:
+        return ((doc_id, s.start, s.end, text[s.start : s.end], s.type, s.layer, LAYERS[s.layer][1], s.known_id, s.enclosed) for s in spans)
+
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
+    found = _in_texts(docs, names, rules, rows, SPANS, types)
+    return found.withColumn("entity_id", entity_id(F.col("known_id"), F.col("type"), F.col("name")))
+
+
+PAIRS = "doc_id long, a_start int, a_end int, a string, a_type string, a_known string, b_start int, b_end int, b string, b_type string, b_known string, gap string, after string"
+
+
+def near_names(docs: DataFrame, names: DataFrame, rules: tuple[Rule, ...] = RULES, most: int = 120, after: int = 35) -> DataFrame:
+    """Pairs of names at most ``most`` characters apart in one text (J15): doc_id, of the first a_start, a_end, a, a_type, a_id, of the second b_start to b_id, the text between as ``gap`` and ``after`` characters behind the second.
+
+    Found in the pass that finds the names: nothing is joined or shuffled, and rows without a doc_id keep their pairs. Pairs of a text are at most its names times those within ``most`` characters. Names that overlap are no pair; `layered_names` says what names are."""
+
+    def rows(doc_id: int | None, text: str, spans: list[Span]) -> Iterator[tuple]:
+        spans = sorted(spans, key=lambda s: (s.start, s.end, s.type))
+        for i, x in enumerate(spans):
+            for j in range(i + 1, len(spans)):
+                y = spans[j]
+                if y.start - x.end > most:
+                    break
+                if y.start >= x.end:
+                    side = lambda s: (s.start, s.end, text[s.start : s.end], s.type, s.known_id)
+                    yield (doc_id, *side(x), *side(y), text[x.end : y.start], text[y.end : y.end + after])
+
+    side = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    found = _in_texts(docs, names, rules, rows, PAIRS, [pa.int64(), *side, *side, pa.string(), pa.string()])
+    return found.withColumns({f"{x}_id": entity_id(F.col(f"{x}_known"), F.col(f"{x}_type"), F.col(x)) for x in "ab"}).drop("a_known", "b_known")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import audits, claims, dialogue, graph, more, questions, relational, repeats, rest, retrieval, scans, search, text, years  # noqa: F401
+from quarry.plans import audits, claims, dialogue, extract, graph, more, questions, relational, repeats, rest, retrieval, scans, search, text, years  # noqa: F401
 from quarry.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
