@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import unaccent
 from quarry.operators.names import PERSON, PLACE, dictionary_entities
 from quarry.operators.relational import epoch_of_year
 
@@ -181,6 +182,42 @@ def branches(queries: DataFrame, mentions: DataFrame, reigns: list[tuple[str, in
     return by_year.unionByName(by_entity).unionByName(whole)
 
 
+# Kinds of conflicts, words of a comparison, and the bounds of what is anachronistic.
+MYTH, ANACHRONISM, MISMATCH = "MYTHOLOGY_HISTORICAL_INCOMPATIBILITY", "ANACHRONISTIC_WEAPONRY_TECH", "CHRONOLOGY_MISMATCH"
+COMPARING = ["so sánh", "khác nhau", "đối chiếu", "cả hai", "so với", "tương đồng", "khác biệt"]
+MODERN_SINCE, LIFE_MARGIN, FAR_OFF = 1850, 60, 100
+
+
+def premise_conflicts(queries: DataFrame, people: DataFrame, myths: list[str], treaties: list[str], inventions: list[str], battles: list[str], reigns: list[tuple[str, int, int]] = ()) -> DataFrame:
+    """What makes a question's premise impossible (P35), the first that holds: query, kind, subject, object; nulls if nothing does.
+
+    ``queries``: query, text; ``people``: query, ord, name, first, last, the people that a question names, in order; the lists are phrases in order of priority, found as whole words, with or without marks. In this order: a myth and a treaty; an invention with the first person who died before 1850,
+    else with one of ``battles`` unless the question has a year of 1850 or later; unless it compares, the first person and year after the era that lies more than 60 years outside the person's life and more than 100 from both ends."""
+    m = people.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "first", "last"))).alias("m"))
+    q = queries.select("query", F.coalesce("text", F.lit("")).alias("text")).join(m, "query", "left")
+    plain = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    q = q.select("query", F.coalesce("m", F.array().cast(dict(m.dtypes)["m"])).alias("m"), question_years(F.col("text"), reigns)["years"].alias("years"), plain(F.col("text")).alias("w"), plain(unaccent(F.col("text"))).alias("u"))
+
+    def first_of(phrases: list[str]) -> Column:
+        held = lambda p: F.contains("w", plain(p)) | F.contains("u", plain(unaccent(p)))
+        return F.get(F.filter(F.array(*map(F.lit, phrases)).cast("array<string>"), held), F.lit(0))
+
+    q = q.withColumns({"myth": first_of(myths), "treaty": first_of(treaties), "invention": first_of(inventions), "battle": first_of(battles), "comparing": first_of(COMPARING).isNotNull()})
+    old = F.get(F.filter("m", lambda p: p["last"] < MODERN_SINCE), F.lit(0))["name"]
+    late = F.exists("years", lambda y: y >= MODERN_SINCE)
+
+    def outside(p: Column, y: Column) -> Column:
+        return (y > 0) & ((y < p["first"] - LIFE_MARGIN) | (y > p["last"] + LIFE_MARGIN)) & (F.abs(y - p["first"]) > FAR_OFF) & (F.abs(y - p["last"]) > FAR_OFF)
+
+    off = F.flatten(F.transform("m", lambda p: F.transform(F.filter("years", lambda y: outside(p, y)), lambda y: F.struct(p["name"].alias("name"), y.alias("y")))))
+    first_off = F.when(~F.col("comparing"), F.get(off, F.lit(0)))
+    found = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("subject"), b.alias("object"))
+    verdict = F.when(F.col("myth").isNotNull() & F.col("treaty").isNotNull(), found(MYTH, F.col("myth"), F.col("treaty")))
+    verdict = verdict.when(F.col("invention").isNotNull() & old.isNotNull(), found(ANACHRONISM, F.col("invention"), old)).when(F.col("invention").isNotNull() & F.col("battle").isNotNull() & ~late, found(ANACHRONISM, F.col("invention"), F.col("battle")))
+    verdict = verdict.when(first_off.isNotNull(), found(MISMATCH, first_off["name"], first_off["y"].cast("string")))
+    return q.select("query", verdict.alias("v")).select("query", "v.kind", "v.subject", "v.object")
+
+
 def effective_bounds(title: Column, start: Column, end: Column, epochs: Column, dynasty: Column, chronology: list[tuple[str, str, int, int]]) -> Column:
     """(start, end) by which a chunk is dated (X20): the first year in its title (900 to 2099); else its own; without either bound the first period of ``chronology`` (epoch, name, first, last) of its epochs, or, if it has none, of a name that holds its dynasty's; else nulls."""
     year = F.nullif(F.regexp_extract(F.coalesce(title, F.lit("")), _ALONE + r"(1\d{3}|20\d{2}|9\d{2})" + _ENDS, 1), F.lit("")).cast("int")

@@ -113,6 +113,28 @@ def _(spark, d):
     return Y.branches(b.selectExpr(*[c.strip() for c in _Q.replace(", text ||", "\ntext ||").replace(", item_id % 3 = 1", "\nitem_id % 3 = 1").split("\n")]), mentions).withColumn("entities", F.array_join("entities", ","))
 
 
+# -- premises: all items with a claim behind them, about the names in them as people
+_CLAIM = "item_id AS query, text || CASE item_id % 5 WHEN 0 THEN ' Sơn Tinh ký hiệp định.' WHEN 1 THEN ' Xe tang ở Chi Lăng.' WHEN 2 THEN concat(' Vào năm ', 300 + item_id * 37 % 1500, '.') WHEN 3 THEN concat(' So sánh năm ', 300 + item_id * 37 % 1500, '.') ELSE concat(' Máy bay, Bạch Đằng, năm ', 1700 + item_id * 41 % 300, '.') END AS text"
+
+
+@query(
+    "op_p35_premise_conflicts",
+    rf"""WITH q AS (SELECT {_CLAIM}, item_id % 5 AS k, 300 + item_id * 37 % 1500 AS y, 1700 + item_id * 41 % 300 AS late FROM benchmark), mentions AS (SELECT item_id AS query, unnest(regexp_extract_all(text, '{NAMES}', 1)) AS name, generate_subscripts(regexp_extract_all(text, '{NAMES}', 1), 1) - 1 AS ord FROM benchmark),
+ m AS (SELECT query, ord, name, 900 + length(name) * 37 % 500 AS y0, CASE WHEN ord % 3 = 0 THEN 1860 ELSE 940 + length(name) * 37 % 500 END AS y1 FROM mentions),
+ old AS (SELECT query, arg_min(name, ord) AS name FROM m WHERE y1 < 1850 GROUP BY query),
+ off AS (SELECT query, arg_min(name, ord) AS name, any_value(y) AS y FROM (SELECT query, CASE WHEN k = 4 THEN late ELSE y END AS y FROM q WHERE k IN (2, 4)) JOIN m USING (query) WHERE (y < y0 - 60 OR y > y1 + 60) AND abs(y - y0) > 100 AND abs(y - y1) > 100 GROUP BY query)
+ SELECT query, CASE WHEN k = 0 THEN '{Y.MYTH}' WHEN k IN (1, 4) AND (old.name IS NOT NULL OR k = 1 OR late < 1850) THEN '{Y.ANACHRONISM}' WHEN off.name IS NOT NULL THEN '{Y.MISMATCH}' END AS kind,
+  CASE WHEN k = 0 THEN 'sơn tinh' WHEN k = 1 THEN 'xe tăng' WHEN k = 4 AND (old.name IS NOT NULL OR late < 1850) THEN 'máy bay' ELSE off.name END AS subject,
+  CASE WHEN k = 0 THEN 'hiệp định' WHEN k = 1 THEN coalesce(old.name, 'chi lăng') WHEN k = 4 AND (old.name IS NOT NULL OR late < 1850) THEN coalesce(old.name, 'bạch đằng') ELSE CAST(off.y AS VARCHAR) END AS object FROM q LEFT JOIN old USING (query) LEFT JOIN off USING (query)""",
+)
+def _(spark, d):
+    b = table(spark, d, "benchmark")
+    found = b.select(F.col("item_id").alias("query"), F.posexplode(F.regexp_extract_all("text", F.lit(NAMES), F.lit(1))).alias("ord", "name"))
+    people = found.selectExpr("query", "ord", "name", "900 + length(name) * 37 % 500 AS first", "CASE WHEN ord % 3 = 0 THEN 1860 ELSE 940 + length(name) * 37 % 500 END AS last")
+    claims = b.selectExpr(*[c.strip() for c in _CLAIM.replace(", text ||", "\ntext ||").split("\n")])
+    return Y.premise_conflicts(claims, people, ["sơn tinh", "thánh gióng"], ["hiệp định"], ["xe tăng", "máy bay"], ["bạch đằng", "chi lăng"])
+
+
 # -- chunks dated by their title, their years, or their epoch or dynasty
 _TITLED = "CASE chunk_id % 5 WHEN 0 THEN concat(title, ' ', 900 + chunk_id % 1200) WHEN 1 THEN concat(title, chunk_id) ELSE title END"
 _BY_EPOCH = "CASE WHEN chunk_id % 4 = 1 THEN concat('EPOCH_0', 1 + chunk_id % 9) END"

@@ -122,3 +122,18 @@ def test_effective_bounds(spark):
     df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(rows)], "i int, title string, s int, e int, ep array<string>, d string")
     for r in df.select("i", Y.effective_bounds(F.col("title"), F.col("s"), F.col("e"), F.col("ep"), F.col("d"), chronology).alias("b")).collect():
         assert tuple(r.b) == rows[r.i][5], rows[r.i]
+
+
+def test_premise_conflicts(spark):
+    people = [("Ngô Quyền", 897, 944), ("Võ Nguyên Giáp", 1911, 2013), ("Vô danh", None, None)]
+    cases = [
+        ("Sơn Tinh ký hiệp định Giơ-ne-vơ", [], (Y.MYTH, "sơn tinh", "hiệp định")), ("son tinh va hiep dinh", [], (Y.MYTH, "sơn tinh", "hiệp định")), ("sơn tinhx hiệp định", [], None),
+        ("Ngô Quyền dùng xe tăng", [0], (Y.ANACHRONISM, "xe tăng", "Ngô Quyền")), ("Võ Nguyên Giáp dùng xe tăng", [1], None), ("xe tăng ở Bạch Đằng", [], (Y.ANACHRONISM, "xe tăng", "bạch đằng")), ("xe tăng ở Bạch Đằng năm 1288", [], (Y.ANACHRONISM, "xe tăng", "bạch đằng")),
+        ("xe tăng ở Bạch Đằng năm 1972", [], None), ("Ngô Quyền năm 1288", [0], (Y.MISMATCH, "Ngô Quyền", "1288")), ("Ngô Quyền năm 1044", [0], None), ("Ngô Quyền năm 1045", [0], (Y.MISMATCH, "Ngô Quyền", "1045")), ("So sánh Ngô Quyền năm 1288", [0], None),
+        ("Vô danh năm 1288", [2], None), ("Vô danh và Ngô Quyền năm 257 TCN", [2, 0], None), ("Võ Nguyên Giáp, Ngô Quyền, 1950 và 1288", [1, 0], (Y.MISMATCH, "Võ Nguyên Giáp", "1288")), ("", [], None), (None, [0], None),
+    ]
+    queries = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "query long, text string")
+    named = spark.createDataFrame([(i, k, *people[p]) for i, c in enumerate(cases) for k, p in enumerate(c[1])], "query long, ord int, name string, first int, last int")
+    got = {r.query: (r.kind, r.subject, r.object) for r in Y.premise_conflicts(queries, named, ["thần", "sơn tinh"], ["hiệp định"], ["máy bay", "xe tăng"], ["chi lăng", "bạch đằng"]).collect()}
+    assert {cases[i][0]: v for i, v in got.items()} == {t: v or (None, None, None) for t, _, v in cases} and len(got) == len(cases)
+    assert Y.premise_conflicts(queries, named, [], [], [], []).filter("kind = 'CHRONOLOGY_MISMATCH'").count() == 3
