@@ -68,7 +68,7 @@ def _(spark, d):
  s AS (SELECT query, chunk_id, sum(points)::DOUBLE AS score FROM (SELECT DISTINCT query, {_PLAIN.format('term')} AS term FROM terms) JOIN h ON term = token GROUP BY ALL)
  SELECT query, chunk_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20""")
 def _(spark, d):
-    found = I.term_points(I.build_index(chunks(spark, d)), _terms(spark, d), 20, plain=True)
+    found = I.term_points(I.build_index(chunks(spark, d), positions=False), _terms(spark, d), 20, plain=True)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
