@@ -53,13 +53,19 @@ def counted(text: str | None) -> Counter[bytes]:
 def term_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spread = 0
     for batch in batches:
-        found = [counted(t) for t in batch.column("text").to_pylist()]
-        ends = np.cumsum([0, *map(len, found)])
-        terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([t for c in found for t in c], pa.binary()))
-        tfs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for c in found for k in c.values()], pa.int32()))
-        n = pa.array([c.total() for c in found], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(np.arange(spread, spread + len(found))), terms, tfs], ["doc_id", "n", "spread", "terms", "tfs"])
-        spread += len(found)
+        first, ends, terms, tfs, n = 0, [0], [], [], []
+        for i, text in enumerate(batch.column("text"), 1):
+            found = counted(text.as_py())
+            terms.extend(found)
+            tfs.extend(found.values())
+            n.append(found.total())
+            ends.append(len(terms))
+            # A batch may be thousands of texts; of their terms only so many are held as Python objects.
+            if len(terms) >= CHUNK or i == batch.num_rows:
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(terms, pa.binary()), pa.array(tfs, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), pa.array(n, pa.int64()), pa.array(np.arange(spread, spread + len(n))), *lists], ["doc_id", "n", "spread", "terms", "tfs"])
+                spread += len(n)
+                first, ends, terms, tfs, n = i, [0], [], [], []
 
 
 def chunk_row(m: int, chunk: int, table: pa.Table) -> pa.RecordBatch:
