@@ -96,6 +96,23 @@ def test_dense_search_broadcasts_queries_only(spark, monkeypatch):
     assert list(X.ranges([(1, 5), (2, 5), (4, 20), (9, 1), (11, 9)], 10)) == [(1, 2), (4, 4), (9, 11)] and list(X.ranges([], 3)) == []
 
 
+def test_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 1)
+    index = I.build_index(spark.createDataFrame([(k, "", "a b") for k in range(40)], "chunk_id long, title string, content string").coalesce(1), 1)
+
+    def probe(*_):
+        def run(batches):
+            for batch in batches:
+                yield I.pa.RecordBatch.from_pydict({"query": I.pa.array([1]), "chunk_id": I.pa.array([batch.column("chunk_ids")[0][0].as_py()]), "score": I.pa.array([float(batch.num_rows)])})
+
+        return run
+
+    monkeypatch.setattr(I, "best_of_task", probe)
+    sizes = [r.score for r in I.cover_density(index.coalesce(1), spark.createDataFrame([(1, "a b", 0)], "query long, clause string, group int"), None).collect()]
+    assert sum(sizes) == 40 and max(sizes) <= I.BLOCKS_AT_ONCE
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 @pytest.mark.parametrize("name", ["op_f07_phrase_match", "op_x08_cover_density", "op_x07_enhanced_query", "op_x09_unaccented_top_k"])
 def test_queries_find_something(spark, name):
     rows = entry.queries()[name](spark, SF).collect()
