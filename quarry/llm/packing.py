@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows filled with the documents that a sharded BM25 inverted index ranks next to a seed.
 
 Documents are encoded once. How many documents hold each token is counted over all of them (a table of the vocabulary's size), and gives every shard's index the corpus' weights.
-Documents are dealt to shards of bounded size by content: in order of the nearest of some centres, which are fitted on a bounded sample, and then of three
+Documents are dealt to shards of bounded size by content: in order of the nearest of some centres, which are fitted on all documents, and then of three
 weighted minima over the document's tokens, so that texts with much in common lie side by side. Each shard holds a complete inverted index of its
 documents. A seed document queries it for unused neighbours and takes them, best first, until its window is full; the last one
 is cut and its rest stays unused. So every window is full but the last of a shard, and no state is shared between shards.
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import columns, stage
+from quarry.llm.common import columns, discard, stage
 from quarry.llm.tokens import SEPARATOR, byte_ids
 
 WINDOW = 2048
@@ -31,10 +31,12 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 #: The vocabulary's size: ids fit 16 bits.
 TERMS = 50_257
-#: Documents that the keys' weights and centres are fitted on, about, and tokens of each; centres; dimensions that tokens are hashed to; rounds.
-SAMPLE, SAMPLE_TOKENS, CENTRES, DIMENSIONS, ROUNDS = 4096, 4096, 64, 512, 6
+#: Centres of the documents' vectors; dimensions that tokens are hashed to; rounds of fitting; a component of 1 in whole numbers, which are cut at 127.
+CENTRES, DIMENSIONS, ROUNDS, UNIT = 64, 512, 3, 254
 #: Tokens and documents of an Arrow batch of encoded documents, about.
 BATCH_TOKENS, BATCH_DOCS = 1 << 20, 2000
+#: Encoded documents whose vectors are made at once.
+SLICE_DOCS = 256
 
 
 def sharded(docs: DataFrame) -> DataFrame:
@@ -64,27 +66,21 @@ def counted(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.append(first, len(s)))
 
 
-def token_rows(content: Content):
-    """doc_id, the ids with the separator, 16 bits each, and the key; last a row that counts how many documents of the partition hold each token."""
-    names = ["doc_id", "tokens", "key", "frequencies"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(TERMS, np.int32)
-        for batch in batches:
-            ids, out, pairs, size = batch.column("doc_id"), [], [], 0
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                tokens = encoded(text)
-                pairs.append(counted(tokens))
-                n[pairs[-1][0]] += 1
-                out.append(tokens.tobytes())
-                size += len(tokens)
-                if size >= BATCH_TOKENS or len(out) >= BATCH_DOCS or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([ids.slice(k + 1 - len(out), len(out)), pa.array(out, pa.binary()), pa.array(content.keys(pairs)), pa.nulls(len(out), pa.binary())], names)
-                    out, pairs, size = [], [], 0
-        if n.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([n.tobytes()], pa.binary())], names)
-
-    return run
+def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the ids with the separator, 16 bits each; last a row that counts how many documents of the partition hold each token."""
+    names, n = ["doc_id", "tokens", "frequencies"], np.zeros(TERMS, np.int32)
+    for batch in batches:
+        ids, out, size = batch.column("doc_id"), [], 0
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            tokens = encoded(text)
+            n[counted(tokens)[0]] += 1
+            out.append(tokens.tobytes())
+            size += len(tokens)
+            if size >= BATCH_TOKENS or len(out) >= BATCH_DOCS or k + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([ids.slice(k + 1 - len(out), len(out)), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names)
+                out, size = [], 0
+    if n.any():
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([n.tobytes()], pa.binary())], names)
 
 
 def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,65 +106,146 @@ def scramble(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Content:
-    """Where documents lie by content, as fitted on a sample of encoded documents."""
+    """Where documents lie by content, with the corpus' weight of each token."""
 
-    def __init__(self, sample: list[np.ndarray]):
+    def __init__(self, idf: np.ndarray):
         every = np.arange(TERMS)
+        self.idf = idf
         self.place, self.sign = (scramble(every, 0) % np.uint64(DIMENSIONS)).astype(np.int64), np.where(scramble(every, 1) & np.uint64(1), 1.0, -1.0)
         # A token's exponential variates: with a rate of its weight, the token of the least is the document's weighted minimum.
         self.rates = np.array([-np.log((scramble(every, 2 + k).astype(np.float64) + 1) / 2.0**64) for k in range(3)])
-        pairs = [counted(t) for t in sample]
-        df = np.bincount(np.concatenate([np.empty(0, np.int64), *(terms for terms, _ in pairs)]).astype(np.int64), minlength=TERMS)
-        self.idf = np.log1p(len(sample) / (df + 0.5)) * (2 * df < len(sample))
-        self.centres = self.fit(np.array([self.vector(terms, self.weights(terms, tf)) for terms, tf in pairs], np.float32).reshape(-1, DIMENSIONS))
-
-    def weights(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return self.idf[terms] * tf * (K1 + 1) / (tf + K1)
-
-    def vector(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        v = np.bincount(self.place[terms], weight * self.sign[terms], DIMENSIONS).astype(np.float32)
-        return v / (np.sqrt(v @ v) or 1)
-
-    def fit(self, vectors: np.ndarray) -> np.ndarray:
-        """Spherical k-means from the first vectors."""
-        centres = vectors[:CENTRES]
-        for _ in range(ROUNDS if len(vectors) else 0):
-            nearest = (vectors @ centres.T).argmax(1)
-            sums = np.array([vectors[nearest == k].sum(0) for k in range(len(centres))])
-            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        return centres
-
-    def keys(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For each document's ids and counts: the nearest centre, then three minima, so that documents with much in common have near keys."""
-        out = np.zeros(len(docs), np.int64)
-        terms, doc = np.concatenate([t for t, _ in docs]), np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])
-        weight = self.weights(terms, np.concatenate([tf for _, tf in docs]))
+        self.centres = np.empty((0, DIMENSIONS), np.float32)
+
+    def places(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the encoded documents that have a token of weight: their numbers, their vectors in whole numbers, and their three minima as one number."""
+        pairs = [counted(t) for t in docs]
+        terms, doc = np.concatenate([t for t, _ in pairs]), np.repeat(np.arange(len(docs)), [len(t) for t, _ in pairs])
+        tf = np.concatenate([n for _, n in pairs])
+        weight = self.idf[terms] * tf * (K1 + 1) / (tf + K1)
         use = np.flatnonzero(weight > 0)
         terms, doc, weight = terms[use].astype(np.int64), doc[use], weight[use]
-        if not len(self.centres) or not len(terms):
-            return out
+        if not len(terms):
+            return np.empty(0, np.int64), np.empty((0, DIMENSIONS), np.int8), np.empty(0, np.int64)
         some, first, count = np.unique(doc, return_index=True, return_counts=True)
-        vectors = np.bincount(doc * DIMENSIONS + self.place[terms], weight * self.sign[terms], len(docs) * DIMENSIONS).reshape(-1, DIMENSIONS)
-        key = 1 + (vectors[some].astype(np.float32) @ self.centres.T).argmax(1)
+        vectors = np.bincount(doc * DIMENSIONS + self.place[terms], weight * self.sign[terms], len(docs) * DIMENSIONS).reshape(-1, DIMENSIONS)[some]
+        vectors *= UNIT / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        minima = np.zeros(len(some), np.int64)
         for rate in self.rates:
             value = rate[terms] / weight
             least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, first), count))
-            key = key << 16 | terms[least[np.searchsorted(least, first)]]
-        out[some] = key
-        return out
+            minima = minima << 16 | terms[least[np.searchsorted(least, first)]]
+        return some, np.clip(np.rint(vectors), -127, 127).astype(np.int8), minima
+
+    def nearest(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors.astype(np.float32) @ self.centres.T).argmax(1)
 
+    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
+        """For each encoded document the nearest centre, then the minima, so that documents with much in common have near keys; 0 without a token of weight."""
+        out = np.zeros(len(docs), np.int64)
+        some, vectors, minima = self.places(docs)
+        if len(some):
+            out[some] = 1 + self.nearest(vectors) << 48 | minima
+        return out
 
-def content_of(docs: DataFrame) -> Content:
-    """Fitted on about SAMPLE documents, dealt by a hash of their place so that repeated rows are no more likely."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.withColumn("_row", F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE)
-    return Content([np.frombuffer(r.tokens, np.uint16) for r in some.mapInArrow(sample_rows, "tokens binary").collect()])
+    def part_of(self, keys: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The part between ``bounds`` of each key; one that fills some parts alone is dealt to them by row."""
+        first, last = np.searchsorted(bounds, keys.astype(np.float64), "left"), np.searchsorted(bounds, keys.astype(np.float64), "right")
+        return first + (rows.astype(np.int64) % (last - first + 1))
 
 
-def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document a row of its first SAMPLE_TOKENS ids: enough to fit on, and bounded."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([encoded(t)[:SAMPLE_TOKENS].tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["tokens"])
+        for k in range(0, batch.num_rows, SLICE_DOCS):
+            some = batch.slice(k, SLICE_DOCS)
+            yield some, [np.frombuffer(t, np.uint16) for t in some.column("tokens").to_pylist()]
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIMENSIONS)
+
+
+def fitted(content: Content, tokens: DataFrame, parts: int) -> tuple[Content, np.ndarray]:
+    """``content`` with centres, by spherical k-means over the vectors of all ``tokens`` (row, tokens), and the bounds of ``parts`` parts of about as many rows each.
+
+    It starts from the vectors of some rows by hash. Vectors are of whole numbers, so their sums depend on no order. What the driver gets is as large as the centres and bounds."""
+
+    def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, docs in slices(batches):
+            some, vectors, minima = content.places(docs)
+            # A row without tokens of weight has no vector, but a place among the keys.
+            all_minima, all_vectors = np.zeros(len(docs), np.int64), [None] * len(docs)
+            all_minima[some] = minima
+            for d, v in zip(some.tolist(), vectors):
+                all_vectors[d] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(all_minima), pa.array(all_vectors, pa.binary())], ["row", "minima", "vector"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(content.centres), DIMENSIONS), np.int64)
+        for batch in batches:
+            v = matrix(batch.column("vector"))
+            near = content.nearest(v)
+            order = np.argsort(near, kind="stable")
+            some, first = np.unique(near[order], return_index=True)
+            if len(some):
+                total[some] += np.add.reduceat(v[order], first, axis=0, dtype=np.int64)
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[k].tobytes() for k in some], pa.binary())], ["centre", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(DIMENSIONS, np.int64)
+        for s in table.column("sums").to_pylist():
+            total += np.frombuffer(s, np.int64)
+        return pa.table({"centre": table.column("centre")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("minima").to_numpy(zero_copy_only=False).copy()
+            some = np.flatnonzero(batch.column("vector").is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                key[some] |= 1 + content.nearest(matrix(batch.column("vector").drop_null())) << 48
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.float64))], ["key"])
+
+    rows = stage(tokens.mapInArrow(vector_rows, "row long, minima long, vector binary"))
+    vectors = rows.filter("vector is not null").select("row", "vector")
+    start = [r.vector for r in vectors.orderBy(F.xxhash64("row"), "row").limit(CENTRES).collect()]
+    if start:
+        content.centres = unit(matrix(pa.array(start, pa.binary())))
+        for _ in range(ROUNDS):
+            got = vectors.select("vector").mapInArrow(sums, "centre int, sums binary").groupBy("centre").applyInArrow(added, "centre int, sums binary").collect()
+            new = content.centres.copy()
+            for r in got:
+                new[r.centre] = unit(np.frombuffer(r.sums, np.int64)[None])[0]
+            content.centres = new
+        content.centres = content.centres[chain(content.centres)]
+    keys = rows.select("minima", "vector").mapInArrow(key_rows, "key double")
+    bounds = np.array(keys.approxQuantile("key", [k / parts for k in range(1, parts)], 1 / (8 * parts)) if parts > 1 else [])
+    discard(rows)
+    return content, bounds
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def chain(centres: np.ndarray) -> list[int]:
+    """An order in which each centre is followed by the nearest of those left, so that a part of some centres holds near ones."""
+    alike, order, left = centres @ centres.T, [0], list(range(1, len(centres)))
+    while left:
+        order.append(max(left, key=lambda k: alike[order[-1], k]))
+        left.remove(order[-1])
+    return order
+
+
+def dealt_rows(content: Content, bounds: np.ndarray):
+    """The rows (doc_id, tokens, row) with their key and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, docs in slices(batches):
+            keys, rows = content.keys(docs), batch.column("row")
+            part = content.part_of(keys, rows.to_numpy(), bounds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), rows, pa.array(keys), pa.array(part, pa.int32())], ["doc_id", "tokens", "row", "key", "part"])
+
+    return run
 
 
 class Index:
@@ -289,14 +366,16 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Every document, an empty or null text too, is its token ids and the separator; each id lies in exactly one piece. Repeated rows are packed
     as often as they occur, further columns are ignored, an empty table gives no rows.
     """
-    docs = columns(docs, "doc_id", "text")
-    rows = stage(docs.mapInArrow(token_rows(content_of(docs)), "doc_id long, tokens binary, key long, frequencies binary"))
-    tokens = rows.filter("tokens is not null").select("doc_id", "tokens", "key", F.monotonically_increasing_id().alias("row"))  # so that repeated rows can be dealt apart
+    rows = stage(columns(docs, "doc_id", "text").mapInArrow(token_rows, "doc_id long, tokens binary, frequencies binary"))
+    tokens = rows.filter("tokens is not null").select("doc_id", "tokens", F.monotonically_increasing_id().alias("row"))  # so that repeated rows can be dealt apart
     n, size = tokens.agg(F.count(F.lit(1)), F.sum(F.octet_length("tokens"))).first()
     counts = rows.filter("frequencies is not null").select("frequencies").mapInArrow(frequency_rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(TERMS)
     for r in counts.collect():  # a row for each token of the vocabulary at most
         df[r.term] = r.n
+    idf = rarity(df, n)
     # A partition is a shard, or some where many rows have one key: a task cuts what it gets.
-    dealt = tokens.repartitionByRange(max(1, math.ceil((size or 0) / 2 / SHARD_TOKENS)), "key", "row").sortWithinPartitions("key", "row")
-    return dealt.select("doc_id", "tokens").mapInArrow(pack_rows(window, rarity(df, n)), SCHEMA)
+    parts = max(1, math.ceil((size or 0) / 2 / SHARD_TOKENS))
+    content, bounds = fitted(Content(idf), tokens.select("row", "tokens"), parts)
+    dealt = tokens.mapInArrow(dealt_rows(content, bounds), "doc_id long, tokens binary, row long, key long, part int").repartitionById(parts, "part").sortWithinPartitions("key", "row")
+    return dealt.select("doc_id", "tokens").mapInArrow(pack_rows(window, idf), SCHEMA)
