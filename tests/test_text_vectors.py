@@ -54,3 +54,29 @@ def test_few_documents_are_held_at_once(spark):
     rows = spark.createDataFrame([(i, "x") for i in range(600)], "doc_id long, text string").toArrow().to_batches(max_chunksize=10_000)
     seen = [b.num_rows for b in T.slices(iter(rows))]
     assert max(seen) <= T.SLICE_DOCS and sum(seen) == 600
+
+
+class Batches:
+    """In place of a DataFrame: what a pass makes of one batch of 600 documents."""
+
+    def __init__(self, table):
+        self.table, self.schema = table, None
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return [b.num_rows for b in run(iter(self.table.to_batches()))]
+
+
+def test_passes_over_texts_hold_few_documents(spark):
+    import pyarrow as pa
+
+    from quarry.operators.syllables import heal
+
+    texts = Batches(pa.table({"doc_id": range(600), "text": ["in the\nrain"] * 599 + [None]}))
+    for sizes in (T.unwrap_lines(texts), T.heal_syllables(texts, ["inthe"]), T.composed(texts), heal(texts)):
+        assert sizes == [256, 256, 88]
+    # One parent and one child each.
+    whole = Batches(pa.table({"doc_id": range(600), "source": ["s"] * 600, "text": ["some words"] * 600}))
+    assert T.chunk_documents(whole) == [512, 512, 176]
