@@ -37,6 +37,8 @@ CENTRES, DIMENSIONS, ROUNDS, UNIT = 64, 512, 3, 254
 BATCH_TOKENS, BATCH_DOCS = 1 << 20, 2000
 #: Encoded documents whose vectors are made at once.
 SLICE_DOCS = 256
+#: Neighbours of a seed that are sorted before the others.
+FIRST = 32
 
 
 def sharded(docs: DataFrame) -> DataFrame:
@@ -147,6 +149,14 @@ class Content:
             out[some] = 1 + self.nearest(vectors) << 48 | minima
         return out
 
+    def placed_keys(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The same from the minima and vectors of ``placed``."""
+        key = batch.column("minima").to_numpy(zero_copy_only=False).copy()
+        some = np.flatnonzero(batch.column("vector").is_valid().to_numpy(zero_copy_only=False))
+        if len(some):
+            key[some] |= 1 + self.nearest(matrix(batch.column("vector").drop_null())) << 48
+        return key
+
     def part_of(self, keys: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The part between ``bounds`` of each key; one that fills some parts alone is dealt to them by row."""
         first, last = np.searchsorted(bounds, keys.astype(np.float64), "left"), np.searchsorted(bounds, keys.astype(np.float64), "right")
@@ -164,10 +174,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIMENSIONS)
 
 
-def fitted(content: Content, tokens: DataFrame, parts: int) -> tuple[Content, np.ndarray]:
-    """``content`` with centres, by spherical k-means over the vectors of all ``tokens`` (row, tokens), and the bounds of ``parts`` parts of about as many rows each.
-
-    It starts from the vectors of some rows by hash. Vectors are of whole numbers, so their sums depend on no order. What the driver gets is as large as the centres and bounds."""
+def placed(content: Content, tokens: DataFrame) -> DataFrame:
+    """``tokens`` with minima and vector of each row, staged, so that neither is computed again."""
+    names = [*tokens.columns, "minima", "vector"]
 
     def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, docs in slices(batches):
@@ -177,7 +186,15 @@ def fitted(content: Content, tokens: DataFrame, parts: int) -> tuple[Content, np
             all_minima[some] = minima
             for d, v in zip(some.tolist(), vectors):
                 all_vectors[d] = v.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(all_minima), pa.array(all_vectors, pa.binary())], ["row", "minima", "vector"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(all_minima), pa.array(all_vectors, pa.binary())], names)
+
+    return stage(tokens.mapInArrow(vector_rows, ", ".join(f"{n} {t}" for n, t in [*tokens.dtypes, ("minima", "long"), ("vector", "binary")])))
+
+
+def fitted(content: Content, tokens: DataFrame, parts: int) -> tuple[Content, np.ndarray]:
+    """``content`` with centres, by spherical k-means over the vectors of all ``tokens`` (row, tokens; or as ``placed`` gives them), and the bounds of ``parts`` parts of about as many rows each.
+
+    It starts from the vectors of some rows by hash. Vectors are of whole numbers, so their sums depend on no order. What the driver gets is as large as the centres and bounds."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(content.centres), DIMENSIONS), np.int64)
@@ -199,13 +216,9 @@ def fitted(content: Content, tokens: DataFrame, parts: int) -> tuple[Content, np
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("minima").to_numpy(zero_copy_only=False).copy()
-            some = np.flatnonzero(batch.column("vector").is_valid().to_numpy(zero_copy_only=False))
-            if len(some):
-                key[some] |= 1 + content.nearest(matrix(batch.column("vector").drop_null())) << 48
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.float64))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(content.placed_keys(batch).astype(np.float64))], ["key"])
 
-    rows = stage(tokens.mapInArrow(vector_rows, "row long, minima long, vector binary"))
+    rows = tokens if "vector" in tokens.columns else placed(content, tokens)
     vectors = rows.filter("vector is not null").select("row", "vector")
     start = [r.vector for r in vectors.orderBy(F.xxhash64("row"), "row").limit(CENTRES).collect()]
     if start:
@@ -219,7 +232,8 @@ def fitted(content: Content, tokens: DataFrame, parts: int) -> tuple[Content, np
         content.centres = content.centres[chain(content.centres)]
     keys = rows.select("minima", "vector").mapInArrow(key_rows, "key double")
     bounds = np.array(keys.approxQuantile("key", [k / parts for k in range(1, parts)], 1 / (8 * parts)) if parts > 1 else [])
-    discard(rows)
+    if rows is not tokens:
+        discard(rows)
     return content, bounds
 
 
@@ -237,11 +251,11 @@ def chain(centres: np.ndarray) -> list[int]:
 
 
 def dealt_rows(content: Content, bounds: np.ndarray):
-    """The rows (doc_id, tokens, row) with their key and part."""
+    """The ``placed`` rows (doc_id, tokens, row, minima, vector) with their key and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, docs in slices(batches):
-            keys, rows = content.keys(docs), batch.column("row")
+        for batch in batches:
+            keys, rows = content.placed_keys(batch), batch.column("row")
             part = content.part_of(keys, rows.to_numpy(), bounds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), rows, pa.array(keys), pa.array(part, pa.int32())], ["doc_id", "tokens", "row", "key", "part"])
 
@@ -262,13 +276,22 @@ class Index:
         df = np.bincount(terms, minlength=TERMS)
         idf = rarity(df, n) if idf is None else idf
         use = (idf[terms] > 0) & (df[terms] > 1)
-        terms, self.docs, tf = terms[use], docs[use], tf[use]
+        self.terms, self.docs, tf = terms, docs, tf = terms[use], docs[use], tf[use]
         self.n = n
         self.weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / lengths.mean()))
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=TERMS))])
+        self.at = self.starts()
         by = np.argsort(self.docs.astype(np.min_scalar_type(n)), kind="stable")
         self.own = np.split(terms[by], np.searchsorted(self.docs[by], np.arange(1, n)))
 
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=TERMS))])
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Leave only the postings of unused documents; their scores stay the same."""
+        use = np.flatnonzero(unused[self.docs])
+        self.terms, self.docs, self.weight = self.terms[use], self.docs[use], self.weight[use]
+        self.at = self.starts()
+
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every document of the shard for the seed's distinct terms."""
         own = self.own[seed]
@@ -280,6 +303,18 @@ class Index:
         return np.bincount(self.docs[where], self.weight[where], self.n)
 
 
+def best_first(scores: np.ndarray) -> Iterator[int]:
+    """The documents of positive score, highest first, equal ones in order; the FIRST best are sorted before the others, as a window seldom needs more."""
+    found = np.flatnonzero(scores > 0)
+    some = scores[found]
+    if len(found) > 2 * FIRST:
+        least = np.partition(some, len(some) - FIRST)[len(some) - FIRST]
+        top = np.flatnonzero(some >= least)
+        yield from found[top[np.argsort(-some[top], kind="stable")]].tolist()
+        found, some = found[some < least], some[some < least]
+    yield from found[np.argsort(-some, kind="stable")].tolist()
+
+
 def fill(tokens: list[np.ndarray], window: int, idf: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces of one shard."""
     pieces, start, left, sequence = [], [], [], 0
@@ -294,6 +329,8 @@ def fill(tokens: list[np.ndarray], window: int, idf: np.ndarray | None = None) -
     # Nothing before it is unused.
     lowest = 0
     index = Index(tokens, idf) if unused.any() else None
+    # Documents that the index has, and those of them that are unused.
+    held = n_unused = int(unused.sum())
     for seed in range(len(tokens)):
         if not unused[seed]:
             continue
@@ -302,13 +339,16 @@ def fill(tokens: list[np.ndarray], window: int, idf: np.ndarray | None = None) -
             n = min(left[d], room)
             pieces.append((d, start[d], n, sequence, window - room))
             start[d], left[d], room = start[d] + n, left[d] - n, room - n
-            unused[d] = left[d] > 0
+            if not left[d]:
+                unused[d], n_unused = False, n_unused - 1
             if not room:
                 break
             if near is None:
+                if 4 * n_unused < 3 * held:
+                    index.keep(unused)
+                    held = n_unused
                 scores = np.where(unused, index.scores(seed), 0.0)
-                found = np.flatnonzero(scores > 0)
-                near = iter(found[np.argsort(-scores[found], kind="stable")].tolist())
+                near = best_first(scores)
             # The nearest first; then, as all that share a token are taken, the others in order.
             d = next((x for x in near if unused[x]), -1)
             if d < 0:
@@ -376,6 +416,9 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     idf = rarity(df, n)
     # A partition is a shard, or some where many rows have one key: a task cuts what it gets.
     parts = max(1, math.ceil((size or 0) / 2 / SHARD_TOKENS))
-    content, bounds = fitted(Content(idf), tokens.select("row", "tokens"), parts)
+    content = Content(idf)
+    tokens = placed(content, tokens)
+    discard(rows)
+    content, bounds = fitted(content, tokens, parts)
     dealt = tokens.mapInArrow(dealt_rows(content, bounds), "doc_id long, tokens binary, row long, key long, part int").repartitionById(parts, "part").sortWithinPartitions("key", "row")
     return dealt.select("doc_id", "tokens").mapInArrow(pack_rows(window, idf), SCHEMA)

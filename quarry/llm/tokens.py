@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 END_OF_TEXT = "<|endoftext|>"
 #: The id that ends each document in packed output.
 SEPARATOR = 1
+#: ``public_tokenizers.PATTERN`` without ways back that cannot succeed: the same pieces, found faster.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 @cache
@@ -20,7 +22,7 @@ def _fast(ranks_file: str):
 
     with open(public_tokenizers.path(ranks_file), "rb") as f:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding(ranks_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(ranks_file, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @cache
