@@ -8,6 +8,13 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def test_aliases_of_up_to_four_words(spark):
+    q = spark.createDataFrame([(1, "The Old, old Town of York."), (2, None), (3, "york york")], "query long, text string")
+    a = spark.createDataFrame([("old town of york", "York"), ("old", "Age"), ("york", "York"), ("york", "Jorvik"), ("the", None)], "alias string, canonical string")
+    assert rows(O.alias_hits(q, a).filter("query = 1 and alias <> 'the'")) == [(1, "old", "Age", 1), (1, "old town of york", "York", 4), (1, "york", "Jorvik", 1), (1, "york", "York", 1)]
+    assert rows(O.alias_hits(q, a).filter("query <> 1")) == [(3, "york", "Jorvik", 1), (3, "york", "York", 1)]
+
+
 def test_years_of_texts_with_their_epoch(spark):
     docs = spark.createDataFrame([(1, "From 1010 to 938 and 1288."), (2, "no year"), (3, None)], "doc_id long, text string")
     found = {r.doc_id: r for r in O.enrich(docs, dims.chronology(spark)).collect()}
