@@ -20,3 +20,12 @@ def test_years_of_texts_with_their_epoch(spark):
     found = {r.doc_id: r for r in O.enrich(docs, dims.chronology(spark)).collect()}
     assert (found[1].first_year, found[1].last_year) == (938, 1288) and found[1].epoch_id is not None and found[1].dynasty_id is not None
     assert len(found) == 3 and all(found[k][1:] == (None, None, None, None) for k in (2, 3))
+
+
+def test_bracketed_names(spark):
+    run = " ".join(["Anna"] * 20_000)
+    docs = spark.createDataFrame([(1, "Anna Bo (Carl) and xYz (Du Eé) or Fa (gi), A (Bo), Ga (Ha (Io)"), (2, None), (3, f"{run} (Carl)")], "doc_id long, text string")
+    got = rows(O.parenthetical_pairs(docs))
+    assert got[:3] == [(1, "Anna Bo", "Carl"), (1, "Ha", "Io"), (1, "Yz", "Du Eé")]
+    # A run of so many names would be too deep for a pattern that can give them back.
+    assert got[3:] == [(3, run, "Carl")]
