@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from quarry.operators import index as I
+from quarry.operators.retrieval import best
 
 WORDS = [f"word{i}" for i in range(300)]
 
@@ -40,15 +41,21 @@ def test_points_with_what_is_left_out_early(spark, monkeypatch):
     asked = {q: set(random.Random(q).sample(WORDS, n)) for q, n in enumerate([2, 10, 60, 200])}
     terms = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "query long, term string")
     want = {q: sorted((-(len(ws & set(c.split())) + 2 * (t in ws)), k) for k, t, c in rows if ws & {t, *c.split()}) for q, ws in asked.items()}
+    got = {q: [] for q in asked}
+    for r in I.term_points(index, terms, 7).orderBy("query", "rank").collect():
+        got[r.query].append((-int(r.score), r.chunk_id))
+    assert got == {q: w[:7] for q, w in want.items()}
+    cut = {(r.query, r.chunk_id) for r in I.term_points(index, terms, None, cut=(0, lambda s: np.full(len(s), 39.5))).collect()}
+    assert cut == {(q, k) for q, w in want.items() for s, k in w if -s >= 39.5} and cut
+    # The same in tasks of one's own, with other bounds of what is held at once.
+    part, blocks = next(I.slices(terms.select("query", terms["term"].alias("clause")), False)), index.drop("plain").toArrow().to_batches()
     for cells, cost in ((1 << 18, 512), (100, 512), (100, 0), (1 << 18, 1 << 20)):
         monkeypatch.setattr(I, "CELLS", cells)
         monkeypatch.setattr(I, "CELLS_A_HIT", cost)
-        got = {q: [] for q in asked}
-        for r in I.term_points(index, terms, 7).orderBy("query", "rank").collect():
-            got[r.query].append((-int(r.score), r.chunk_id))
-        assert got == {q: w[:7] for q, w in want.items()}
-        cut = {(r.query, r.chunk_id) for r in I.term_points(index, terms, None, cut=(0, lambda s: np.full(len(s), 39.5))).collect()}
-        assert cut == {(q, k) for q, w in want.items() for s, k in w if -s >= 39.5} and cut
+        for k in (3, None):
+            least = np.full(4, 9.5)
+            found = [r for b in I.best_of_task(part, k, False, I.block_points, least)(iter(blocks)) for r in zip(*(c.to_pylist() for c in b.columns))]
+            assert sorted(found) == sorted((q, i, -s) for q, w in want.items() for s, i in [x for x in w if -x[0] >= 9.5][:k])
 
 
 def test_only_the_best_of_a_block_are_held(monkeypatch):
@@ -57,3 +64,23 @@ def test_only_the_best_of_a_block_are_held(monkeypatch):
     part = I.Slice(np.arange(3), pa.array(WORDS), np.tile(np.arange(50), 3), np.repeat(np.arange(3), 50), [])
     found = [len(q) for q, _, _ in I.block_points(row, part, False, np.full(3, -np.inf), 2)]
     assert sum(found) == 3 * 8  # the longest eight are equal
+
+
+def test_blocks_are_put_together_from_small_batches():
+    sizes = [1, 2, 3, 9, 1, 1, 1, 1, 1, 4]
+    rows = pa.RecordBatch.from_pydict({"chunk_id": pa.array(range(10), pa.int64()), "words": [WORDS[:n] for n in sizes], "title_words": pa.array([0] * 10, pa.int32()), "boost": pa.array([1.0] * 10)})
+    for n in (1, 3, 10):
+        blocks = I.block_rows((rows.slice(i, n) for i in range(0, 10, n)), 4, 6)
+        assert [b.column("chunk_ids")[0].as_py() for b in blocks] == [[0, 1, 2], [3], [4, 5, 6, 7], [8, 9]]
+
+
+def test_best_similarities():
+    rng = np.random.default_rng(0)
+    s = np.round(rng.normal(size=(40, 300)), 1)
+    s[3, 7], s[4] = np.nan, np.nan
+    q, ids = np.arange(40) + 5, rng.permutation(300)
+    for k in (1, 30, 300, 400):
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        want = (np.repeat(q, order.shape[1]), ids[order].ravel(), np.take_along_axis(s, order, 1).ravel())
+        for a, b in zip(best(q, ids, s, k), want, strict=True):
+            np.testing.assert_array_equal(a, b)
