@@ -31,6 +31,8 @@ LEAST_SCORE, TOP_SHARE, TIER_WEIGHTS, CO_RETRIEVED = 0.15, 0.25, {"LEVEL_1": 1.0
 CHARS_PER_TOKEN = 3.5
 #: Vectors in a block of the exact search; blocks of queries are broadcast in slices of so many bytes.
 VECTORS, QUERIES, SLICE_BYTES = 4096, 1024, 32 << 20
+#: Queries whose similarities with a block of vectors are held at once.
+AT_ONCE = 128
 
 
 def cosine(a: str, b: str) -> Column:
@@ -49,6 +51,18 @@ def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(both == 0, 0.0, np.where(unit, dot, dot / np.where(both == 0, 1.0, both)))
 
 
+def best(q_ids: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, similarity) of the k largest of each row of ``s``, equal ones by id and what is no number last; only what reaches a row's k-th largest is sorted."""
+    # Of the negative numbers, as what is no number comes last in a partition.
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if k < s.shape[1] else np.full(len(s), np.nan)
+    q, at = np.nonzero((s >= least[:, None]) | np.isnan(least)[:, None])
+    value = s[q, at]
+    order = np.lexsort((ids[at], -value, q))
+    q, at, value = q[order], at[order], value[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q_ids[q[first]], ids[at[first]], value[first]
+
+
 def packed(vectors: DataFrame, per_block: int) -> DataFrame:
     """(ids, data, dim): vectors in blocks of one row each."""
 
@@ -85,23 +99,24 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q, dim, v_ids, v in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.round(similarities(np.frombuffer(q).reshape(-1, dim), np.frombuffer(v).reshape(-1, dim)), 9)
-                ids = np.array(v_ids)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query", "chunk_id", "similarity"])
+            for q_ids, q, dim, v_ids, v in zip(*batch.columns):
+                # Neither the batch's vectors nor similarities of many queries are held a second time.
+                q, v = (np.frombuffer(x.as_buffer()).reshape(-1, dim.as_py()) for x in (q, v))
+                q_ids, v_ids = (x.values.to_numpy() for x in (q_ids, v_ids))
+                for i in range(0, len(q), AT_ONCE):
+                    s = np.round(similarities(q[i : i + AT_ONCE], v), 9)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(q_ids[i : i + AT_ONCE], v_ids, s, k)], ["query", "chunk_id", "similarity"])
 
     q = staged(packed(queries, QUERIES).select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), "dim", F.monotonically_increasing_id().alias("block")))
     # Of a block only its number and size come to the driver; a slice is a range of numbers.
-    sizes, best = q.select("block", F.length("q").alias("n")).orderBy("block").collect(), None
+    sizes, found = q.select("block", F.length("q").alias("n")).orderBy("block").collect(), None
     v = packed(vectors, VECTORS).select(F.col("ids").alias("v_ids"), F.col("data").alias("v"))
     for first, last in ranges([(r["block"], r["n"]) for r in sizes], SLICE_BYTES):
         part = v.crossJoin(F.broadcast(q.filter(F.col("block").between(first, last)))).select("q_ids", "q", "dim", "v_ids", "v").mapInArrow(run, "query long, chunk_id long, similarity double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = queries.sparkSession.createDataFrame([], "query long, chunk_id long, similarity double")
-    return top_per(best, ["query"], [F.desc("similarity"), F.col("chunk_id")], k).withColumn("score", 1 / (2 - F.col("similarity")))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "query long, chunk_id long, similarity double")
+    return top_per(found, ["query"], [F.desc("similarity"), F.col("chunk_id")], k).withColumn("score", 1 / (2 - F.col("similarity")))
 
 
 #: Points of a term in a title; fixed value.

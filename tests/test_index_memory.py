@@ -84,3 +84,14 @@ def test_best_similarities():
         want = (np.repeat(q, order.shape[1]), ids[order].ravel(), np.take_along_axis(s, order, 1).ravel())
         for a, b in zip(best(q, ids, s, k), want, strict=True):
             np.testing.assert_array_equal(a, b)
+
+
+def test_the_best_come_from_few_tasks(spark, monkeypatch):
+    rows = texts(200)
+    index = I.build_index(spark.createDataFrame(rows, "chunk_id long, title string, content string").repartition(40), positions=False)
+    with monkeypatch.context() as m:
+        m.setattr(I, "TASKS_A_CORE", 1)
+        assert I.few_tasks(index.repartition(40)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    terms = spark.createDataFrame([(1, w) for w in WORDS[:100]], "query long, term string")
+    got = [r.chunk_id for r in I.term_points(index, terms, 5).orderBy("rank").collect()]
+    assert got == [k for _, k in sorted((-(len(set(WORDS[:100]) & set(c.split())) + 2 * (t in WORDS[:100])), k) for k, t, c in rows)[:5]]
